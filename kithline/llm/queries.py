@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithline.llm import decontaminate as contamination
-from kithline.llm import quality_model, toxicity
+from kithline.llm import quality_model, simhash, toxicity
 from kithline.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,5 +34,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.score", (F.col("out.score") >= quality_model.KEEP).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op7_quality_model)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op7_quality_model, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
