@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithline.llm import chat_format, quality_model, quality_rules, simhash, token_files, toxicity, url_filter
 from kithline.llm import decontaminate as contamination
-from kithline.llm import quality_model, simhash, toxicity
-from kithline.llm.common import crc_fold, table
+from kithline.llm.common import crc_fold, fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,36 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.severity", "out.p_toxic", "out.grade", (F.col("out.p_toxic") >= toxicity.TOXIC).alias("toxic"))
 
 
+#: The tokenizer file, by the name it has among the public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
+    found = token_files.read_tokens(spark, path, token_files.crc32_ids, "ids_crc32 long")
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.apply_rules(docs, base="n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -39,5 +69,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op7_quality_model, op10_simhash)}
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    path = tokenizer_path()
+    found = chat_format.digests(chat_format.assemble(turns.unionByName(control), path), path)
+    return found.withColumnRenamed("conversation", "conv_id")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op3_token_files, op4_url_filter, op5_quality_rules, op7_quality_model, op8_chat_format, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
