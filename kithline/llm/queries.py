@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.llm import chat_format, quality_model, quality_rules, simhash, token_files, toxicity, url_filter
+from kithline.llm import chat_format, lang_id, packing, quality_model, quality_rules, simhash, token_files, toxicity, url_filter
 from kithline.llm import decontaminate as contamination
 from kithline.llm.common import crc_fold, fresh_path, table
 
@@ -57,6 +57,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -77,5 +81,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("conversation", "conv_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op3_token_files, op4_url_filter, op5_quality_rules, op7_quality_model, op8_chat_format, op10_simhash)}
+def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = lang_id.predict_languages(docs.select("doc_id", "text"), lang_id.fit_languages(docs))
+    return found.select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.lang_pred", "out.score")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op3_token_files, op4_url_filter, op5_quality_rules, op6_packing, op7_quality_model, op8_chat_format, op9_lang_id, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
