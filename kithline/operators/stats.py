@@ -13,6 +13,11 @@ def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataF
     return n.withColumn(name, F.sum("n").over(w) - (F.col("n") - 1) / 2).drop("n")
 
 
+def correlation(a: str, b: str):
+    """Pearson's correlation; null if either column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def series_agreement(df: DataFrame, truth: str, estimate: str, group: str) -> DataFrame:
     """group ("all" for all rows), n, pearson, spearman, mae, rmse, r2, bias of two series, by group and overall."""
     rows = df.filter(F.col(truth).isNotNull() & F.col(estimate).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(truth).cast("double").alias("t"), F.col(estimate).cast("double").alias("e"))
@@ -21,8 +26,8 @@ def series_agreement(df: DataFrame, truth: str, estimate: str, group: str) -> Da
     error = F.col("e") - F.col("t")
     return ranked.groupBy("group").agg(
         F.count("*").alias("n"),
-        F.corr("t", "e").alias("pearson"),
-        F.corr("rt", "re").alias("spearman"),
+        correlation("t", "e").alias("pearson"),
+        correlation("rt", "re").alias("spearman"),
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         (1 - F.try_divide(F.sum(error * error), F.var_pop("t") * F.count("*"))).alias("r2"),

@@ -119,7 +119,7 @@ def frame_states(spark, sf_dir):
     return analysis.states(spark, sf_dir, P).select("video_id", "frame", "state", "rule_turn_taking", "rule_proximity", "rule_sustained_speech", "sustained_ohs")
 
 
-@register("SELECT video_id, sum(CASE WHEN coalesce(presence_conf >= 0.4 AND proximity >= 0.8, false) THEN 1 ELSE 0 END) AS interacting FROM st GROUP BY video_id", "st")
+@register("SELECT video_id, sum(CASE WHEN coalesce(presence_conf >= 0.4 AND proximity >= 0.8, false) THEN 1 ELSE 0 END)::BIGINT AS interacting FROM st GROUP BY video_id", "st")
 def rule_ablation(spark, sf_dir):
     got = analysis.states(spark, sf_dir, P.but(rules=(2,)))
     return got.groupBy("video_id").agg(F.sum(F.when(F.col("state") == 1, 1).otherwise(0)).alias("interacting"))
@@ -206,7 +206,7 @@ def exposure_by_child(spark, sf_dir):
     return intervals.exposure_by_child(e, _children(spark, sf_dir)).select("child_id", "exposure_type", F.col("age_at_recording").cast("double").alias("age_at_recording"), *_r("speech_minutes", "recording_minutes", "exposure_share"))
 
 
-@register("""SELECT video_id % 20 AS child_id, round(sum(CASE WHEN p IS NULL THEN 0 ELSE p END), 6) AS speech_sec, round(sum(d), 6) AS recording_sec, (video_id % 20 + 3.5)::DOUBLE AS age_at_recording FROM
+@register("""SELECT video_id % 20 AS child_id, round(sum(CASE WHEN p IS NULL THEN 0 ELSE p END)::DOUBLE, 6) AS speech_sec, round(sum(d), 6) AS recording_sec, (video_id % 20 + 3.5)::DOUBLE AS age_at_recording FROM
     (SELECT c.video_id, c.s, c.e, c.e - c.s AS d, (SELECT count(DISTINCT x) FROM (SELECT unnest(range(CAST(o.f AS BIGINT), CAST(o.g AS BIGINT))) AS x FROM ov o WHERE o.video_id = c.video_id AND o.s = c.s AND o.e = c.e AND o.speaker = 'KCHI')) AS p FROM (SELECT DISTINCT video_id, s, e FROM chat) c)
     WHERE video_id % 20 < 18 GROUP BY ALL""", "ov", "chat")
 def child_speech(spark, sf_dir):
