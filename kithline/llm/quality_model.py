@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kithline.llm.common import RollingHash, blocks, code_points, map_rows, not_space, row_sums, sample_labelled, struct, utf8, words_of
 
 #: At most so many labelled rows train the model; whole texts of each are used.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 SLOT_BITS = 17
 DIMENSIONS = 16
 #: A text of at least this score is kept.

@@ -111,7 +111,9 @@ def _links(sig: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Verified links ``a``, ``b`` between distinct fingerprints (column fp): enough of them to join all that links join."""
-    by_signature = signatures(fps).repartition("sig").sortWithinPartitions("sig")
+    # Fingerprints are few bytes and 64 signatures many: spread them before they are multiplied.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_signature = signatures(spread).repartition("sig").sortWithinPartitions("sig")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_sig, held_fp = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]

@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from kithline.llm.common import BATCH_ROWS
 
 #: Stands for a null document id in keys files.
 NO_KEY = -(1 << 63)
-#: Units and pieces whose ids a worker remembers in each of two generations.
-MEMORY = 300_000
+#: Units whose ids a worker remembers in each of two generations; of pieces it remembers a quarter as many.
+MEMORY = 400_000
 #: How the byte-level tokenizer cuts texts into pieces that it encodes each on its own (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -42,19 +44,19 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 class Memory(dict):
-    """Remembers values in two generations: when the young one is full it becomes the old one, and what is used is young again."""
+    """Values of a function, remembered in two generations: when the young one is full it becomes the old one, and what is used is young again."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, make: Callable[[str], bytes]):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.make, self.old = most, make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.old[key]
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
-    def unknown(self, keys: set[str]) -> list[str]:
-        return [k for k in keys if k not in self and k not in self.old]
-
     def age(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
@@ -75,8 +77,9 @@ class Encoder:
     single space between two characters that are not white space is always
     such a cut, so a text without neighbouring white space falls into its
     space-separated units, whose ids are remembered; units not seen before are
-    cut into pieces, and only pieces not seen before are encoded, spelled in
-    the vocabulary's byte letters.
+    cut into pieces, and pieces not seen before go through the tokenizer's
+    model, spelled in the vocabulary's byte letters. Control strings within a
+    text are ordinary text.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -84,15 +87,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings within a text are text
-        self.tokenizer.pre_tokenizer = None  # done here
-        self.tokenizer.post_processor = None
-        self.dtype = np.dtype(dtype)
+        self.model = self.tokenizer.model
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        if sys.byteorder != "little" or array(self.code).itemsize != np.dtype(dtype).itemsize:
+            raise RuntimeError("ids are written as this machine holds them, which must be little-endian")
         self.cut = regex.compile(PIECES)
         self.together = re.compile(r"\s\s")
         self.letters = _byte_letters()
-        #: Ids of a space and the unit after it; of a text's first unit or of a piece.
-        self.units, self.pieces = Memory(MEMORY), Memory(MEMORY)
+        #: Ids of a space and the unit after it; of a piece.
+        self.units, self.pieces = Memory(MEMORY, self._unit), Memory(MEMORY // 4, self._piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of dtype."""
@@ -100,40 +103,28 @@ class Encoder:
         for text in texts:
             if " " in text and not text[0].isspace() and not text[-1].isspace() and not self.together.search(text):
                 first, *rest = text.split(" ")
-                if new := self.units.unknown(set(rest)):
-                    for u, ids in zip(new, self._cut([f" {u}" for u in new]), strict=True):
-                        self.units[u] = ids
-                out.append(self._cut([first])[0] + b"".join(map(self.units.__getitem__, rest)))
-                self.units.age()
+                out.append(self._cut(first) + b"".join(map(self.units.__getitem__, rest)))
             else:
-                out += self._cut([text])
+                out.append(self._cut(text))
+            self.units.age()
+            self.pieces.age()
         return out
 
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        own = [self.cut.findall(t) for t in texts]
-        if new := self.pieces.unknown({p for pieces in own for p in pieces}):
-            self._learn(new)
-        get = self.pieces.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in own]
-        self.pieces.age()
-        return out
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut.findall(text)))
+
+    def _unit(self, unit: str) -> bytes:
+        if unit.isalpha():  # one piece
+            return self._piece(f" {unit}")
+        stem, end = unit[:-1], unit[-1]
+        if stem.isalpha() and not (end.isalnum() or end.isspace()):  # a word and a mark after it
+            return self.units[stem] + self.pieces[end]
+        return self._cut(f" {unit}")
 
-    def _spelled(self, piece: str) -> str:
-        if piece.isalpha() and piece.isascii():
-            return piece
+    def _piece(self, piece: str) -> bytes:
         letters = self.letters
-        return "".join([letters[b] for b in piece.encode()])
-
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i : i + 4096]
-            found = self.tokenizer.encode([self._spelled(p) for p in some], is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(found.ids, self.dtype), np.array(found.word_ids)
-            ends = (np.searchsorted(owner, np.arange(len(some)), side="right") * self.dtype.itemsize).tolist()
-            data, begin = ids.tobytes(), 0
-            for piece, end in zip(some, ends, strict=True):
-                self.pieces[piece] = data[begin:end]
-                begin = end
+        spelled = letters[32] + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalnum() else "".join([letters[b] for b in piece.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
 def encoder(path: str, dtype: str = "<u2") -> Encoder:

@@ -5,14 +5,17 @@ P(grade > k) = sigmoid(w.x - threshold[k]); all thresholds share the weights w
 and stay ordered because each is the one before plus a positive step. The
 expected severity is the sum of those probabilities over k.
 
-Features are lower-cased words, hashed; a word seen n times in a text weighs
-1 + ln n. Only words whose share of rows differs significantly between grade 0 and the
-grades above are features; their weights are fitted by accelerated
-proximal gradient descent over all sampled rows, with an L1 penalty.
+Features are lower-cased words and their first 4, 5 and 6 bytes, hashed: an
+insult also shows in the stem of words not seen before. A feature seen n times
+in a text weighs 1 + ln n. Only features whose share of rows differs
+significantly between grade 0 and the grades above count; tasks find them, so
+that few numbers reach the driver, where accelerated proximal gradient descent
+over all sampled rows fits their weights with an L1 penalty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import RollingHash, blocks, map_rows, sample_labelled, struct, utf8, words_of
+from kithline.llm.common import RollingHash, blocks, map_rows, sample_labelled, struct, utf8, words_of, written
 
 #: At most so many labelled rows train the model; whole texts of each are used.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 SLOT_BITS = 20
+#: Bytes of the stems that count beside whole words.
+STEMS = (4, 5, 6)
 #: A text is toxic from this probability of a grade over 0.
-TOXIC = 0.5
+TOXIC = 0.2
 #: Words: runs of ASCII letters and digits and of everything beyond ASCII.
 _IN_WORD = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 
@@ -35,20 +40,36 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def word_slots(data: np.ndarray, offsets: np.ndarray, bits: int, hasher: RollingHash) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of every word and each row's range of words."""
+def feature_slots(data: np.ndarray, offsets: np.ndarray, bits: int, hasher: RollingHash) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all words and stems, row by row, and each row's range of them."""
     data = _lower(data)
     starts, ends, ranges = words_of(_IN_WORD[data], offsets)
-    return (hasher.spans(hasher.prefix(data), starts, ends) >> np.uint64(64 - bits)).astype(np.int64), ranges
+    prefix, down = hasher.prefix(data), np.uint64(64 - bits)
+    kinds = [(hasher.spans(prefix, starts, ends) >> down).astype(np.int64)]
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(ranges))
+    owners = [rows]
+    for n in STEMS:
+        long = ends - starts > n
+        h = hasher.spans(prefix, starts[long], starts[long] + n) * np.uint64(2 * n + 1)
+        kinds.append((h >> down).astype(np.int64))
+        owners.append(rows[long])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(kinds)[order], np.searchsorted(owner[order], np.arange(len(offsets)))
+
+
+def _counted(bits: int, shared):
+    """Each text's counts of the features chosen."""
 
-
-def _counted(bits: int):
     def of(row: pa.StructArray) -> pa.StructArray:
         hasher, slots, counts = RollingHash(), [], []
+        chosen = np.zeros(1 << bits, bool)
+        chosen[shared.value] = True
         for lo, hi, data, offsets in blocks(*utf8(row.field("text"))):
-            all_slots, ranges = word_slots(data, offsets, bits, hasher)
+            all_slots, ranges = feature_slots(data, offsets, bits, hasher)
             for i in range(hi - lo):
-                found, n = np.unique(all_slots[ranges[i] : ranges[i + 1]], return_counts=True)
+                own = all_slots[ranges[i] : ranges[i + 1]]
+                found, n = np.unique(own[chosen[own]], return_counts=True)
                 slots.append(found.astype(np.int32).tobytes())
                 counts.append(n.astype(np.int32).tobytes())
         return struct(slots=pa.array(slots, pa.binary()), counts=pa.array(counts, pa.binary()))
@@ -56,6 +77,35 @@ def _counted(bits: int):
     return of
 
 
+def telling_slots(sample: DataFrame, bits: int, least_z: float) -> np.ndarray:
+    """Slots whose share of rows differs between label 0 and the labels above by least_z standard errors.
+
+    Rows are counted by slot within each task first; what reaches the driver
+    are the slots chosen.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, hasher = np.zeros((2, 1 << bits), np.int32), RollingHash()
+        for batch in batches:
+            over = batch.column(1).to_numpy(zero_copy_only=False) > 0
+            for lo, hi, data, offsets in blocks(*utf8(batch.column(0))):
+                slots, ranges = feature_slots(data, offsets, bits, hasher)
+                for i in range(hi - lo):
+                    seen[int(over[lo + i]), np.unique(slots[ranges[i] : ranges[i + 1]])] += 1
+        some = np.flatnonzero(seen.any(axis=0))
+        for i in range(0, len(some), 100_000):
+            own = some[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[0, own].astype(np.int64)), pa.array(seen[1, own].astype(np.int64))], names=["slot", "n0", "n1"])
+
+    rows = sample.agg(F.count_if(F.col("label") <= 0).alias("r0"), F.count_if(F.col("label") > 0).alias("r1")).first()
+    r0, r1 = max(rows["r0"], 1), max(rows["r1"], 1)
+    seen = sample.select("text", "label").mapInArrow(count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pooled = (F.col("n0") + F.col("n1") + 0.5) / (r0 + r1 + 1)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / r0 + 1 / r1))
+    found = seen.filter(F.abs(F.col("n1") / r1 - F.col("n0") / r0) >= least_z * error).select("slot").toArrow()  # slots, at most
+    return np.sort(found["slot"].to_numpy().astype(np.int64))
+
+
 @dataclass
 class OrdinalModel:
     weights: np.ndarray  # of slots with weight
@@ -64,16 +114,23 @@ class OrdinalModel:
     bits: int
 
 
+def _seen(slots: list[np.ndarray], over: np.ndarray, bits: int) -> np.ndarray:
+    """In how many rows each slot occurs, apart for rows where over is 0 and 1."""
+    seen = np.zeros((2, 1 << bits), np.int32)
+    for s, k in zip(slots, over, strict=True):
+        seen[k, s] += 1  # a row's slots are distinct
+    return seen
+
+
 def grade_by_markers(slots: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, bits: int, grades: int) -> np.ndarray:
     """Severity grades of rows that are only labelled toxic or not.
 
-    Markers are words whose document frequency among toxic rows is over ten
+    Markers are features whose document frequency among toxic rows is over ten
     times that among the others. Toxic rows get grades 1 and up by how often
     they use markers, cut at equal parts of the toxic rows with any; toxic
     rows without markers get 1, all others 0.
     """
-    seen = [np.bincount(np.concatenate([s for s, t in zip(slots, toxic, strict=True) if t == k] or [np.zeros(0, np.int64)]), minlength=1 << bits) for k in (0, 1)]
-    n = np.maximum(np.bincount(toxic, minlength=2), 1)
+    seen, n = _seen(slots, toxic, bits), np.maximum(np.bincount(toxic, minlength=2), 1)
     marker = (seen[1] >= 3) & (seen[1] / n[1] > 10 * (seen[0] + 0.5) / n[0])
     used = np.array([c[marker[s]].sum() for s, c in zip(slots, counts, strict=True)])
     known = used[(toxic == 1) & (used > 0)]
@@ -95,26 +152,14 @@ def _largest(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, m:
     return float(norm) * 1.1
 
 
-def _telling(column: np.ndarray, over: np.ndarray, n_columns: int, rows: np.ndarray, least_z: float) -> np.ndarray:
-    """Columns whose share of rows differs between grade 0 and the grades above by least_z standard errors."""
-    n = np.maximum(rows, 1)
-    seen = np.stack([np.bincount(column[~over], minlength=n_columns), np.bincount(column[over], minlength=n_columns)])
-    share, pooled = seen / n[:, None], (seen.sum(axis=0) + 0.5) / (n.sum() + 1)
-    return np.abs(share[1] - share[0]) >= least_z * np.sqrt(pooled * (1 - pooled) * (1 / n).sum())
-
-
-def train(slots: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, *, bits: int = SLOT_BITS, grades: int = 4, rounds: int = 300, rate: float = 0.2, l1: float = 1e-4, least_z: float = 4.0) -> OrdinalModel:
+def train(slots: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, *, bits: int = SLOT_BITS, grades: int = 4, rounds: int = 300, rate: float = 0.2, l1: float = 1e-4) -> OrdinalModel:
     """Maximises the likelihood of the grades less an L1 penalty on the weights; thresholds stay ordered."""
-    if not len(grade):
+    if not sum(map(len, slots)):
         return OrdinalModel(np.zeros(0, np.float32), np.zeros(0, np.int64), np.full(grades - 1, 4.0) + np.arange(grades - 1), bits)
-    flat = np.concatenate(slots).astype(np.int64)
+    flat, value = np.concatenate(slots).astype(np.int64), 1 + np.log(np.concatenate(counts))
     row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    value = 1 + np.log(np.concatenate(counts))
     used, column = np.unique(flat, return_inverse=True)
-    often = _telling(column, (grade > 0)[row], len(used), np.bincount(grade > 0, minlength=2), least_z)
-    keep = often[column]
-    row, column, value = row[keep], (np.cumsum(often) - 1)[column[keep]], value[keep]
-    used, n = used[often], len(grade)
+    n = len(grade)
     over = np.maximum([(grade > k).mean() for k in range(grades - 1)], 1e-4)
     first, steps = float(np.log((1 - over[0]) / over[0])), np.log(np.maximum(np.diff(np.log((1 - over) / over)), 0.05))
     w = ahead = np.zeros(len(used))
@@ -142,15 +187,17 @@ def train(slots: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray,
     return OrdinalModel(w[some].astype(np.float32), used[some], first + np.concatenate([[0], np.cumsum(np.exp(steps))]), bits)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", graded: bool = False, grades: int = 4, id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, held_out: int | None = 2, bits: int = SLOT_BITS, **options) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", graded: bool = False, grades: int = 4, id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, held_out: int | None = 2, bits: int = SLOT_BITS, least_z: float = 4.0, **options) -> OrdinalModel:
     """A model from at most sample_rows labelled documents outside the held-out fold.
 
     graded: the label column holds grades 0..grades-1; else it holds 0 or 1
     and grade_by_markers makes grades of it. Without labelled rows the model
     gives every text the same low severity.
     """
-    sample = sample_labelled(docs, labels, label, rows=sample_rows, id_col=id_col, text=text, held_out=held_out)
-    rows = map_rows(sample, _counted(bits), "slots binary, counts binary").select("out.*", "row.label").toArrow()
+    sample = written(sample_labelled(docs, labels, label, rows=sample_rows, id_col=id_col, text=text, held_out=held_out), "toxicity-sample")
+    chosen = telling_slots(sample, bits, least_z)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    rows = map_rows(sample, _counted(bits, shared), "slots binary, counts binary").select("out.*", "row.label").toArrow()
     slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
     counts = [np.frombuffer(x, np.int32) for x in rows["counts"].to_pylist()]
     y = np.array(rows["label"].to_pylist(), np.int64)
@@ -173,7 +220,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text")
         weight[model.slots] = model.weights
         totals = []
         for lo, hi, data, offsets in blocks(*utf8(row.field(text))):
-            slots, ranges = word_slots(data, offsets, model.bits, hasher)
+            slots, ranges = feature_slots(data, offsets, model.bits, hasher)
             hit = np.flatnonzero(weight[slots])
             owner = np.searchsorted(ranges, hit, side="right") - 1
             pair, n = np.unique(owner * (1 << model.bits) + slots[hit], return_counts=True)

@@ -52,14 +52,16 @@ def speech(audio: DataFrame) -> DataFrame:
 def integrate(grid: DataFrame, detections: DataFrame, books: DataFrame, audio: DataFrame, p: Params) -> DataFrame:
     """The grid with every observation: absent ones are 0 (boxes -1), a missing proximity stays null.
 
-    All five joins share one key, so each side is exchanged once.
+    Faces and persons that no book encloses are aggregated together, and all
+    joins share one key, so each side is exchanged once.
     """
-    kept = outside_books(detections, sampled(books, p))
-    face = sampled(faces(kept), p).groupBy(*KEY).agg(F.max("proximity").alias("proximity"), F.max("conf").alias("face_conf"))
-    person = sampled(kept.filter("kind = 'person'"), p).groupBy(*KEY).agg(F.max("conf").alias("person_conf"))
+    is_face = (F.col("kind") == "face") & F.col("proximity").isNotNull()
+    near = proximity(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("age_class"))
+    kept = sampled(outside_books(detections, sampled(books, p)), p).withColumn("proximity", near)
+    seen = kept.groupBy(*KEY).agg(F.max(F.when(is_face, F.col("proximity"))).alias("proximity"), F.max(F.when(is_face, F.col("conf"))).alias("face_conf"), F.max(F.when(F.col("kind") == "person", F.col("conf"))).alias("person_conf"))
     book = sampled(books, p).select(*KEY).distinct().withColumn("has_book", F.lit(1))
     joined = grid
-    for side in (face, person, book, hull(detections), speech(audio)):
+    for side in (seen, book, hull(detections), speech(audio)):
         joined = joined.join(side, KEY, "left")
     filled = {**{c: 0 for c in ("has_kchi", "has_cds", "has_ohs", "has_book")}, **{c: 0.0 for c in ("person_conf", "face_conf")}, **{c: -1.0 for c in ("last_x1", "last_y1", "last_x2", "last_y2")}}
     return joined.fillna(filled).withColumn("presence_conf", F.greatest("person_conf", "face_conf"))

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from kithline.params import Params
 
 
-def islands(frames: DataFrame, flag: str, p: Params, name: str | None = None) -> DataFrame:
-    """video_id, type, start, end of maximal runs of flagged frames at most one step apart."""
-    w = Window.partitionBy("video_id").orderBy("frame")
-    flagged = frames.filter(F.col(flag) == 1).select("video_id", "frame").distinct()
+def islands(frames: DataFrame, flags: dict[str, str], p: Params) -> DataFrame:
+    """video_id, type, start, end of maximal runs of flagged frames at most one step apart; flags: the type of each 0/1 column.
+
+    All flags go through one exchange.
+    """
+    w = Window.partitionBy("video_id", "type").orderBy("frame")
+    types = F.array(*[F.when(F.col(c) == 1, F.lit(t)) for c, t in flags.items()])
+    flagged = frames.select("video_id", "frame", F.explode(F.filter(types, lambda x: x.isNotNull())).alias("type")).distinct()
     begins = F.coalesce((F.col("frame") - F.lag("frame").over(w) > p.step).cast("int"), F.lit(1))
     numbered = flagged.withColumn("begins", begins).withColumn("island", F.sum("begins").over(w))
-    return numbered.groupBy("video_id", "island").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).select("video_id", F.lit(name or flag).alias("type"), "start", "end")
+    return numbered.groupBy("video_id", "type", "island").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).select("video_id", "type", "start", "end")
 
 
 def fold_bouts(ordered: Column, turn_gap: float, same_gap: float) -> Column:
@@ -54,7 +58,7 @@ def bouts(speech_islands: DataFrame, p: Params) -> DataFrame:
 
 
 def speech_islands(frames: DataFrame, p: Params) -> DataFrame:
-    return islands(frames, "has_kchi", p, "kchi").unionByName(islands(frames, "has_cds", p, "cds"))
+    return islands(frames, {"has_kchi": "kchi", "has_cds": "cds"}, p)
 
 
 def mark_bouts(frames: DataFrame, p: Params) -> DataFrame:

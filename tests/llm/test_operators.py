@@ -157,7 +157,7 @@ def test_ordinal_gradient():
     grade = np.repeat([0, 1, 2, 3], 60)
     slots = [np.unique(rng.integers(0, 30, 3 + 3 * g)) + 100 * g for g in grade]
     counts = [np.ones(len(s)) for s in slots]
-    model = toxicity.train(slots, counts, grade, least_z=1.0)
+    model = toxicity.train(slots, counts, grade)
     z = np.array([model.weights[np.isin(model.slots, s)].sum() for s in slots])
     assert np.corrcoef(z, grade)[0, 1] > 0.8
 
@@ -235,17 +235,23 @@ def test_encoder_on_white_space():
     tk = Tokenizer.from_file(tokenizer_path())
     tk.encode_special_tokens = True
     enc = token_files.Encoder(tokenizer_path(), "<u2")
-    texts = ["a b", " a b", "a b ", "a  b", "a \nb c", "a\n b c", "it's o'clock 's x", "a\tb c", "x\u00a0y z", "x\u3000 y z", "\x1c a b", "1 23 a1 $ .. a", "<|endoftext|> x y", *[t for t in ODD if t]]
+    texts = ["a b", " a b", "a b ", "a  b", "a \nb c", "a\n b c", "it's o'clock 's x", "a\tb c", "x\u00a0y z", "x\u3000 y z", "\x1c a b", "1 23 a1 $ .. a", "<|endoftext|> x y", "a x. y's z' caf\u00e9. \u0661. n\u0301. o\u00b2 p2 \u4e00\u3002 q", *[t for t in ODD if t]]
     for _ in range(2):
         for text, ids in zip(texts, enc.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u2").tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_memory_keeps_what_is_used():
-    m = token_files.Memory(2)
-    m.update(a=b"1", b=b"2", c=b"3")
+    made = []
+    m = token_files.Memory(2, lambda k: made.append(k) or k.encode())
+    for k in "abca":
+        assert m[k] == k.encode()
     m.age()
-    assert m.unknown({"a", "z"}) == ["z"] and m["a"] == b"1" and dict(m) == {"a": b"1"}
+    assert m["a"] == b"a" and dict(m) == {"a": b"a"} and made == ["a", "b", "c"]
+    for k in "xya":
+        assert m[k] == k.encode()
+    m.age()
+    assert m["b"] == b"b" and made == ["a", "b", "c", "x", "y", "b"]
 
 
 TURNS = "conv_id long, turn long, role string, text string, ids string"

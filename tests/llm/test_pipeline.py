@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
     score = quality_model.score_quality(docs, quality_model.fit_quality(docs, labels))
     assert ids[1] == {r[0] for r in score.filter(F.col("out.score") >= corpus_pipeline.LEAST_QUALITY).select("row.doc_id").collect()}
     toxic = toxicity.score_toxicity(seen[1], toxicity.fit_toxicity(docs, labels))
-    assert ids[2] == {r[0] for r in toxic.filter("out.p_toxic < 0.5").select("row.doc_id").collect()}
+    assert ids[2] == {r[0] for r in toxic.filter(F.col("out.p_toxic") < toxicity.TOXIC).select("row.doc_id").collect()}
     assert ids[3] == {r["component_id"] for r in simhash.near_duplicates(seen[2]).collect()}
     found = contamination.find_contamination(seen[3], bench)
     assert ids[4] == {r[0] for r in found.filter(~contamination.is_contaminated()).select("row.doc_id").collect()}

@@ -55,7 +55,7 @@ def test_trailing_window_needs_all_rows(spark):
 
 def test_islands(spark):
     df = spark.createDataFrame([(1, f, 1) for f in (0, 10, 30)], "video_id long, frame long, flag int")
-    assert rows(sessions.islands(df, "flag", P)) == [(1, "flag", 0, 10), (1, "flag", 30, 30)]
+    assert rows(sessions.islands(df, {"flag": "x"}, P)) == [(1, "x", 0, 10), (1, "x", 30, 30)]
 
 
 @pytest.mark.parametrize(
