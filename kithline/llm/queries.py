@@ -88,4 +88,34 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op3_token_files, op4_url_filter, op5_quality_rules, op6_packing, op7_quality_model, op8_chat_format, op9_lang_id, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+# DuckDB SQL for the same rows, where SQL can state them: trained models, packing, token ids and seeded XXH64 have none.
+
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP1 = f"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, array_to_string(w[k : k + 12], ' ') AS x, least(len(w), 13) AS n FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+starts AS (SELECT DISTINCT n, split_part(x, ' ', 1) AS word FROM win),
+spot AS (SELECT p.doc_id, p.k, s.n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) p JOIN starts s USING (word)),
+found AS (SELECT doc_id, item, k, n FROM (SELECT s.doc_id, s.k, s.n, array_to_string(d.w[s.k : s.k + s.n - 1], ' ') AS x FROM spot s JOIN d USING (doc_id)) JOIN win USING (x, n)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS j FROM found) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+_REJECTED = " OR ".join(f"({r.when})" for r in quality_rules.RULES).replace("\\\\p", "\\p").replace(", '')", ", '', 'g')").replace("replace(text, '!', '', 'g')", "replace(text, '!', '')")
+
+_OP5 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+p AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, word AS a, lead(word, 1) OVER v AS b, lead(word, 2) OVER v AS c, k FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) WINDOW v AS (PARTITION BY doc_id ORDER BY k)) WHERE c IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(k, k + 3)) AS j FROM p WHERE n > 1) GROUP BY 1),
+s AS (SELECT doc_id, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR {_REJECTED}) AS kept FROM s"""
+
+_OP8 = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '{CONTROL}'),
+e AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_start|><|im_sep|><|im_end|>') AS written FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(written)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op5_quality_rules": _OP5, "op8_chat_format": _OP8}

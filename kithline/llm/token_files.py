@@ -150,14 +150,15 @@ def _put(path: str, data: bytes) -> None:
 
 
 def _mapped(path: str, dtype: str) -> np.ndarray:
-    """A file as a memory-mapped array; one that isn't local is fetched to the task's own temporary folder first."""
+    """A file as a memory-mapped array; one that isn't local is mapped from a nameless copy, which goes with the array."""
     fs, inner = _place(path)
-    if not isinstance(fs, pfs.LocalFileSystem):
-        with fs.open_input_stream(inner) as f, tempfile.NamedTemporaryFile(delete=False) as here:
-            while part := f.read(1 << 22):
-                here.write(part)
-        inner = here.name
-    return np.memmap(inner, dtype=dtype, mode="r") if os.path.getsize(inner) else np.zeros(0, dtype)
+    if isinstance(fs, pfs.LocalFileSystem):
+        return np.memmap(inner, dtype=dtype, mode="r") if os.path.getsize(inner) else np.zeros(0, dtype)
+    with fs.open_input_stream(inner) as f, tempfile.TemporaryFile() as here:
+        while part := f.read(1 << 22):
+            here.write(part)
+        here.flush()
+        return np.memmap(here, dtype=dtype, mode="r") if here.tell() else np.zeros(0, dtype)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text: str = "text", end_id: int | None = 2, dtype: str = "<u2", partitions: int | None = None) -> DataFrame:

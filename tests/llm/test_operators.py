@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kithline.llm import chat_format, lang_id, packing, quality_model, quality_rules, simhash, token_files, toxicity, url_filter
 from kithline.llm import decontaminate as contamination
-from kithline.llm.queries import CONTROL, URL_RULES, tokenizer_path
+from kithline.llm.queries import CONTROL, ORACLE_SQL, QUERIES, URL_RULES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, out string, row string, score double"
@@ -223,6 +223,34 @@ def test_token_files(spark, odd, tmp_path):
     assert keys[0] is None and keys[1:] == sorted(keys[1:])
 
 
+def test_mapped_copy_of_a_remote_file(tmp_path, monkeypatch):
+    """A file of another file system than the local one is mapped too, and leaves nothing behind."""
+    import pyarrow.fs as pfs
+
+    (tmp_path / "a").write_bytes(np.arange(5, dtype="<u2").tobytes())
+    (tmp_path / "none").write_bytes(b"")
+    (tmp_path / "own").mkdir()
+    monkeypatch.setattr(token_files, "_place", lambda p: (pfs.SubTreeFileSystem(str(tmp_path), pfs.LocalFileSystem()), p))
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path / "own"))
+    got = token_files._mapped("a", "<u2")
+    assert isinstance(got, np.memmap) and got.tolist() == [0, 1, 2, 3, 4]
+    assert token_files._mapped("none", "<u2").tolist() == [] and not list((tmp_path / "own").iterdir())
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     assert token_files.write_tokens(empty(spark), path, tokenizer_path()).count() == 0
