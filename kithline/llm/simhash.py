@@ -187,8 +187,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")  # two numbers a row
     roots = connected_components(links(distinct.select("fp"), bits))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    # Both sides of the join on root are read from files: Spark splits a hot root only where an exchange has no aggregation above it.
+    component = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
     of_print = written(rooted.join(component, "root").select("fp", "component_id"), "components")
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
