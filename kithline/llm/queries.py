@@ -41,7 +41,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
-    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path(), added=True)
     found = token_files.read_tokens(spark, path, token_files.crc32_ids, "ids_crc32 long")
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 

@@ -78,16 +78,19 @@ class Encoder:
     such a cut, so a text without neighbouring white space falls into its
     space-separated units, whose ids are remembered; units not seen before are
     cut into pieces, and pieces not seen before go through the tokenizer's
-    model, spelled in the vocabulary's byte letters. Control strings within a
-    text are ordinary text.
+    model, spelled in the vocabulary's byte letters. Strings of added tokens
+    (control strings) within a text are ordinary text, or with ``added`` the
+    ids of those tokens, as in the library's default settings: a text that
+    holds one goes through the library whole.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         if sys.byteorder != "little" or array(self.code).itemsize != np.dtype(dtype).itemsize:
             raise RuntimeError("ids are written as this machine holds them, which must be little-endian")
@@ -101,7 +104,9 @@ class Encoder:
         """The ids of each text as bytes of dtype."""
         out = []
         for text in texts:
-            if " " in text and not text[0].isspace() and not text[-1].isspace() and not self.together.search(text):
+            if any(map(text.__contains__, self.added)):
+                out.append(array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            elif " " in text and not text[0].isspace() and not text[-1].isspace() and not self.together.search(text):
                 first, *rest = text.split(" ")
                 out.append(self._cut(first) + b"".join(map(self.units.__getitem__, rest)))
             else:
@@ -127,11 +132,11 @@ class Encoder:
         return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
-def encoder(path: str, dtype: str = "<u2") -> Encoder:
+def encoder(path: str, dtype: str = "<u2", added: bool = False) -> Encoder:
     """This process's encoder for a tokenizer file; what it remembers lasts as long as the process."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = Encoder(path, dtype)
-    return _encoders[path, dtype]
+    if (path, dtype, added) not in _encoders:
+        _encoders[path, dtype, added] = Encoder(path, dtype, added)
+    return _encoders[path, dtype, added]
 
 
 def _place(path: str) -> tuple[pfs.FileSystem, str]:
@@ -161,13 +166,15 @@ def _mapped(path: str, dtype: str) -> np.ndarray:
         return np.memmap(here, dtype=dtype, mode="r") if here.tell() else np.zeros(0, dtype)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text: str = "text", end_id: int | None = 2, dtype: str = "<u2", partitions: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text: str = "text", end_id: int | None = 2, dtype: str = "<u2", partitions: int | None = None, added: bool = False) -> DataFrame:
     """Writes the folder ``path`` and returns its index: part, n_docs, n_tokens, doc_base, token_base.
 
     A null or empty text is only the end id. Documents stand in ascending order
     of id, null ids first; rows that repeat an id stand beside each other. An
     empty table gives an empty index. Other columns are not written. ids must
-    fit dtype: ``<u2`` below 65,536, else ``<u4``.
+    fit dtype: ``<u2`` below 65,536, else ``<u4``. added: strings of the
+    tokenizer's added tokens become their ids, as in the library's default
+    settings; otherwise they are ordinary text.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -180,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), encoder(tokenizer, dtype)
+        part, enc = TaskContext.get().partitionId(), encoder(tokenizer, dtype, added)
         fs, inner = _place(path)
         own, width = f"{inner}/ids-{part}.bin.{uuid.uuid4().hex}", np.dtype(dtype).itemsize
         keys, lengths, out = [], [], None

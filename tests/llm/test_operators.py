@@ -269,6 +269,19 @@ def test_encoder_on_white_space():
             assert np.frombuffer(ids, "<u2").tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_token_files_with_added_tokens(spark, tmp_path):
+    """op3 reads texts as the library does in its default settings."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path())
+    texts = [*ODD[:12], "a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  z", "<|endoftext |>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op3_token_files"](spark, str(tmp_path)).collect()}
+    ids = [[*tk.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert 50256 in ids[12] and got == {k: (len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in enumerate(ids)}
+
+
 def test_memory_keeps_what_is_used():
     made = []
     m = token_files.Memory(2, lambda k: made.append(k) or k.encode())
