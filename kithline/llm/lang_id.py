@@ -7,7 +7,7 @@ are the average over all its positions. Gates are piecewise linear, which
 costs less than a sigmoid and trains as well.
 
 The network is trained in numpy by backpropagation through time on windows of
-a bounded sample of labelled documents.
+a bounded sample of labelled documents, drawn from each language.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from kithline.llm.common import blocks, crc_fold, map_rows, struct, utf8
 
 WINDOW = 64
 HIDDEN = 8
-#: At most so many documents train the network, with at most so many windows of each.
+#: At most so many documents train the network, with all their windows.
 SAMPLE_ROWS = 2000
-SAMPLE_WINDOWS = 8
+#: A language is drawn from at so many times its part, so that its part is reached.
+DRAW = 1.5
 #: Windows that a task works on at once.
 BATCH = 2048
 UNKNOWN = "und"
@@ -163,36 +164,59 @@ def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, languages:
     return model
 
 
-def _windows(row: pa.StructArray) -> pa.StructArray:
-    """Up to SAMPLE_WINDOWS windows of each text, evenly spread."""
-    data, offsets = utf8(row.field("text"))
-    out = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        starts = range(a, max(a + 1, b - WINDOW // 2), WINDOW)
-        step = max(1, len(starts) // SAMPLE_WINDOWS)
-        out.append([data[s : min(s + WINDOW, b)].tobytes() for s in list(starts)[::step][:SAMPLE_WINDOWS] if b > a])
-    return struct(windows=pa.array(out, pa.list_(pa.binary())))
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows (n, WINDOW) of the texts, their sizes and the text of each."""
+    counts = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
+    sizes, first = np.full(counts.sum(), WINDOW, np.int64), np.cumsum(counts) - counts
+    data = np.zeros((len(sizes), WINDOW), np.uint8)
+    flat = data.reshape(-1)
+    for t, n, k in zip(texts, counts.tolist(), first.tolist(), strict=True):
+        flat[k * WINDOW : k * WINDOW + len(t)] = np.frombuffer(t, np.uint8)
+        if n:
+            sizes[k + n - 1] = len(t) - (n - 1) * WINDOW
+    return data, sizes, np.repeat(np.arange(len(texts)), counts)
+
+
+def parts(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows to take of each language: equal parts of total, but no more than there are; at least one."""
+    out, left = {}, total
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[name]
+    return out
 
 
 def fit_languages(docs: DataFrame, *, lang: str = "lang", id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, held_out: int | None = 2, **options) -> LanguageModel:
     """A network from at most sample_rows documents with a language outside the held-out fold, chosen by a hash of their id.
 
-    Only texts and languages are learned from. Null ids, texts and languages
-    are left out. Without such rows the model knows no language.
+    Every language gives an equal part of the documents, or all it has. Only
+    texts and languages are learned from, texts with all their windows. Null
+    ids, texts and languages are left out. Without such rows the model knows no
+    language.
     """
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("key is not null and lang is not null")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("key is not null and lang is not null and text <> ''")
     if held_out is not None:
         rows = rows.filter(crc_fold("key") != held_out)
-    keys = rows.select("key").orderBy(F.xxhash64("key"), "key").limit(sample_rows).distinct()
-    some = rows.filter("text is not null").join(F.broadcast(keys), "key").select("text", "lang").limit(2 * sample_rows)  # keys: at most sample_rows rows
-    got = map_rows(some, _windows, "windows array<binary>").select("row.lang", "out.windows").toArrow()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    wanted = [(name, n, min(1.0, (DRAW * n + 8) / counts[name])) for name, n in parts(counts, sample_rows).items()]
+    quotas = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, n long, share double"))
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.select("key", "lang").join(quotas, "lang").withColumn("place", place).filter("place < share")
+    # About DRAW times sample_rows ids, fewer for each language than its part and a half; only these are ordered.
+    near = drawn.select("lang", "n", "place", "key").distinct().orderBy("place", "key").collect()
+    taken: dict[str, int] = {}
+    keys = []
+    for r in near:
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= r["n"]:
+            keys.append((r["key"], r["lang"]))
+    chosen = docs.sparkSession.createDataFrame(keys[:sample_rows], f"key {rows.schema['key'].dataType.simpleString()}, lang string")
+    some = rows.join(F.broadcast(chosen), ["key", "lang"]).select("text", "lang").limit(2 * sample_rows)  # chosen: at most sample_rows rows
+    got = some.toArrow()
     names = got["lang"].to_pylist()
     languages = sorted(set(names))
-    flat = [(w, languages.index(n)) for n, own in zip(names, got["windows"].to_pylist(), strict=True) for w in own]
-    data = np.zeros((len(flat), WINDOW), np.uint8)
-    for i, (w, _) in enumerate(flat):
-        data[i, : len(w)] = np.frombuffer(w, np.uint8)
-    return train(data, np.array([len(w) for w, _ in flat], np.int64), np.array([y for _, y in flat], np.int64), languages, **options)
+    data, sizes, of = windows([t.encode() for t in got["text"].to_pylist()])
+    return train(data, sizes, np.array([languages.index(n) for n in names], np.int64)[of], languages, **options)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:

@@ -251,6 +251,21 @@ def test_query_against_sql(spark, name):
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
 
 
+def test_language_sample(spark, monkeypatch):
+    """Every language is drawn from, and every byte of a drawn text is learned from."""
+    seen = {}
+    monkeypatch.setattr(lang_id, "train", lambda data, sizes, labels, languages, **_: seen.update(data=data, sizes=sizes, labels=labels, languages=languages))
+    texts = {k: f"{k} " + "word " * 150 for k in range(400)}
+    rows = [(k, t, "rare" if k == 7 else "often") for k, t in texts.items()] + [(1000, None, "often"), (1001, "", "none")]
+    lang_id.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=10, held_out=None)
+    assert seen["languages"] == ["often", "rare"]
+    joined = b"".join(w[:n].tobytes() for w, n in zip(seen["data"], seen["sizes"], strict=True)).decode()
+    found = [int(k) for k in re.findall(r"\d+", joined)]
+    assert 7 in found and 9 <= len(found) <= 10 and joined == "".join(texts[k] for k in found)
+    assert int((seen["labels"] == 1).sum()) == -(-len(texts[7]) // lang_id.WINDOW)
+    assert lang_id.parts({"a": 1, "b": 50, "c": 10**9}, 100) == {"a": 1, "b": 49, "c": 50}
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     assert token_files.write_tokens(empty(spark), path, tokenizer_path()).count() == 0
