@@ -40,9 +40,12 @@ class _Supply:
 
     def __init__(self, lengths: np.ndarray):
         found, n = np.unique(lengths, return_counts=True)
+        found, n = found[found > 0], n[found > 0]  # a piece of length 0 fills nothing
         self.lengths, self.left = found.tolist(), dict(zip(found.tolist(), n.tolist(), strict=True))
 
     def take(self, length: int) -> None:
+        if not length:
+            return
         self.left[length] -= 1
         if not self.left[length]:
             self.lengths.pop(bisect_left(self.lengths, length))
@@ -80,7 +83,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, attentio
                 del with_room[room]
         else:
             fits = [c for c in sizes if c >= length]
-            room = min(fits, key=lambda c: (cost(c, attention) / (length + supply.filled(c - length)), c))
+            room = min(fits, key=lambda c: (cost(c, attention) / max(1, length + supply.filled(c - length)), c))
             b = len(room_of)
             room_of.append(room)
             held.append(0)

@@ -251,6 +251,14 @@ def test_query_against_sql(spark, name):
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
 
 
+def test_packing_with_lengths_of_zero(spark):
+    rows = spark.createDataFrame([(1, None), (2, 0), (3, 5), (4, -1)], "doc_id long, n long")
+    got = {r["doc_id"]: r["piece_tokens"] for r in packing.pack_documents(rows, length=F.col("n"), capacities=(8, 16)).collect()}
+    assert got == {1: 0, 2: 0, 3: 5, 4: 0}
+    none = packing.pack_documents(rows.filter("doc_id <> 3"), length=F.col("n"), capacities=(8, 16)).collect()
+    assert len(none) == 3 and {r["bin"] for r in none} == {none[0]["bin"]} and none[0]["capacity"] == 8
+
+
 def test_language_sample(spark, monkeypatch):
     """Every language is drawn from, and every byte of a drawn text is learned from."""
     seen = {}
