@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from kithline.llm import decontaminate, packing, quality_model, simhash, toxicity
 from kithline.llm.common import table, written
 
-#: A document goes from this low a probability of good quality.
-LEAST_QUALITY = 0.5
+#: A document that the classifier rejects (op7's predicted = 0) goes.
+LEAST_QUALITY = quality_model.KEEP
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithline.llm import decontaminate as contamination
 from kithline.llm import packing, quality_model, simhash, toxicity
+from kithline.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +39,17 @@ def test_stages(spark, tmp_path):
     assert len(good - ids[1]) <= 0.02 * len(good)
 
 
+def test_quality_stage_keeps_what_op7_keeps(spark, monkeypatch):
+    """Scores between 0.5 and op7's threshold are rejected as well."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = F.struct((F.pmod("doc_id", F.lit(101)) / 100.0).alias("score")).alias("out")
+    monkeypatch.setattr(quality_model, "fit_quality", lambda *a: None)
+    monkeypatch.setattr(quality_model, "score_quality", lambda d, m: d.select(F.struct(*d.columns).alias("row"), scores))
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).collect()}
+    want = {r["doc_id"] for r in QUERIES["op7_quality_model"](spark, SF).filter("predicted = 1").collect()}
+    assert kept == want and len(kept) < docs.count()
+
+
 def test_stages_on_empty_and_wide_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     wide = docs.limit(20).withColumns({"out": F.lit("x"), "row": F.lit(1), "score": F.lit(0.1), "component_id": F.lit(None).cast("long"), "fp": F.lit("f")})
