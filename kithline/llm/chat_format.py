@@ -42,26 +42,30 @@ def unescape(text: str) -> str:
 
 
 class Decoder:
-    """Bytes of ids, by the vocabulary's byte letters and the marks."""
+    """Text of ids, by the tokenizers library and the marks; segments between marks are decoded each on its own, as they were encoded."""
 
     def __init__(self, path: str):
-        enc = encoder(path, "<u4")
-        byte_of = {letter: b for b, letter in enumerate(enc.letters)}
-        self.table: dict[int, bytes] = {i: bytes(byte_of[c] for c in token) for token, i in enc.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in token)}
-        self.table.update(MARKS)
+        self.tokenizer = encoder(path, "<u4").tokenizer
 
     def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+        return self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
+
+    def turn(self, ids: list[int]) -> tuple[str, str, int]:
+        """Role, text and the written form's number of characters of one turn's ids."""
+        sep = ids.index(IM_SEP)
+        role, text = self.text(ids[1:sep]), self.text(ids[sep + 1 : -1])
+        return role, text, len(role) + len(text) + sum(map(len, MARKS.values()))
 
 
 def assemble(turns: DataFrame, tokenizer: str, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row for each turn, in the conversation's order: conversation, ``place`` (0, 1, ...), ``ids``, ``token_start`` (tokens of the turns before), ``loss_from`` and ``loss_to`` (tokens of the conversation under the loss mask; equal if none).
 
     Null roles and texts are empty; null turns come first; turns with equal
-    numbers are ordered by role and text; rows that repeat each other are kept;
-    a null conversation is one of its own; an empty table gives no rows. Turns
-    are encoded where they lie; what is shuffled by conversation is ids, and no
-    task holds a conversation whole.
+    numbers are ordered by role and a hash of the text; rows that repeat each
+    other are kept; a null conversation is one of its own; an empty table gives
+    no rows. Turns are encoded where they lie; what is shuffled by conversation
+    is ids, without texts, and no task holds a conversation whole: one of very
+    many turns streams through its task, sorted on disk.
     """
     named = turns.select(F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
@@ -77,45 +81,53 @@ def assemble(turns: DataFrame, tokenizer: str, *, conversation: str = "conv_id",
             end.append(int(lengths[3]))
         return struct(ids=pa.array(ids, pa.list_(pa.int32())), text_from=pa.array(begin, pa.int64()), text_to=pa.array(end, pa.int64()))
 
-    encoded = map_rows(named, of, "ids array<int>, text_from long, text_to long")
-    order = Window.partitionBy("conversation").orderBy("turn", "role", "text")
-    flat = encoded.select("row.conversation", "row.turn", "row.role", "row.text", "out.*")
+    hashed = named.withColumn("tie", F.xxhash64("text"))
+    encoded = map_rows(hashed, of, "ids array<int>, text_from long, text_to long", ["conversation", "turn", "role", "tie"])
+    order = Window.partitionBy("conversation").orderBy(F.asc_nulls_first("turn"), "role", "tie")
+    flat = encoded.select("row.*", "out.*")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = flat.withColumns({"place": F.row_number().over(order) - 1, "token_start": F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)).cast("long")})
     learned = F.col("role") == LEARNED_ROLE
     return placed.select("conversation", "place", "ids", "token_start", (F.col("token_start") + F.col("text_from")).alias("loss_from"), (F.col("token_start") + F.when(learned, F.col("text_to")).otherwise(F.col("text_from"))).alias("loss_to"))
 
 
-DIGEST = "conversation long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def digests(assembled: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each conversation, read back from its ids and loss spans alone; rows stream, and no conversation is held whole."""
-    ordered = assembled.select(F.col("conversation").cast("long").alias("conversation"), "place", "ids", "token_start", "loss_from", "loss_to").repartition("conversation").sortWithinPartitions("conversation", "place")
+    # The window asks for rows by conversation in order; what assemble() has just dealt so is not dealt again.
+    seen = F.row_number().over(Window.partitionBy("conversation").orderBy("place"))
+    ordered = assembled.withColumn("seen", seen).select("conversation", "seen", "ids", "token_start", "loss_from", "loss_to")
+    kind = assembled.schema["conversation"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, own = Decoder(tokenizer), None
         for batch in batches:
             done = []
-            for conversation, _, ids, start, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if own is None or own[0] != conversation:
+            for i in range(len(batch)):
+                conversation, seen, start, a, b = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4, 5))
+                ids = batch.column(2)[i].values.to_pylist()
+                if seen == 1:
                     done += [own] if own else []
                     own = [conversation, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                sep = ids.index(IM_SEP)
-                role, text = unescape(decoder.text(ids[1:sep])), unescape(decoder.text(ids[sep + 1 : -1]))
-                learned = unescape(decoder.text(ids[a - start : b - start]))
+                role, text, written = decoder.turn(ids)
+                role, text, sep = unescape(role), unescape(text), ids.index(IM_SEP)
+                # The span of the mask is the turn's text or nothing.
+                learned = text if (a - start, b - start) == (sep + 1, len(ids) - 1) else unescape(decoder.text(ids[a - start : b - start]))
                 own[1] += 1
                 own[2].update(f"{role}\n{text}\n".encode())
                 own[3] += len(learned)
                 own[4].update(learned.encode())
-                own[5] += len(decoder.text(ids))
-            yield _digest_rows(done)
-        yield _digest_rows([own] if own else [])
+                own[5] += written
+            yield _digest_rows(done, batch.schema.field(0).type)
+        if own:
+            yield _digest_rows([own], batch.schema.field(0).type)
 
-    return ordered.mapInArrow(read, DIGEST)
+    return ordered.mapInArrow(read, f"conversation {kind}, {DIGEST}")
 
 
-def _digest_rows(rows: list[list]) -> pa.RecordBatch:
+def _digest_rows(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
     columns = list(zip(*[[r[0], r[1], r[2].hexdigest(), r[3], r[4].hexdigest(), r[5]] for r in rows], strict=True)) or [[]] * 6
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
+    kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conversation", *[c.split()[0] for c in DIGEST.split(", ")]])

@@ -7,6 +7,7 @@ column of the input can never clash with a result column.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,8 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Texts may be long, so batches are short.
-BATCH_ROWS = 256
 #: UTF-8 bytes worked on at once inside a task; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -36,13 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback["dir"]
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What fresh_path() names within is deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kithline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kithline/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
 
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends here and survives a lost executor.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends here and survives a lost executor."""
-    path = fresh_path(df.sparkSession, name)
+    path: one named before, so that it outlives a scratch() begun since.
+    """
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,18 +81,26 @@ def crc_fold(key: str | Column, n: int = 4) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % n
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.StructArray], pa.StructArray], out: str | T.StructType) -> DataFrame:
-    """Columns ``row`` (struct of df's columns) and ``out`` (fn's struct for each row); fn gets ``row`` of a batch."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def map_rows(df: DataFrame, fn: Callable[[pa.StructArray], pa.StructArray], out: str | T.StructType, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``row`` (struct of df's columns) and ``out`` (fn's struct for each row); fn gets all columns of a batch as a struct.
+
+    keep: the columns that ``row`` carries on, so that a text nobody asks for
+    doesn't travel back from Python. Spark ends an Arrow batch at
+    spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so long texts don't
+    add up.
+    """
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     kind = T.StructType.fromDDL(out) if isinstance(out, str) else out
-    schema = T.StructType([packed.schema["row"], T.StructField("out", kind)])
+    kept = [i for i, c in enumerate(df.columns) if keep is None or c in keep]
+    carried = T.StructType([packed.schema["row"].dataType.fields[i] for i in kept])
+    schema = T.StructType([T.StructField("row", carried, False), T.StructField("out", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)
-            yield pa.RecordBatch.from_arrays([row, fn(row)], names=["row", "out"])
+            values = row.flatten()
+            own = pa.StructArray.from_arrays([values[i] for i in kept], fields=[row.type.field(i) for i in kept])
+            yield pa.RecordBatch.from_arrays([own, fn(row)], names=["row", "out"])
 
     return packed.mapInArrow(run, schema)
 
@@ -187,12 +214,23 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, *, rows: int
     """At most ``rows`` labelled documents, chosen by a hash of the id, as columns text and label.
 
     Rows whose crc32(id) modulo 4 is held_out are never among them. A document
-    labelled more than once counts with its greatest label. Null ids and labels
-    are left out.
+    labelled more than once counts with its greatest label; of documents that
+    repeat an id the one whose text has the least hash counts. Null ids and
+    labels are left out.
     """
     some = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label is not null")
     if held_out is not None:
         some = some.filter(crc_fold("key") != held_out)
     some = some.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(rows)
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(some), "key").select("text", "label")  # at most ``rows`` rows
+    return one_of_each(docs.select(F.col(id_col).alias("key"), F.col(text).cast("string").alias("text")), some).select("text", "label")
+
+
+def one_of_each(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen (key and more, a bounded number of rows with distinct keys) with the text of its key; of several that of the least hash.
+
+    Hashes are compared first, so that copies of a text don't travel.
+    """
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    least = hashed.join(F.broadcast(chosen.select("key")), "key").groupBy("key").agg(F.min("hash").alias("hash"))
+    found = hashed.join(F.broadcast(least), ["key", "hash"]).groupBy("key").agg(F.min("text").alias("text"))
+    return found.join(F.broadcast(chosen), "key")

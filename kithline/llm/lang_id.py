@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import blocks, crc_fold, map_rows, struct, utf8
+from kithline.llm.common import blocks, crc_fold, map_rows, one_of_each, struct, utf8
 
 WINDOW = 64
 HIDDEN = 8
@@ -191,19 +191,19 @@ def fit_languages(docs: DataFrame, *, lang: str = "lang", id_col: str = "doc_id"
 
     Every language gives an equal part of the documents, or all it has. Only
     texts and languages are learned from, texts with all their windows. Null
-    ids, texts and languages are left out. Without such rows the model knows no
-    language.
+    ids, texts and languages are left out; of rows that repeat an id one counts.
+    Without such rows the model knows no language.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("key is not null and lang is not null and text <> ''")
     if held_out is not None:
         rows = rows.filter(crc_fold("key") != held_out)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}  # a row for each language
     wanted = [(name, n, min(1.0, (DRAW * n + 8) / counts[name])) for name, n in parts(counts, sample_rows).items()]
     quotas = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, n long, share double"))
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.select("key", "lang").join(quotas, "lang").withColumn("place", place).filter("place < share")
     # About DRAW times sample_rows ids, fewer for each language than its part and a half; only these are ordered.
-    near = drawn.select("lang", "n", "place", "key").distinct().orderBy("place", "key").collect()
+    near = drawn.groupBy("place", "key").agg(F.min(F.struct("lang", "n")).alias("l")).select("key", "l.*").orderBy("place", "key").collect()
     taken: dict[str, int] = {}
     keys = []
     for r in near:
@@ -211,26 +211,26 @@ def fit_languages(docs: DataFrame, *, lang: str = "lang", id_col: str = "doc_id"
         if taken[r["lang"]] <= r["n"]:
             keys.append((r["key"], r["lang"]))
     chosen = docs.sparkSession.createDataFrame(keys[:sample_rows], f"key {rows.schema['key'].dataType.simpleString()}, lang string")
-    some = rows.join(F.broadcast(chosen), ["key", "lang"]).select("text", "lang").limit(2 * sample_rows)  # chosen: at most sample_rows rows
-    got = some.toArrow()
+    # Of rows that repeat an id one counts, so these are at most sample_rows.
+    got = one_of_each(rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").select("key", "text"), chosen).select("text", "lang").toArrow()
     names = got["lang"].to_pylist()
     languages = sorted(set(names))
     data, sizes, of = windows([t.encode() for t in got["text"].to_pylist()])
     return train(data, sizes, np.array([languages.index(n) for n in names], np.int64)[of], languages, **options)
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of docs as ``row``, and ``out``: lang_pred and score, its pooled probability.
 
     lang_pred is ``und`` with score 0 for a null text, one without any letter,
     or if the model knows no language. Rows are labelled alone; other columns
-    are carried through; an empty table gives no rows.
+    (or those of ``keep``) are carried through; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(row: pa.StructArray) -> pa.StructArray:
         model, column = shared.value, row.field(text)
-        known = [bool(model.languages) and any(map(str.isalpha, t)) for t in pc.fill_null(column, "").to_pylist()]
+        known = [bool(model.languages) and any(map(str.isalpha, t.as_py())) for t in pc.fill_null(column, "")]
         if not model.languages:
             return struct(lang_pred=pa.array([UNKNOWN] * len(row)), score=pa.array(np.zeros(len(row))))
         p = np.concatenate([model.pooled(data, offsets) for _, _, data, offsets in blocks(*utf8(column))] or [np.zeros((0, len(model.languages)))])
@@ -239,4 +239,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, text: str = "tex
         score = np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
         return struct(lang_pred=pa.array(names, pa.string()), score=pa.array(np.round(score, 6)))
 
-    return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "lang_pred string, score double")
+    return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "lang_pred string, score double", keep)

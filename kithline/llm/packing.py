@@ -9,9 +9,9 @@ filled on with the pieces still to come; all lengths are thus weighed against
 the same supply. In the end every bin shrinks to the shortest permitted length
 that holds its contents.
 
-Only ids and lengths travel. They are dealt evenly, without a key, to groups
-of about ``group_rows`` documents, and each group is packed on its own; rows
-that repeat an id can therefore not pile up in one task.
+Documents are encoded and packed where they lie, without a shuffle: a task
+packs its rows in groups of a bounded number of pieces and tokens, one after
+another, and writes out each group's sequences with their token ids.
 """
 
 from __future__ import annotations
@@ -21,14 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Permitted sequence lengths, in tokens of a byte-level vocabulary.
+from kithline.llm.token_files import encoded
+
+#: Permitted sequence lengths, in tokens.
 CAPACITIES = (1024, 2048, 4096, 8192)
 #: A sequence of n tokens costs n * (1 + n / ATTENTION): linear layers, and attention over pairs of tokens.
 ATTENTION = 32_768
-GROUP_ROWS = 16_384
+#: A group is packed when it has so many pieces or tokens.
+GROUP_PIECES, GROUP_TOKENS = 16_384, 1 << 24
+#: Tokens of a batch of sequences.
+BATCH_TOKENS = 1 << 20
 
 
 def cost(capacity: int, attention: float = ATTENTION) -> float:
@@ -99,50 +104,94 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, attentio
     return bins, offsets, shrunk
 
 
-OUT = "id long, piece long, piece_start long, piece_tokens long, bin long, bin_offset long, capacity long"
+OUT = "bin long, capacity int, n_tokens int, doc_ids array<{kind}>, piece_starts array<long>, piece_tokens array<int>, ids array<int>"
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", length: Column | None = None, text: str = "text", capacities: tuple[int, ...] = CAPACITIES, attention: float = ATTENTION, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """A row for each piece of each row of docs: id_col, piece, piece_start, piece_tokens, bin, bin_offset, capacity.
+def pack_ids(encoded: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, attention: float = ATTENTION, dtype: str = "<u2", group_pieces: int = GROUP_PIECES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Sequences of documents given as columns doc and ids (bytes of dtype), a row for each.
 
-    length counts a row's tokens; by default the text's UTF-8 bytes and one end
-    token, so a null or empty text is one token. Rows of null or no length are
-    packed as length 0 and share a bin with others. Rows without id, and rows
-    that repeat an id, are packed like any other. An empty table gives no rows.
-    bin is unique over all groups.
+    bin (unique within one run), capacity, n_tokens, and the pieces one after
+    another: doc_ids, piece_starts (the piece's first token within its
+    document), piece_tokens; ids holds the tokens of all pieces in that order.
+    A document without tokens, or with null ids, has no piece. Rows without id,
+    and rows that repeat an id, are packed like any other. An empty table gives
+    no rows.
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
-    tokens = length if length is not None else F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
-    groups = max(1, -(-docs.count() // group_rows))
     most = max(capacities)
+    kind = encoded.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = [(b.column(0), b.column(1).to_numpy()) for b in batches]  # about group_rows rows of two numbers
-        if not got:
-            return
-        ids, n = pa.concat_arrays([a for a, _ in got]), np.concatenate([b for _, b in got])
-        whole = n // most
-        rest = n - whole * most
-        packed = np.flatnonzero((rest > 0) | (n == 0))
-        bins, offsets, sizes = pack(rest[packed], capacities, attention)
-        first = TaskContext.get().partitionId() << 36
-        full = np.repeat(np.arange(len(n)), whole)
-        piece = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
-        row = np.concatenate([full, packed])
-        columns = [
-            np.concatenate([piece, whole[packed]]),
-            np.concatenate([piece * most, whole[packed] * most]),
-            np.concatenate([np.full(len(full), most), rest[packed]]),
-            first + np.concatenate([len(sizes) + np.arange(len(full)), bins]),
-            np.concatenate([np.zeros(len(full), np.int64), offsets]),
-            np.concatenate([np.full(len(full), most), sizes[bins]]),
-        ]
-        for lo in range(0, len(row), 50_000):
-            own = slice(lo, lo + 50_000)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[own])), *[pa.array(c[own].astype(np.int64)) for c in columns]], names=[c.split()[0] for c in OUT.split(", ")])
-
-    return rows.repartition(groups).mapInArrow(run, OUT).withColumnRenamed("id", id_col)
+        number = TaskContext.get().partitionId() << 36
+        docs, starts, parts, tokens = [], [], [], 0
+        schema = None
+
+        def rows(sequences: list[tuple[int, list[int], list[int], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+            """Batches of sequences: capacity, documents, starts and ids of pieces."""
+            nonlocal number
+            while sequences:
+                n, own = 0, []
+                while sequences and (not own or n + sequences[-1][0] <= BATCH_TOKENS):
+                    own.append(sequences.pop())
+                    n += own[-1][0]
+                pieces = np.cumsum([0, *[len(s[1]) for s in own]])
+                sizes = [len(x) for s in own for x in s[3]]
+                totals = [sum(map(len, s[3])) for s in own]
+                columns = [
+                    pa.array(np.arange(number, number + len(own))),
+                    pa.array([s[0] for s in own], pa.int32()),
+                    pa.array(totals, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(pieces, pa.int32()), pa.array([d for s in own for d in s[1]], schema)),
+                    pa.ListArray.from_arrays(pa.array(pieces, pa.int32()), pa.array([x for s in own for x in s[2]], pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(pieces, pa.int32()), pa.array(sizes, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *totals]), pa.int32()), pa.array(np.concatenate([x for s in own for x in s[3]]).astype(np.int32))),
+                ]
+                number += len(own)
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OUT.split(", ")])
+
+        def packed() -> list[tuple]:
+            bins, offsets, sizes = pack(np.array([len(x) for x in parts]), capacities, attention)
+            found = [(int(c), [], [], []) for c in sizes]
+            for k in np.lexsort((offsets, bins)).tolist():
+                _, d, s, x = found[bins[k]]
+                d.append(docs[k])
+                s.append(starts[k])
+                x.append(parts[k])
+            return found
+
+        for batch in batches:
+            schema, whole = batch.schema.field(0).type, []
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(raw.as_buffer(), dtype) if raw.is_valid else np.zeros(0, dtype)
+                full = len(ids) // most
+                for i in range(full):
+                    whole.append((most, [doc], [i * most], [ids[i * most : (i + 1) * most]]))
+                rest = ids[full * most :]
+                if len(rest):
+                    docs.append(doc)
+                    starts.append(full * most)
+                    parts.append(rest.copy())  # the batch goes
+                    tokens += len(rest)
+                if len(parts) >= group_pieces or tokens >= group_tokens:
+                    yield from rows(packed())
+                    docs, starts, parts, tokens = [], [], [], 0
+                if len(whole) * most >= BATCH_TOKENS:
+                    yield from rows(whole)
+            yield from rows(whole)
+        if parts:
+            yield from rows(packed())
+
+    return encoded.select("doc", "ids").mapInArrow(run, OUT.format(kind=kind))
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text: str = "text", end_id: int | None = 2, dtype: str = "<u2", added: bool = False, **options) -> DataFrame:
+    """Sequences of whole texts, as pack_ids() gives them, encoded by a tokenizer file with end_id after each.
+
+    A null or empty text is its end id alone, or nothing without one. Other
+    columns are not read.
+    """
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("text"))
+    return pack_ids(encoded(rows, tokenizer, dtype=dtype, end_id=end_id, added=added, keep=["doc"]).select("row.doc", "out.ids"), dtype=dtype, **options)

@@ -123,17 +123,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", i
     Without labelled rows the model scores every text 0.5.
     """
     sample = sample_labelled(docs, labels, label, rows=sample_rows, id_col=id_col, text=text, held_out=held_out)
-    rows = map_rows(sample, _counted(options.get("bits", SLOT_BITS)), "slots binary, counts binary").select("out.*", "row.label").toArrow()
+    rows = map_rows(sample, _counted(options.get("bits", SLOT_BITS)), "slots binary, counts binary", ["label"]).select("out.*", "row.label").toArrow()
     examples = [(np.frombuffer(s, np.uint32), np.frombuffer(c, np.float32), int(y > 0)) for s, c, y in zip(rows["slots"].to_pylist(), rows["counts"].to_pylist(), rows["label"].to_pylist(), strict=True)]
     return train(examples, **options)
 
 
-def score_quality(docs: DataFrame, model: SubwordModel, *, text: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: SubwordModel, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of docs as ``row``, and ``out``: score, the probability of label 1.
 
     A null or empty text has no n-grams and gets the learned prior. Rows are
-    scored alone, so repeated rows get equal scores; other columns are carried
-    through untouched; an empty table gives no rows.
+    scored alone, so repeated rows get equal scores; other columns (or those of
+    ``keep``) are carried through untouched; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,4 +147,4 @@ def score_quality(docs: DataFrame, model: SubwordModel, *, text: str = "text") -
             scores.append(1 / (1 + np.exp(-(model.bias + total / np.maximum(n, 1)))))
         return struct(score=pa.array(np.round(np.concatenate(scores), 6) if scores else [], pa.float64()))
 
-    return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "score double")
+    return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "score double", keep)

@@ -2,14 +2,17 @@
 
 ``text_statistics`` derives the numbers that rules look at. A rule is a
 condition under which a text is rejected. ``plan_cascade`` times every rule on
-a sample and counts what it rejects there, and orders the rules by rejections
-per cost; ``cascade`` nests them in that order, so a text rejected by one rule
-is never shown to the rules after it. The order changes the cost alone: a text
-is kept if no rule rejects it.
+a sample of the texts that the base rule leaves, counts which rules reject which
+of them, and picks the rules one after another: next comes the one with the
+most rejections per cost among the texts that those before it leave.
+``cascade`` nests them in that order, so a text rejected by one rule is never
+shown to the rules after it. The order changes the cost alone: a text is kept
+if no rule rejects it.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, replace
 
@@ -22,12 +25,16 @@ WINDOW = 3
 #: A position takes so many low bits of a sort key; the hash of a window takes the rest.
 PLACE_BITS = 20
 #: Rows of the sample on which rules are timed, about.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
+#: A rule is timed over so many passes of the sample in one job, as one pass takes less than a job's own time varies.
+PASSES = 2
+#: Costs count in powers of this, and none below the least (seconds for a pass), so that the order doesn't hang on a measurement's noise.
+COST_STEP, LEAST_COST = 4.0, 0.02
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where ``when`` (SQL over the text and its statistics) is true; cost and rejects come from a sample."""
+    """Rejects where ``when`` (SQL over the text and its statistics) is true; cost (seconds) and rejects (share of the texts that the rules before leave) come from a sample."""
 
     name: str
     when: str
@@ -100,32 +107,44 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return s.select("row", "text", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules with cost (seconds) and share of rejected rows measured on a sample, by rejections per cost, the most first.
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, base: str | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS, passes: int = PASSES) -> list[Rule]:
+    """The rules in the order in which they are tried, with cost and share of rejected rows as measured on a sample.
 
-    The sample is about sample_rows rows drawn at random; on an empty sample
-    the order given stays.
+    The sample is about sample_rows rows drawn at random, less those that base
+    rejects; without any the order given stays. Equal rules keep the order
+    given.
     """
     rows = docs.count()
     drawn = docs.sample(fraction=min(1.0, sample_rows / max(1, rows)), seed=17) if rows else docs
-    sample = text_statistics(drawn, text=text).drop("row").persist()
+    stored = text_statistics(drawn, text=text).drop("row").persist()
+    stored.count()  # before any filter, which would be pushed below and evaluate the statistics again and again
+    sample = stored.filter(~F.coalesce(F.expr(base), F.lit(False))) if base else stored
     n = sample.count()
+    again = sample.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
 
-    def seconds(of: str) -> tuple[float, int]:
-        found = []
+    def seconds(of: str) -> float:
+        took = []
         for _ in range(2):
             began = time.perf_counter()
-            value = sample.agg(F.count_if(F.expr(of))).first()[0]
-            found.append((time.perf_counter() - began, value))
-        return min(found)
-
-    idle = seconds("n_words < 0")[0]
-    measured = []
-    for rule in rules:
-        took, hit = seconds(rule.when)
-        measured.append(replace(rule, cost=max(took - idle, 1e-4), rejects=hit / max(1, n)))
-    sample.unpersist()
-    return sorted(measured, key=lambda r: -r.rejects / r.cost) if n else list(rules)
+            # pass goes into the condition, so that each pass evaluates it anew
+            again.agg(F.count_if(F.expr(f"({of}) and pass > 0"))).first()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    idle = seconds("n_words < 0")
+    cost = {r.name: COST_STEP ** round(math.log(max((seconds(r.when) - idle) / passes, LEAST_COST) / LEAST_COST, COST_STEP)) * LEAST_COST for r in rules} if n else {}
+    hit = F.array(*[F.coalesce(F.expr(r.when), F.lit(False)) for r in rules])
+    patterns = [(r["hit"], r["n"]) for r in sample.groupBy(hit.alias("hit")).agg(F.count("*").alias("n")).collect()] if n else []  # at most as many as the sample has rows
+    stored.unpersist()
+    ordered, left = [], list(range(len(rules)))
+    while n and left:
+        total = max(1, sum(m for _, m in patterns))
+        share = {k: sum(m for h, m in patterns if h[k]) / total for k in left}
+        best = max(left, key=lambda k: (share[k] / cost[rules[k].name], -k))
+        ordered.append(replace(rules[best], cost=cost[rules[best].name], rejects=share[best]))
+        left.remove(best)
+        patterns = [(h, m) for h, m in patterns if not h[best]]
+    return ordered if n else list(rules)
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -142,7 +161,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, base: str |
     base is a condition that rejects before any rule, as "base". Rows are
     judged alone, so repeated rows agree; an empty table gives no rows.
     """
-    ordered = plan_cascade(docs, rules, text=text, sample_rows=sample_rows)
+    ordered = plan_cascade(docs, rules, base=base, text=text, sample_rows=sample_rows)
     failed = F.expr(base) if base else F.lit(False)
     found = text_statistics(docs, text=text)
     return found.select("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, F.lit("base")).otherwise(cascade(ordered)).alias("rejected_by"))

@@ -24,7 +24,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.severity", "out.p_toxic", "out.grade", (F.col("out.p_toxic") >= toxicity.TOXIC).alias("toxic"))
+    return toxicity.score_toxicity(docs, model, keep=["doc_id"]).select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.severity", "out.p_toxic", "out.grade", (F.col("out.p_toxic") >= toxicity.TOXIC).alias("toxic"))
 
 
 #: The tokenizer file, by the name it has among the public tokenizers.
@@ -58,13 +58,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), added=True)
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = quality_model.score_quality(docs, model)
+    scored = quality_model.score_quality(docs, model, keep=["doc_id"])
     return scored.select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.score", (F.col("out.score") >= quality_model.KEEP).cast("int").alias("predicted"))
 
 
@@ -83,7 +83,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = lang_id.predict_languages(docs.select("doc_id", "text"), lang_id.fit_languages(docs))
+    found = lang_id.predict_languages(docs.select("doc_id", "text"), lang_id.fit_languages(docs), keep=["doc_id"])
     return found.select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.lang_pred", "out.score")
 
 

@@ -1,24 +1,26 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets.
 
-A folder holds, for each partition k: ``ids-k.bin`` (little-endian unsigned 16-
-or 32-bit ids of its documents one after another), ``offsets-k.bin`` (signed
-64-bit: where each document begins within the partition, and one more for the
-end) and ``keys-k.bin`` (signed 64-bit document ids). ``index`` is a Parquet
-table of the partitions: their numbers of documents and ids, and their bases,
-the prefix sums of those numbers over the partitions before. A document's place
-in the whole corpus is its partition's base plus its offset.
-
-Partitions are ranges of the document id in ascending order. A task writes each
-file under a name of its own and renames it when complete, so a repeated or
-speculative task replaces a file by an equal one. Files are read by memory map.
+A folder holds, for each partition: a file of ids (little-endian unsigned 16-
+or 32-bit, its documents one after another), one of offsets (signed 64-bit:
+where each document begins within the partition, and one more for the end) and
+one of keys (signed 64-bit document ids). ``index`` is a Parquet table of the
+partitions: the name their three files share, their numbers of documents and
+ids, and their bases, the prefix sums of those numbers over the partitions
+before. A document's place in the whole corpus is its partition's base plus its
+offset.
+
+Partitions are ranges of the document id in ascending order. Texts are encoded
+where they lie, and ids of two or four bytes are what is shuffled. Every
+attempt of a task writes files of its own name; the index names those of the
+attempts that counted, and the others are deleted. Files are read by memory
+map, or by position where they are not local.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
-import sys
-import tempfile
 import uuid
 import zlib
 from array import array
@@ -27,18 +29,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.llm.common import BATCH_ROWS
+from kithline.llm.common import map_rows, struct
 
 #: Stands for a null document id in keys files.
 NO_KEY = -(1 << 63)
 #: Units whose ids a worker remembers in each of two generations; of pieces it remembers a quarter as many.
 MEMORY = 400_000
-#: How the byte-level tokenizer cuts texts into pieces that it encodes each on its own (fixed value).
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters of the Latin alphabets, and marks that may follow a word as a piece of their own.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+MARKS = ".,;:!?)"
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -63,73 +65,95 @@ class Memory(dict):
             self.clear()
 
 
-def _byte_letters() -> list[str]:
-    """The letter by which a byte-level vocabulary spells each byte: visible Latin-1 letters stand for themselves, the others follow from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in own]
-    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+class Letters(dict):
+    """How the pre-tokenizer spells single letters."""
+
+    def __init__(self, spelled: Callable[[str], list[str]]):
+        super().__init__()
+        self.spelled = spelled
+
+    def __missing__(self, key: str) -> str:
+        self[key] = "".join(self.spelled(key))
+        return self[key]
 
 
 class Encoder:
-    """Encodes whole texts with a byte-level tokenizer of the tokenizers library, each distinct piece once.
-
-    The tokenizer cuts a text into pieces and encodes every piece alone. A
-    single space between two characters that are not white space is always
-    such a cut, so a text without neighbouring white space falls into its
-    space-separated units, whose ids are remembered; units not seen before are
-    cut into pieces, and pieces not seen before go through the tokenizer's
-    model, spelled in the vocabulary's byte letters. Strings of added tokens
-    (control strings) within a text are ordinary text, or with ``added`` the
-    ids of those tokens, as in the library's default settings: a text that
-    holds one goes through the library whole.
+    """Ids of whole texts by a file of the tokenizers library, equal to those of its ``encode(text, add_special_tokens=False)``.
+
+    The library cuts a text into pieces by the file's pre-tokenizer and gives
+    each piece to the file's model on its own. Where that pre-tokenizer is the
+    byte-level one and nothing is normalised, a space between two characters
+    that are not white space is always such a cut; there the library's own
+    pre-tokenizer and model work on the units between those spaces, and the ids
+    of units and pieces are remembered. Any other file encodes whole texts.
+
+    added: strings of special tokens in a text become those tokens' ids, as in
+    the library's default settings; otherwise they are ordinary text. A text
+    that holds the string of a token that counts goes through the library whole.
     """
 
     def __init__(self, path: str, dtype: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
-        if sys.byteorder != "little" or array(self.code).itemsize != np.dtype(dtype).itemsize:
+        t = self.tokenizer = Tokenizer.from_file(path)
+        t.encode_special_tokens = not added
+        t.no_truncation()
+        t.no_padding()
+        self.dtype, self.code = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        if array("H", [1]).tobytes() != b"\1\0" or array(self.code).itemsize != self.dtype.itemsize:
             raise RuntimeError("ids are written as this machine holds them, which must be little-endian")
-        self.cut = regex.compile(PIECES)
-        self.together = re.compile(r"\s\s")
-        self.letters = _byte_letters()
-        #: Ids of a space and the unit after it; of a piece.
+        if t.get_vocab_size() > 1 << (8 * self.dtype.itemsize):
+            raise ValueError(f"ids up to {t.get_vocab_size()} don't fit {dtype}")
+        self.added = [x.content for x in t.get_added_tokens_decoder().values() if added or not x.special]
+        pre = t.pre_tokenizer
+        self.by_units = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+        self.inner, self.together = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
+        #: Ids of a space and the unit after it; of a piece as the pre-tokenizer spells it.
         self.units, self.pieces = Memory(MEMORY, self._unit), Memory(MEMORY // 4, self._piece)
+        self.letters = Letters(self._spelled)
+        if self.by_units:
+            self.space = self._spelled(" a")[0][:-1]
+            # What the shorter way below takes for granted, asked of the library itself.
+            self.plain = self._spelled(f" {LETTERS}") == [self.space + self._latin(LETTERS)] and all(self._spelled(f" ab{m}") == [f"{self.space}ab", m] for m in MARKS)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of dtype."""
+        if not self.by_units:
+            return [self._whole(t) for t in texts]
         out = []
         for text in texts:
             if any(map(text.__contains__, self.added)):
-                out.append(array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-            elif " " in text and not text[0].isspace() and not text[-1].isspace() and not self.together.search(text):
-                first, *rest = text.split(" ")
-                out.append(self._cut(first) + b"".join(map(self.units.__getitem__, rest)))
+                out.append(self._whole(text))
+            elif not text:
+                out.append(b"")
             else:
-                out.append(self._cut(text))
+                even = not (text[0].isspace() or text[-1].isspace() or self.together.search(text))
+                first, *rest = text.split(" ") if even else self.inner.split(text)
+                out.append(b"".join(map(self.pieces.__getitem__, self._spelled(first))) + b"".join(map(self.units.__getitem__, rest)))
             self.units.age()
             self.pieces.age()
         return out
 
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.cut.findall(text)))
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _spelled(self, text: str) -> list[str]:
+        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def _unit(self, unit: str) -> bytes:
-        if unit.isalpha():  # one piece
-            return self._piece(f" {unit}")
-        stem, end = unit[:-1], unit[-1]
-        if stem.isalpha() and not (end.isalnum() or end.isspace()):  # a word and a mark after it
-            return self.units[stem] + self.pieces[end]
-        return self._cut(f" {unit}")
+        if self.plain and (unit.isascii() or max(unit) <= LETTERS[-1]):
+            if unit.isalpha():  # one piece
+                return self._piece(self.space + self._latin(unit))
+            if unit[-1] in MARKS and unit[:-1].isalpha():  # a word and a mark after it
+                return self.units[unit[:-1]] + self.pieces[unit[-1]]
+        return b"".join(map(self.pieces.__getitem__, self._spelled(f" {unit}")))
+
+    def _latin(self, word: str) -> str:
+        return "".join(map(self.letters.__getitem__, word))
 
-    def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        spelled = letters[32] + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalnum() else "".join([letters[b] for b in piece.encode()])
-        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+    def _piece(self, spelled: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
 
 def encoder(path: str, dtype: str = "<u2", added: bool = False) -> Encoder:
@@ -139,103 +163,145 @@ def encoder(path: str, dtype: str = "<u2", added: bool = False) -> Encoder:
     return _encoders[path, dtype, added]
 
 
-def _place(path: str) -> tuple[pfs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pfs.FileSystem.from_uri(path)
-    return pfs.LocalFileSystem(), path
+def encoded(docs: DataFrame, tokenizer: str, *, text: str = "text", dtype: str = "<u2", end_id: int | None = 2, added: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Every row of docs as ``row`` (of it the columns of keep), and ``out.ids``: its ids as bytes of dtype, the end id last."""
+    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
+
+    def of(row: pa.StructArray) -> pa.StructArray:
+        enc = encoder(tokenizer, dtype, added)
+        return struct(ids=pa.array([enc.encode([t.as_py() or ""])[0] + end for t in row.field(text)], pa.binary()))
+
+    return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "ids binary", keep)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme: one without means the cluster's default file system, as it does to Spark's readers."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
 
+class _Slices:
+    """Slices of a file of numbers: by memory map, or by position where the file is not local."""
 
-def _put(path: str, data: bytes) -> None:
-    """Writes a file under a name of its own, then gives it its name."""
-    fs, inner = _place(path)
-    own = f"{inner}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as f:
-        f.write(data)
-    fs.move(own, inner)
+    def __init__(self, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        fs, inner = pfs.FileSystem.from_uri(path)
+        self.size = fs.get_file_info(inner).size // self.dtype.itemsize
+        self.file = self.map = None
+        if not isinstance(fs, pfs.LocalFileSystem):
+            self.file = fs.open_input_file(inner)
+        elif self.size:
+            self.map = np.memmap(inner, dtype=self.dtype, mode="r")
 
+    def __getitem__(self, span: slice) -> np.ndarray:
+        lo, hi, _ = span.indices(self.size)
+        if self.map is not None:
+            return self.map[lo:hi]
+        if self.file is None or hi <= lo:
+            return np.zeros(0, self.dtype)
+        return np.frombuffer(self.file.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), self.dtype)
 
-def _mapped(path: str, dtype: str) -> np.ndarray:
-    """A file as a memory-mapped array; one that isn't local is mapped from a nameless copy, which goes with the array."""
-    fs, inner = _place(path)
-    if isinstance(fs, pfs.LocalFileSystem):
-        return np.memmap(inner, dtype=dtype, mode="r") if os.path.getsize(inner) else np.zeros(0, dtype)
-    with fs.open_input_stream(inner) as f, tempfile.TemporaryFile() as here:
-        while part := f.read(1 << 22):
-            here.write(part)
-        here.flush()
-        return np.memmap(here, dtype=dtype, mode="r") if here.tell() else np.zeros(0, dtype)
+
+def _bounds(docs: DataFrame, id_col: str, text: str, partitions: int | None) -> list[tuple]:
+    """Where ranges of (id, text's hash, a random number) begin, about equally full; from those three numbers of each row alone."""
+    keys = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.rand(5).alias("r"))
+    ranged = keys.repartitionByRange(partitions, "id", "h", "r") if partitions else keys.repartitionByRange("id", "h", "r")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("id", "h", "r")).alias("k")).collect()  # a row for each partition
+    return sorted(_key(*r["k"]) for r in firsts)[1:]
+
+
+def _key(i: int | None, h: int, r: float) -> tuple:
+    return (NO_KEY if i is None else i, h, r)
+
+
+INDEX = "part int, name string, n_docs long, n_tokens long, doc_base long, token_base long"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text: str = "text", end_id: int | None = 2, dtype: str = "<u2", partitions: int | None = None, added: bool = False) -> DataFrame:
-    """Writes the folder ``path`` and returns its index: part, n_docs, n_tokens, doc_base, token_base.
+    """Writes the folder ``path`` and returns its index: part, name, n_docs, n_tokens, doc_base, token_base.
 
     A null or empty text is only the end id. Documents stand in ascending order
-    of id, null ids first; rows that repeat an id stand beside each other. An
-    empty table gives an empty index. Other columns are not written. ids must
-    fit dtype: ``<u2`` below 65,536, else ``<u4``. added: strings of the
-    tokenizer's added tokens become their ids, as in the library's default
-    settings; otherwise they are ordinary text.
+    of id, null ids first; rows that repeat an id stand beside each other, in
+    order of their texts' hash, and may go on in the next partition, so one id
+    with very many rows doesn't fill one task. Ids must be whole numbers: a
+    text id ends the job with Spark's error of a bad cast. An empty table gives
+    an empty index. Other columns are not written. ids must fit dtype: ``<u2``
+    below 65,536, else ``<u4``; a larger vocabulary is refused. added: strings
+    of the tokenizer's special tokens become their ids, as in the library's
+    default settings; otherwise they are ordinary text.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    fs, inner = _place(path)
+    path = qualified(spark, path)
+    fs, inner = pfs.FileSystem.from_uri(path)
     fs.create_dir(inner, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ranged = (rows.repartitionByRange(partitions, "id") if partitions else rows.repartitionByRange("id")).sortWithinPartitions("id")
-    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
+    bounds = _bounds(docs, id_col, text, partitions)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.rand(5).alias("r"), F.col(text).cast("string").alias("text"))
+    found = encoded(rows, tokenizer, dtype=dtype, end_id=end_id, added=added, keep=["id", "h", "r"]).select("row.*", "out.ids")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True)
+            part = pa.array([bisect.bisect_right(bounds, _key(*k)) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([part, batch.column(0), batch.column(1), batch.column(3)], names=["part", "id", "h", "ids"])
 
-        part, enc = TaskContext.get().partitionId(), encoder(tokenizer, dtype, added)
-        fs, inner = _place(path)
-        own, width = f"{inner}/ids-{part}.bin.{uuid.uuid4().hex}", np.dtype(dtype).itemsize
-        keys, lengths, out = [], [], None
+    dealt = found.mapInArrow(place, "part int, id long, h long, ids binary").repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "h")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = pfs.FileSystem.from_uri(path)
+        width, name, part = np.dtype(dtype).itemsize, uuid.uuid4().hex, None
+        keys, lengths, out = array("q"), array("q"), None
         for batch in batches:
-            out = out or fs.open_output_stream(own)
-            keys += [NO_KEY if k is None else k for k in batch.column(0).to_pylist()]
-            for ids in enc.encode(batch.column(1).to_pylist()):
-                out.write(ids + end)
-                lengths.append((len(ids) + len(end)) // width)
+            if not len(batch):
+                continue
+            part = batch.column(0)[0].as_py()
+            out = out or fs.open_output_stream(f"{inner}/{name}-ids.bin")
+            keys.extend(NO_KEY if k is None else k for k in batch.column(1).to_pylist())
+            for ids in batch.column(3):
+                lengths.append(len(ids.as_buffer()) // width)
+                out.write(ids.as_buffer())
         if out is None:
             return
         out.close()
-        fs.move(own, f"{inner}/ids-{part}.bin")
-        _put(f"{path}/offsets-{part}.bin", np.cumsum([0, *lengths], dtype="<i8").tobytes())
-        _put(f"{path}/keys-{part}.bin", np.array(keys, "<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["part", "n_docs", "n_tokens"])
+        for kind, numbers in (("offsets", np.cumsum(np.concatenate([[0], np.array(lengths)]), dtype="<i8")), ("keys", np.array(keys, "<i8"))):
+            with fs.open_output_stream(f"{inner}/{name}-{kind}.bin") as f:
+                f.write(numbers.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["part", "name", "n_docs", "n_tokens"])
 
-    counts = ranged.mapInArrow(write, "part int, n_docs long, n_tokens long").collect()  # a row for each partition
+    counts = dealt.mapInArrow(write, "part int, name string, n_docs long, n_tokens long").collect()  # a row for each partition
     counts = sorted((tuple(r) for r in counts), key=lambda r: r[0])
-    base = np.cumsum([(0, 0), *[(d, t) for _, d, t in counts]], axis=0).tolist()
-    schema = "part int, n_docs long, n_tokens long, doc_base long, token_base long"
-    spark.createDataFrame([(p, d, t, *b) for (p, d, t), b in zip(counts, base, strict=False)], schema).coalesce(1).write.parquet(f"{path}/index")
-    return spark.read.schema(schema).parquet(f"{path}/index")
+    named = {r[1] for r in counts}
+    for f in fs.get_file_info(pfs.FileSelector(inner)):
+        if f.base_name.endswith(".bin") and f.base_name.split("-")[0] not in named:
+            fs.delete_file(f.path)  # of an attempt that didn't count
+    base = np.cumsum([(0, 0), *[r[2:] for r in counts]], axis=0).tolist()
+    spark.createDataFrame([(*r, *b) for r, b in zip(counts, base, strict=False)], INDEX).coalesce(1).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def read_tokens(spark: SparkSession, path: str, fn: Callable[[np.ndarray], list], schema: str, *, dtype: str = "<u2") -> DataFrame:
-    """id, start (ids of all documents before), n_tokens and fn's columns for every document, from memory-mapped files.
+    """id, start (ids of all documents before), n_tokens and fn's columns for every document, read from the files.
 
     fn gets the ids of one document, end id included, and returns the values of
-    schema's columns.
+    schema's columns. A null id comes back as null; a folder without documents
+    gives no rows.
     """
-    index = spark.read.parquet(f"{path}/index").select("part", "token_base")
+    path = qualified(spark, path)
+    index = spark.read.schema(INDEX).parquet(f"{path}/index").select("part", "name", "token_base")
     n = index.count()
     names = [c.split()[0] for c in schema.split(",")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, offsets, keys = _mapped(f"{path}/ids-{part}.bin", dtype), _mapped(f"{path}/offsets-{part}.bin", "<i8"), _mapped(f"{path}/keys-{part}.bin", "<i8")
-                for lo in range(0, len(keys), 4096):
-                    own = range(lo, min(lo + 4096, len(keys)))
-                    values = [fn(ids[offsets[i] : offsets[i + 1]]) for i in own]
-                    some = np.array(keys[own.start : own.stop])
-                    first = [pa.array(some, mask=some == NO_KEY), pa.array(base + offsets[own.start : own.stop]), pa.array(np.diff(offsets[own.start : own.stop + 1]))]
+            for name, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ids, offsets, keys = _Slices(f"{path}/{name}-ids.bin", dtype), _Slices(f"{path}/{name}-offsets.bin", "<i8"), _Slices(f"{path}/{name}-keys.bin", "<i8")
+                for lo in range(0, keys.size, 4096):
+                    some, at = keys[lo : lo + 4096], offsets[lo : lo + 4097]
+                    values = [fn(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    first = [pa.array(some, mask=some == NO_KEY), pa.array(base + at[:-1]), pa.array(np.diff(at))]
                     yield pa.RecordBatch.from_arrays([*first, *[pa.array([v[k] for v in values]) for k in range(len(names))]], names=["id", "start", "n_tokens", *names])
 
     # One task for each partition of the folder.
-    spread = index.repartition(max(1, n), "part") if n > 1 else index
+    spread = index.repartitionById(n, F.col("part") % n) if n > 1 else index
     return spread.mapInArrow(read, f"id long, start long, n_tokens long, {schema}")
 
 

@@ -197,7 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", gr
     sample = written(sample_labelled(docs, labels, label, rows=sample_rows, id_col=id_col, text=text, held_out=held_out), "toxicity-sample")
     chosen = telling_slots(sample, bits, least_z)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    rows = map_rows(sample, _counted(bits, shared), "slots binary, counts binary").select("out.*", "row.label").toArrow()
+    rows = map_rows(sample, _counted(bits, shared), "slots binary, counts binary", ["label"]).select("out.*", "row.label").toArrow()
     slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
     counts = [np.frombuffer(x, np.int32) for x in rows["counts"].to_pylist()]
     y = np.array(rows["label"].to_pylist(), np.int64)
@@ -205,12 +205,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", gr
     return train(slots, counts, grade, bits=bits, grades=grades, **options)
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of docs as ``row``, and ``out``: severity (expected grade), p_toxic (grade over 0), grade (the likeliest).
 
     A null or empty text has no words and gets the severity of the thresholds
-    alone. Repeated rows get equal scores; other columns are carried through;
-    an empty table gives no rows.
+    alone. Repeated rows get equal scores; other columns (or those of ``keep``)
+    are carried through; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -230,4 +230,4 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text")
         p = -np.diff(np.concatenate([np.ones((len(z), 1)), above, np.zeros((len(z), 1))], axis=1), axis=1)
         return struct(severity=pa.array(np.round(above.sum(axis=1), 6)), p_toxic=pa.array(np.round(above[:, 0], 6)), grade=pa.array(p.argmax(axis=1).astype(np.int32)))
 
-    return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "severity double, p_toxic double, grade int")
+    return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "severity double, p_toxic double, grade int", keep)

@@ -6,7 +6,9 @@ bytes is counted: the chance of the next byte after a context of k bytes is
 interpolated with that after k-1 bytes, down to the uniform chance, each order
 weighing as much as its context was seen. Contexts of 0 to ``order`` bytes are
 hashed into a fixed number of slots, so the model sent to the tasks has the
-same bound on any corpus while its counts take in every rule-judged URL.
+same bound on any corpus while its counts take in every rule-judged URL. Where
+slots are shared, a context's total is the sum over all bytes that may follow,
+so chances always add up to one.
 
 A URL without a rule is scored by the log-likelihood difference per byte. The
 threshold is calibrated on a fold of rule-judged URLs that the models have not
@@ -28,6 +30,8 @@ from kithline.llm.common import blocks, map_rows, struct, utf8
 
 ORDER = 4
 SLOT_BITS = 18
+#: What may follow a context: 256 bytes and the end mark.
+SYMBOLS = 257
 #: Weight of the shorter context against each observation of the longer one.
 PRIOR = 1.0
 #: One in so many rule-judged URLs calibrates the threshold.
@@ -79,7 +83,7 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, order: int, bits: int):
             h = (h + x[place - k] + np.uint32(1)) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(13)
         contexts.append(_slot(h + np.uint32(k), bits))
-        grams.append(_slot((h ^ np.uint32(0x5BD1E995)) * np.uint32(33) + x[place] + np.uint32(k), bits))
+        grams.append(_gram(contexts[-1], x[place], k, bits))
     return contexts, grams, np.concatenate([[0], np.cumsum(n + 1)])
 
 
@@ -90,24 +94,43 @@ def _slot(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint32(32 - bits)).astype(np.int64)
 
 
+def _gram(context: np.ndarray, symbol: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The slot of a symbol after a context's slot of order k."""
+    return _slot(context.astype(np.uint32) * np.uint32(SYMBOLS + 1) + symbol.astype(np.uint32) + np.uint32(k << 28), bits)
+
+
 @dataclass
 class UrlModel:
-    """counts[c, j, k, slot]: of class c (0 rejected, 1 accepted), contexts (j=0) or context with byte (j=1) of order k."""
+    """grams[c, k, slot]: of class c (0 rejected, 1 accepted), symbols after contexts of order k; totals[c, k, slot]: all symbols after a context."""
 
-    counts: np.ndarray
+    grams: np.ndarray
+    totals: np.ndarray
     order: int
     bits: int
     threshold: float = -np.inf
 
+    @staticmethod
+    def of(counts: np.ndarray, order: int, bits: int) -> UrlModel:
+        """From counts[c, j, k, slot] of contexts (j=0) and of contexts with symbols (j=1); only contexts that were seen have a total."""
+        totals = np.zeros(counts.shape[:1] + counts.shape[2:])
+        for c, k in np.ndindex(*totals.shape[:2]):
+            seen = np.flatnonzero(counts[c, 0, k])
+            for symbol in (0, *range(2, SYMBOLS + 1)):
+                totals[c, k, seen] += counts[c, 1, k, _gram(seen, np.full(len(seen), symbol), k, bits)]
+        return UrlModel(counts[:, 1].astype(np.float64), totals, order, bits)
+
+    def chances(self, c: int, contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
+        """The chance of each symbol after its contexts, in class c."""
+        p = np.full(len(contexts[0]), 1 / SYMBOLS)
+        for k in range(self.order + 1):
+            total = self.totals[c, k, contexts[k]]
+            p = np.where(total > 0, (self.grams[c, k, grams[k]] + PRIOR * p) / (total + PRIOR), p)
+        return p
+
     def difference(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log-likelihood of accepted less rejected, divided by the number of bytes and the end mark."""
         contexts, grams, ranges = _contexts(data, offsets, self.order, self.bits)
-        logs = []
-        for c in (0, 1):
-            p = np.full(len(contexts[0]), 1 / 257)
-            for k in range(self.order + 1):
-                p = (self.counts[c, 1, k, grams[k]] + PRIOR * p) / (np.maximum(self.counts[c, 0, k, contexts[k]], self.counts[c, 1, k, grams[k]]) + PRIOR)
-            logs.append(np.log(p))
+        logs = [np.log(self.chances(c, contexts, grams)) for c in (0, 1)]
         total = np.concatenate([[0], np.cumsum(logs[1] - logs[0])])
         return np.diff(total[ranges]) / np.maximum(np.diff(ranges), 1)
 
@@ -133,19 +156,19 @@ def _count(judged: DataFrame, order: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(flat[own])], names=["slot", "n"])
 
     found = judged.select("url", "accepted").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the model has slots, at most
-    counts = np.zeros(int(np.prod(shape)), np.float32)
+    counts = np.zeros(int(np.prod(shape)), np.int64)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counts.reshape(shape)
 
 
-def _scored(df: DataFrame, model: UrlModel) -> DataFrame:
+def _scored(df: DataFrame, model: UrlModel, keep: list[str]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def of(row: pa.StructArray) -> pa.StructArray:
         scores = [shared.value.difference(data, offsets) for _, _, data, offsets in blocks(*utf8(row.field("url")))]
         return struct(score=pa.array(np.round(np.concatenate(scores), 9) if scores else [], pa.float64()))
 
-    return map_rows(df, of, "score double")
+    return map_rows(df, of, "score double", keep)
 
 
 def fit_urls(judged: DataFrame, *, order: int = ORDER, bits: int = SLOT_BITS) -> UrlModel:
@@ -154,8 +177,8 @@ def fit_urls(judged: DataFrame, *, order: int = ORDER, bits: int = SLOT_BITS) ->
     Where the calibration fold lacks one of the classes, nothing is blocked.
     """
     known = judged.filter("url is not null and accepted is not null").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)))
-    model = UrlModel(_count(known.filter("fold <> 0"), order, bits), order, bits)
-    binned = _scored(known.filter("fold = 0").select("url", "accepted"), model).select(F.col("row.accepted").alias("accepted"), F.least(F.greatest(F.floor(F.col("out.score") / BIN), F.lit(-2000)), F.lit(2000)).alias("bin"))
+    model = UrlModel.of(_count(known.filter("fold <> 0"), order, bits), order, bits)
+    binned = _scored(known.filter("fold = 0").select("url", "accepted"), model, ["accepted"]).select(F.col("row.accepted").alias("accepted"), F.least(F.greatest(F.floor(F.col("out.score") / BIN), F.lit(-2000)), F.lit(2000)).alias("bin"))
     rows = binned.groupBy("bin", "accepted").count().collect()  # two rows for each of 4,001 bins, at most
     n = np.zeros((2, 4002))
     for r in rows:
@@ -180,6 +203,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", order:
     name, action = matching_rule("host", "path", rules)
     ruled = parsed.withColumns({"rule": name, "action": action})
     model = fit_urls(ruled.select("url", (F.col("action") == "allow").alias("accepted")), order=order, bits=bits)
-    scored = _scored(ruled, model)
+    scored = _scored(ruled, model, ["row", "host", "path", "rule", "action"])
     verdict = F.coalesce("row.action", F.when(F.col("out.score") >= F.lit(model.threshold), "allow").otherwise("block"))
     return scored.select("row.row", "row.host", "row.path", "row.rule", "out.score", verdict.alias("verdict"))

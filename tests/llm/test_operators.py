@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kithline.llm import chat_format, lang_id, packing, quality_model, quality_rules, simhash, token_files, toxicity, url_filter
 from kithline.llm import decontaminate as contamination
+from kithline.llm.common import RollingHash, sample_labelled
 from kithline.llm.queries import CONTROL, ORACLE_SQL, QUERIES, URL_RULES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -115,13 +116,55 @@ def test_quality_without_labels(spark, odd):
     assert {r["score"] for r in quality_model.score_quality(odd, model).select("out.score").collect()} == {0.5}
 
 
-def test_ngram_lookup_equals_embedding_average():
-    """Looking up each n-gram's own logit gives the logit of the averaged vectors."""
-    rng = np.random.default_rng(0)
-    table, out = rng.normal(size=(64, 5)), rng.normal(size=(5, 2))
-    slots = rng.integers(0, 64, 40)
-    z = table[slots].mean(axis=0) @ out
-    assert (table @ (out[:, 1] - out[:, 0]))[slots].mean() == pytest.approx(z[1] - z[0])
+def brute_quality(model, text):
+    """Every n-gram on its own through the model's slots: characters, words, pairs and patterns."""
+    hasher, total, n = RollingHash(), 0.0, 0
+    data = text.encode()
+    for slots, lo, hi in quality_model.ngram_slots(np.frombuffer(data, np.uint8), np.array([0, len(data)]), model.bits, hasher):
+        for s in slots.tolist()[int(lo[0]) : max(int(lo[0]), int(hi[0]))]:
+            total, n = total + float(model.lift[s]), n + 1
+    w = len(text.split())
+    assert n == sum(max(0, len(text) - k + 1) for k in (3, 4)) + w + 2 * max(0, w - 1) + max(0, w - 2)
+    return 1 / (1 + np.exp(-(model.bias + total / max(n, 1))))
+
+
+def test_quality_scores(spark):
+    """Scores of a batch against each text alone, and against the averaged vectors of the trained table."""
+    rng = np.random.default_rng(5)
+    model = quality_model.SubwordModel(rng.normal(0, 1, 1 << 12).astype(np.float32), 0.3, 12)
+    texts = ["", "a", "ab", "the cat sat on the mat", "x x x y y", "\u00e9\u00e9 \u4e00\u4e00 z", "word " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality_model.score_quality(df, model, keep=["doc_id"]).select("row.doc_id", "out.score").collect()}
+    assert got == {k: pytest.approx(brute_quality(model, t), abs=2e-6) for k, t in enumerate(texts)}
+
+
+def test_quality_training_step():
+    """One step of the embedding's gradient descent against its formula written out."""
+    slots, counts = np.array([1, 3], np.uint32), np.array([2.0, 1.0], np.float32)
+    start = np.random.default_rng(1).uniform(-1 / 4, 1 / 4, (8, 4)).astype(np.float32)
+    model = quality_model.train([(slots, counts, 1)], bits=3, dimensions=4, epochs=1)
+    bias = np.log(np.array([1, 2]) / 3)
+    p = np.exp(bias) / np.exp(bias).sum() - np.array([0, 1])  # the output layer begins at zero
+    out = -0.5 * np.outer((2 * start[1] + start[3]) / 3, p)
+    assert model.bias == pytest.approx((bias - 0.05 * p)[1] - (bias - 0.05 * p)[0], abs=1e-5)
+    assert np.allclose(model.lift, start @ (out[:, 1] - out[:, 0]), atol=1e-5)
+
+
+def test_sample_is_bounded(spark):
+    """A labelled id that repeats gives one row, that of the text with the least hash."""
+    docs = spark.range(1000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    for rows, want in ((5, 3), (2, 2)):
+        got = sample_labelled(docs, labels, "quality", rows=rows, id_col="doc_id", text="text", held_out=None).collect()
+        assert len(got) == want and got == sample_labelled(docs.orderBy("text"), labels, "quality", rows=rows, id_col="doc_id", text="text", held_out=None).collect()
+    langs = docs.withColumn("lang", F.lit("xx"))
+    seen = {}
+    lang_id_train, lang_id.train = lang_id.train, lambda data, sizes, labels, languages, **_: seen.update(n=len(labels))
+    try:
+        lang_id.fit_languages(langs, sample_rows=10, held_out=None)
+    finally:
+        lang_id.train = lang_id_train
+    assert seen["n"] == 3
 
 
 def test_toxicity(spark, odd):
@@ -151,15 +194,88 @@ def test_toxicity_without_labels(spark, odd):
     assert toxicity.score_toxicity(odd, model).filter("out.p_toxic >= 0.5").count() == 0
 
 
-def test_ordinal_gradient():
-    """Fitted thresholds and weights leave the likelihood flat: no small change improves it by much."""
+def ordinal_loss(slots, counts, grade, weights, thresholds):
+    """The mean negative log-likelihood of cumulative links, by plain loops."""
+    total = 0.0
+    for s, c, g in zip(slots, counts, grade, strict=True):
+        z = sum(weights.get(int(k), 0.0) * (1 + np.log(n)) for k, n in zip(s, c, strict=True))
+        over = [1.0, *[1 / (1 + np.exp(-(z - t))) for t in thresholds], 0.0]
+        total -= np.log(over[g] - over[g + 1])
+    return total / len(grade)
+
+
+def test_ordinal_fit():
+    """Fitted weights and thresholds leave the penalised likelihood flat: no finite difference at them is steeper than the penalty."""
     rng = np.random.default_rng(2)
     grade = np.repeat([0, 1, 2, 3], 60)
-    slots = [np.unique(rng.integers(0, 30, 3 + 3 * g)) + 100 * g for g in grade]
-    counts = [np.ones(len(s)) for s in slots]
-    model = toxicity.train(slots, counts, grade)
-    z = np.array([model.weights[np.isin(model.slots, s)].sum() for s in slots])
-    assert np.corrcoef(z, grade)[0, 1] > 0.8
+    rng.shuffle(grade)
+    slots = [np.unique(rng.integers(0, 12, 3 + g)) for g in grade]
+    counts = [rng.integers(1, 3, len(s)) for s in slots]
+    model = toxicity.train(slots, counts, grade, rounds=3000, l1=1e-3)
+    w, t = dict(zip(model.slots.tolist(), model.weights.astype(float).tolist(), strict=True)), model.thresholds.copy()
+    assert (np.diff(t) > 0).all()
+    eps = 1e-4
+    for k in range(12):
+        up, down = (ordinal_loss(slots, counts, grade, {**w, k: w.get(k, 0.0) + e}, t) for e in (eps, -eps))
+        slope = (up - down) / (2 * eps)
+        assert slope == pytest.approx(-1e-3 * np.sign(w[k]), abs=4e-4) if k in w else abs(slope) <= 1.4e-3
+    for k in range(3):
+        up, down = (ordinal_loss(slots, counts, grade, w, t + e * (np.arange(3) == k)) for e in (eps, -eps))
+        assert abs(up - down) / (2 * eps) < 0.01
+
+
+def test_toxicity_scores(spark):
+    """Scores against plain loops over words and stems."""
+    hasher = RollingHash()
+
+    def slot(word, n=None):
+        data = np.frombuffer(word.encode(), np.uint8)
+        h = hasher.spans(hasher.prefix(data), np.array([0]), np.array([n or len(data)]))
+        return int((h * np.uint64(2 * n + 1 if n else 1) >> np.uint64(44))[0])
+
+    weight = {slot("vile"): 1.5, slot("awfully"): 0.7, slot("awfully", 4): 0.4, slot("awfully", 6): -0.2}
+    model = toxicity.OrdinalModel(np.array([weight[k] for k in sorted(weight)], np.float32), np.array(sorted(weight)), np.array([1.0, 2.0, 3.5]), 20)
+    texts = [None, "", "vile", "Vile vile VILE!", "awfully nice", "awfulness", "awfully awful vile"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, model, keep=["doc_id"]).select("row.doc_id", "out.*").collect()}
+    for k, t in enumerate(texts):
+        found = Counter()
+        for w in re.findall("[0-9a-z]+", (t or "").lower()):
+            found.update([slot(w), *[slot(w, n) for n in toxicity.STEMS if len(w) > n]])
+        z = sum(weight[s] * (1 + np.log(n)) for s, n in found.items() if s in weight)
+        over = [1 / (1 + np.exp(-(z - x))) for x in (1.0, 2.0, 3.5)]
+        chances = -np.diff([1.0, *over, 0.0])
+        assert got[k]["severity"] == pytest.approx(sum(over), abs=2e-6) and got[k]["p_toxic"] == pytest.approx(over[0], abs=2e-6) and got[k]["grade"] == chances.argmax()
+
+
+def brute_states(layer, data):
+    """One direction byte by byte, with numbers and loops."""
+    k = layer.h.shape[1]
+    h, out = np.zeros(k), []
+    for byte in data:
+        x, g = layer.x[:, byte].astype(float), layer.h.astype(float) @ h
+        r, z = np.clip(x[:k] + g[:k], 0, 1), np.clip(x[k : 2 * k] + g[k : 2 * k], 0, 1)
+        c = np.tanh(x[2 * k :] + r * g[2 * k :])
+        h = c + z * (h - c)
+        out.append(h)
+    return out
+
+
+def test_language_scores(spark):
+    """Pooled probabilities against loops over windows and positions."""
+    rng = np.random.default_rng(6)
+    model = lang_id.LanguageModel(["a", "b", "c"], lang_id.Layer.new(4, rng), lang_id.Layer.new(4, rng), rng.normal(0, 1, (3, 8)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32), 4)
+    texts = ["x", "some words here", "z" * 64, "abc " * 40, "\u00e9" * 70]
+    got = lang_id.predict_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, keep=["doc_id"]).select("row.doc_id", "out.*").collect()
+    for r in got:
+        data, total = texts[r["doc_id"]].encode(), np.zeros(3)
+        for i in range(0, len(data), lang_id.WINDOW):
+            w = data[i : i + lang_id.WINDOW]
+            for f, b in zip(brute_states(model.ahead, w), brute_states(model.back, w[::-1])[::-1], strict=True):
+                z = model.out.astype(float) @ np.concatenate([f, b]) + model.bias
+                total += np.exp(z) / np.exp(z).sum()
+        mean = total / len(data)
+        assert r["lang_pred"] == "abc"[mean.argmax()] and r["score"] == pytest.approx(mean.max(), abs=1e-4)
 
 
 def test_languages(spark, docs, odd):
@@ -203,13 +319,14 @@ def test_backpropagation():
 # Token files and chats
 
 
-def test_token_files(spark, odd, tmp_path):
+@pytest.mark.parametrize("added", [False, True])
+def test_token_files(spark, odd, tmp_path, added):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path())
-    tk.encode_special_tokens = True
+    tk.encode_special_tokens = not added
     path = str(tmp_path / "t")
-    index = token_files.write_tokens(odd, path, tokenizer_path(), partitions=3).orderBy("part").collect()
+    index = token_files.write_tokens(odd, path, tokenizer_path(), partitions=3, added=added).orderBy("part").collect()
     got = token_files.read_tokens(spark, path, token_files.crc32_ids, "ids_crc32 long").collect()
     assert len(got) == odd.count() and [r["token_base"] for r in index] == np.cumsum([0, *[r["n_tokens"] for r in index]]).tolist()[:-1]
     want = Counter()
@@ -223,18 +340,31 @@ def test_token_files(spark, odd, tmp_path):
     assert keys[0] is None and keys[1:] == sorted(keys[1:])
 
 
-def test_mapped_copy_of_a_remote_file(tmp_path, monkeypatch):
-    """A file of another file system than the local one is mapped too, and leaves nothing behind."""
+def test_one_id_fills_many_partitions(spark, tmp_path):
+    """Rows of one id, and equal rows, are spread over partitions; files of other attempts go."""
+    docs = spark.range(2000).select(F.lit(7).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    path = str(tmp_path / "t")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "0-ids.bin").write_bytes(b"orphan")
+    index = token_files.write_tokens(docs, path, tokenizer_path(), partitions=6).collect()
+    assert sum(r["n_docs"] for r in index) == 2000 and max(r["n_docs"] for r in index) < 700
+    assert not (tmp_path / "t" / "0-ids.bin").exists()
+    assert token_files.read_tokens(spark, path, token_files.crc32_ids, "c long").count() == 2000
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        token_files.write_tokens(docs.withColumn("doc_id", F.lit("a")), str(tmp_path / "u"), tokenizer_path())
+
+
+def test_slices_of_a_remote_file(tmp_path, monkeypatch):
+    """A file of another file system than the local one is read by position."""
     import pyarrow.fs as pfs
 
     (tmp_path / "a").write_bytes(np.arange(5, dtype="<u2").tobytes())
     (tmp_path / "none").write_bytes(b"")
-    (tmp_path / "own").mkdir()
-    monkeypatch.setattr(token_files, "_place", lambda p: (pfs.SubTreeFileSystem(str(tmp_path), pfs.LocalFileSystem()), p))
-    monkeypatch.setattr("tempfile.tempdir", str(tmp_path / "own"))
-    got = token_files._mapped("a", "<u2")
-    assert isinstance(got, np.memmap) and got.tolist() == [0, 1, 2, 3, 4]
-    assert token_files._mapped("none", "<u2").tolist() == [] and not list((tmp_path / "own").iterdir())
+    remote = pfs.SubTreeFileSystem(str(tmp_path), pfs.LocalFileSystem())
+    monkeypatch.setattr(token_files.pfs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda p: (remote, p))}))
+    a = token_files._Slices("a", "<u2")
+    assert a.size == 5 and a.map is None and a[1:3].tolist() == [1, 2] and a[4:9].tolist() == [4] and a[3:3].tolist() == []
+    assert token_files._Slices("none", "<u2")[0:4].tolist() == []
 
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
@@ -251,14 +381,6 @@ def test_query_against_sql(spark, name):
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
 
 
-def test_packing_with_lengths_of_zero(spark):
-    rows = spark.createDataFrame([(1, None), (2, 0), (3, 5), (4, -1)], "doc_id long, n long")
-    got = {r["doc_id"]: r["piece_tokens"] for r in packing.pack_documents(rows, length=F.col("n"), capacities=(8, 16)).collect()}
-    assert got == {1: 0, 2: 0, 3: 5, 4: 0}
-    none = packing.pack_documents(rows.filter("doc_id <> 3"), length=F.col("n"), capacities=(8, 16)).collect()
-    assert len(none) == 3 and {r["bin"] for r in none} == {none[0]["bin"]} and none[0]["capacity"] == 8
-
-
 def test_language_sample(spark, monkeypatch):
     """Every language is drawn from, and every byte of a drawn text is learned from."""
     seen = {}
@@ -280,16 +402,28 @@ def test_token_files_of_nothing(spark, tmp_path):
     assert token_files.read_tokens(spark, path, token_files.crc32_ids, "c long").count() == 0
 
 
-def test_encoder_on_white_space():
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("added", [False, True])
+def test_encoder_is_the_library(file, added):
     from tokenizers import Tokenizer
 
-    tk = Tokenizer.from_file(tokenizer_path())
-    tk.encode_special_tokens = True
-    enc = token_files.Encoder(tokenizer_path(), "<u2")
-    texts = ["a b", " a b", "a b ", "a  b", "a \nb c", "a\n b c", "it's o'clock 's x", "a\tb c", "x\u00a0y z", "x\u3000 y z", "\x1c a b", "1 23 a1 $ .. a", "<|endoftext|> x y", "a x. y's z' caf\u00e9. \u0661. n\u0301. o\u00b2 p2 \u4e00\u3002 q", *[t for t in ODD if t]]
+    tk = Tokenizer.from_file(tokenizer_path(file))
+    tk.encode_special_tokens = not added
+    enc = token_files.Encoder(tokenizer_path(file), "<u2", added)
+    texts = ["a b", " a b", "a b ", "a  b", "a \nb c", "a\n b c", "it's o'clock 's x' y", "a\tb c", "x\u00a0y z", "x\u3000 y z", "\x1c a b", "1 23 a1 $ .. a", "<|endoftext|> x y", "a x. y's z' caf\u00e9. \u0661. n\u0301. o\u00b2 p2 \u4e00\u3002 q", "\u00fcber, \u0250 \u0251b. na\u00efve (x) y)", "a <|endoftext|> b", *[t for t in ODD if t]]
     for _ in range(2):
         for text, ids in zip(texts, enc.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u2").tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
+    assert enc.by_units == file.startswith("byte")
+
+
+def test_encoder_refuses_a_narrow_type(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    big = tmp_path / "big.json"
+    Tokenizer(models.WordLevel({f"w{k}": k for k in range(70_000)}, unk_token="w0")).save(str(big))
+    with pytest.raises(ValueError, match="fit"):
+        token_files.Encoder(str(big), "<u2")
 
 
 def test_token_files_with_added_tokens(spark, tmp_path):
@@ -377,15 +511,47 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
-def test_url_counts_are_exact(spark):
-    """Order-0 counts of the model against counting by hand; chances after any context add up to one, without hash collisions."""
+def brute_chance(model, c, context, symbol):
+    """The chance of a symbol (0: end, else byte + 2) after a context of symbols, the nearest last, order by order."""
+    p = 1 / 257
+    data = bytes(x - 2 for x in context if x > 1)
+    contexts, grams, ranges = url_filter._contexts(np.frombuffer(data + (bytes([symbol - 2]) if symbol else b""), np.uint8), np.array([0, len(data) + (symbol > 0)]), model.order, model.bits)
+    for k in range(model.order + 1):
+        total = model.totals[c, k, contexts[k][len(data)]]
+        if total > 0:
+            p = (model.grams[c, k, grams[k][len(data)]] + url_filter.PRIOR * p) / (total + url_filter.PRIOR)
+    return p
+
+
+@pytest.mark.parametrize("bits", [6, 18])
+def test_url_chances(spark, bits):
+    """Counts against counting by hand; chances of all symbols after any context add up to one, few slots or many; scores against plain loops."""
     urls = ["http://a.org/fr/x", "http://b.org/fr/y"]
-    judged = spark.createDataFrame([(u, True) for u in urls], "url string, accepted boolean")
-    counts = url_filter._count(judged, 2, 18)
-    assert counts[1, 0, 0].sum() == sum(len(u) + 1 for u in urls) and counts[0].sum() == 0
-    model = url_filter.UrlModel(counts, 2, 18)
-    data = np.frombuffer(b"ab", np.uint8)
-    assert np.isfinite(model.difference(data, np.array([0, 2]))).all()
+    judged = spark.createDataFrame([(u, True) for u in urls] + [("http://z.net/q", False)], "url string, accepted boolean")
+    counts = url_filter._count(judged, 2, bits)
+    assert counts[1, 0, 0].sum() == counts[1, 1, 2].sum() == sum(len(u) + 1 for u in urls) and counts[0, 0, 1].sum() == 15
+    model = url_filter.UrlModel.of(counts, 2, bits)
+    for c in (0, 1):
+        for context in (b"", b"h", b"ht", b"http://a.", b"qq"):
+            assert sum(brute_chance(model, c, [x + 2 for x in context], s) for s in (0, *range(2, 258))) == pytest.approx(1)
+    for url in ("http://a.net/", "", "x"):
+        data = url.encode()
+        own = [sum(np.log(brute_chance(model, c, [x + 2 for x in data[:i]], data[i] + 2 if i < len(data) else 0)) for i in range(len(data) + 1)) for c in (0, 1)]
+        got = model.difference(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert got.tolist() == pytest.approx([(own[1] - own[0]) / (len(data) + 1)])
+
+
+def test_url_threshold(spark):
+    """The threshold against trying every one by hand on the calibration fold."""
+    rows = [(f"http://good{k % 7}.org/fr/{k}", True) for k in range(150)] + [(f"http://spam{k % 7}.net/zz{k}", False) for k in range(150)] + [(f"http://good{k}.net/zz{k}", k % 2 == 0) for k in range(40)]
+    judged = spark.createDataFrame(rows, "url string, accepted boolean")
+    model = url_filter.fit_urls(judged)
+    fold = [r for r in judged.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(url_filter.CALIBRATION))).collect() if r["fold"] == 0]
+    binned = [(int(np.floor(round(float(model.difference(np.frombuffer(r["url"].encode(), np.uint8), np.array([0, len(r["url"])]))[0]), 9) / url_filter.BIN)), r["accepted"]) for r in fold]
+    def gain(t):
+        return np.mean([b >= t for b, ok in binned if ok]) + np.mean([b < t for b, ok in binned if not ok])
+    best = max(map(gain, range(-2000, 2002)))
+    assert gain(round(model.threshold / url_filter.BIN)) == pytest.approx(best)
 
 
 # Quality rules
@@ -454,22 +620,41 @@ def test_cascade_has_no_python(spark, odd):
 
 
 def test_packing(spark, odd):
-    got = packing.pack_documents(odd, group_rows=5).collect()
-    sizes = Counter()
-    pieces = defaultdict(list)
+    """Every document's ids come back in order from the sequences, once; bins are as short as their contents allow."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path())
+    tk.encode_special_tokens = True
+    got = packing.pack_documents(odd, tokenizer_path(), group_pieces=5).collect()
+    pieces = []
     for r in got:
-        pieces[r["bin"]].append(r)
-        sizes[r["doc_id"]] += r["piece_tokens"]
+        ends = np.cumsum(r["piece_tokens"]).tolist()
+        assert len(r["ids"]) == r["n_tokens"] == ends[-1] and r["capacity"] == min(c for c in packing.CAPACITIES if c >= ends[-1])
+        pieces += [(d, s, r["ids"][e - n : e]) for d, s, n, e in zip(r["doc_ids"], r["piece_starts"], r["piece_tokens"], ends, strict=True)]
+    assert len({r["bin"] for r in got}) == len(got)
     want = Counter()
     for r in odd.collect():
-        want[r["doc_id"]] += len((r["text"] or "").encode()) + 1
-    assert sizes == want
-    for own in pieces.values():
-        own.sort(key=lambda r: r["bin_offset"])
-        ends = np.cumsum([r["piece_tokens"] for r in own]).tolist()
-        assert [r["bin_offset"] for r in own] == [0, *ends[:-1]]
-        assert {r["capacity"] for r in own} == {min(c for c in packing.CAPACITIES if c >= ends[-1])}
-    assert packing.pack_documents(empty(spark)).count() == 0
+        ids = [*tk.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        most = max(packing.CAPACITIES)
+        want.update((r["doc_id"], i, tuple(ids[i : i + most])) for i in range(0, len(ids), most))
+    assert Counter((d, s, tuple(x)) for d, s, x in pieces) == want
+    assert packing.pack_documents(empty(spark), tokenizer_path()).count() == 0
+
+
+def test_packing_of_ids(spark):
+    """Groups follow the plain rule one after another; rows without ids have no piece; text ids are carried."""
+    rng = np.random.default_rng(9)
+    sizes = [int(n) for n in rng.integers(0, 40, 60)] + [0, 200]
+    rows = [(f"d{k}", bytes(np.full(n, k % 250, "<u2").tobytes())) for k, n in enumerate(sizes)] + [("none", None)]
+    df = spark.createDataFrame(rows, "doc string, ids binary").coalesce(1)
+    got = packing.pack_ids(df, capacities=(16, 32, 64), attention=100.0, group_pieces=20).collect()
+    held = [r["n_tokens"] for r in got]
+    order = [int(r["doc"][1:]) for r in df.filter("ids is not null").collect()]
+    rest = [sizes[k] % 64 for k in order if sizes[k] % 64]
+    want = [64] * sum(n // 64 for n in sizes) + [x for i in range(0, len(rest), 20) for x in brute_pack(rest[i : i + 20], (16, 32, 64), 100.0)]
+    assert sorted(held) == sorted(want) and {d for r in got for d in r["doc_ids"]} == {f"d{k}" for k, n in enumerate(sizes) if n}
+    with pytest.raises(ValueError, match="capacities"):
+        packing.pack_ids(df, capacities=())
 
 
 def test_best_fit_choices():
@@ -512,7 +697,9 @@ def brute_pack(lengths, capacities, attention):
 def test_packing_follows_the_plain_rule(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 60, 80)
-    bins, _, _ = packing.pack(lengths, (16, 32, 64), 100.0)
+    bins, _, sizes = packing.pack(lengths, (16, 32, 64), 100.0)
+    own = np.bincount(bins, weights=lengths).astype(int).tolist()
+    assert sizes.tolist() == [min(c for c in (16, 32, 64) if c >= n) for n in own]
     assert sorted(np.bincount(bins, weights=lengths).astype(int).tolist()) == brute_pack(lengths.tolist(), (16, 32, 64), 100.0)
 
 
@@ -558,11 +745,12 @@ def test_near_duplicates(spark, odd):
 def test_links_connect_all(spark, seed):
     """Dense groups, with more members than are compared all with all: the links' components are those of all links."""
     rng = np.random.default_rng(seed)
+    hot = (4096, 4096, 40, 3)[seed]  # members of a signature that is dealt out again
     centres = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     fps = {int(rng.choice(centres)) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))) for _ in range(300)}
     f = np.array(sorted(fps), np.uint64)
     df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
-    root = {r["node"]: r["root"] for r in simhash.connected_components(simhash.links(df)).collect()}
+    root = {r["node"]: r["root"] for r in simhash.connected_components(simhash.links(df, hot=hot)).collect()}
     got = defaultdict(set)
     for x in f.view(np.int64).tolist():
         got[root.get(x, x)].add(x)
@@ -576,6 +764,53 @@ def test_links_connect_all(spark, seed):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_masks_find_every_link():
+    """Any two fingerprints within four bits share a signature, at each level."""
+    rng = np.random.default_rng(3)
+    for level in (0, 1):
+        m = np.array(simhash.masks(level), np.uint64)
+        assert len(m) == 271 * 5**level
+        for n in range(5):
+            for _ in range(300):
+                d = np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False)))
+                hit = (m & d) == 0
+                assert hit.any()
+                if level:  # some narrower mask of each wider one that fits
+                    wide = (np.array(simhash.masks(0), np.uint64) & d) == 0
+                    assert (hit.reshape(-1, 5).any(axis=1) == wide).all()
+
+
+def test_hot_signature(spark):
+    """50,000 fingerprints under one signature, which is dealt out again: links as from comparing all."""
+    rng, mask = np.random.default_rng(0), np.uint64(simhash.masks()[0])
+    some = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2)
+    near = rng.choice(some, 10_000) ^ (np.uint64(1) << rng.integers(0, 64, 10_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 10_000).astype(np.uint64))
+    f = np.unique(np.concatenate([some, near]) & ~mask | np.uint64(0x5A5A5A5A5A5A5A5A) & mask)
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")).select("a", "b").toArrow()
+    parent = dict(zip(f.view(np.int64).tolist(), range(len(f)), strict=True))
+    group = np.arange(len(f))
+
+    def top(i):
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True):
+        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+        group[top(parent[a])] = top(parent[b])
+    roots = np.array([top(i) for i in range(len(f))])
+    assert len(found) > 5_000
+    for i in range(0, len(f), 100):
+        near = np.bitwise_count(f ^ f[i]) <= 4
+        assert (roots[near] == roots[i]).all()
+
+
+def test_long_text_fingerprint(monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert simhash.fingerprint(LONG[:2000].encode()) == brute_fingerprint(LONG[:2000])
+
+
 def test_keep_one(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
@@ -584,6 +819,47 @@ def test_keep_one(spark, odd):
         parts[r["component_id"]].add(r["doc_id"])
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(k for k in parts if k is not None)
-    assert ids.count(None) == 1
+    assert ids.count(None) == (None in parts)
     with pytest.raises(ValueError, match="bits"):
         simhash.near_duplicates(odd, bits=5)
+
+
+def test_keep_one_of_rows_without_id(spark):
+    rows = [(None, "a b c d e", 1), (None, "a b c d e", 2), (5, "a b c d e", 3), (None, "other words stand here", 4), (None, "other words stand here", 5), (7, "x y", 6), (7, "z w", 7), (7, "z w", 8)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, id int")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "other words stand here"), (5, "a b c d e"), (7, "x y"), (7, "z w")]
+
+
+def test_texts_beyond_a_block(spark):
+    """A text of over 1 MiB is a block of its own: results equal those with larger blocks, beside short texts."""
+    from kithline.llm import common
+
+    huge = " ".join(f"word{k % 4001} vile" for k in range(90_000))
+    assert len(huge) > 1_200_000
+    texts = ["short one", huge, None, "", "last words vile"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rng = np.random.default_rng(7)
+    quality = quality_model.SubwordModel(rng.normal(0, 1, 1 << 12).astype(np.float32), 0.1, 12)
+    toxic = toxicity.OrdinalModel(rng.normal(0, 0.01, 1 << 16).astype(np.float32), np.arange(1 << 16) * 16, np.array([1.0, 2.0, 3.0]), 20)
+    tongue = lang_id.LanguageModel(["a", "b"], lang_id.Layer.new(4, rng), lang_id.Layer.new(4, rng), rng.normal(0, 1, (2, 8)).astype(np.float32), np.zeros(2, np.float32), 4)
+    data = [(t or "").encode() for t in texts]
+    flat, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    assert [(lo, hi) for lo, hi, _, _ in common.blocks(flat, offsets)] == [(0, 1), (1, 2), (2, 5)]
+    for fn, model, alone in ((quality_model.score_quality, quality, "score"), (toxicity.score_toxicity, toxic, "severity"), (lang_id.predict_languages, tongue, "score")):
+        together = {r[0]: r[1] for r in fn(df, model, keep=["doc_id"]).select("row.doc_id", f"out.{alone}").collect()}
+        for k in range(5):
+            assert fn(df.filter(F.col("doc_id") == k), model, keep=["doc_id"]).select(f"out.{alone}").first()[0] == pytest.approx(together[k], abs=2e-6)
+    bench = spark.createDataFrame([(1, " ".join(huge.split()[5000:5013])), (2, "last words vile")], "item_id long, text string")
+    found = {r[0]: list(r)[1:] for r in contamination.find_contamination(df, bench).select("row.doc_id", "out.n_words", "out.n_hit", "out.items").collect()}
+    assert found == {k: list(brute_contamination([t], [(1, " ".join(huge.split()[5000:5013])), (2, "last words vile")], 13)[0]) for k, t in enumerate(texts)}
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Ten texts of 20 MB don't come to a task in one batch."""
+    from kithline.llm.common import map_rows, struct
+
+    import pyarrow as pa
+
+    df = spark.range(10).coalesce(1).select("id", F.repeat(F.lit("x"), 20_000_000).alias("text"))
+    sizes = map_rows(df, lambda row: struct(n=pa.array([len(row)] * len(row), pa.int64())), "n long", ["id"]).select("out.n").collect()
+    assert max(r["n"] for r in sizes) <= 5

@@ -6,8 +6,8 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from kithline.llm import decontaminate as contamination
-from kithline.llm import packing, quality_model, simhash, toxicity
-from kithline.llm.queries import QUERIES
+from kithline.llm import quality_model, simhash, token_files, toxicity
+from kithline.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,9 +31,10 @@ def test_stages(spark, tmp_path):
     assert ids[3] == {r["component_id"] for r in simhash.near_duplicates(seen[2]).collect()}
     found = contamination.find_contamination(seen[3], bench)
     assert ids[4] == {r[0] for r in found.filter(~contamination.is_contaminated()).select("row.doc_id").collect()}
-    want = {r["doc_id"]: r["n"] for r in seen[4].select("doc_id", (F.octet_length("text") + 1).alias("n")).collect()}
-    got = {r["doc_id"]: r["n"] for r in seen[5].groupBy("doc_id").agg(F.sum("piece_tokens").alias("n")).collect()}
-    assert got == want and seen[5].columns == packing.pack_documents(docs).columns
+    packed = seen[5].select(F.explode(F.arrays_zip("doc_ids", "piece_tokens")).alias("p"), "capacity")
+    got = {r["d"]: r["n"] for r in packed.groupBy(F.col("p.doc_ids").alias("d")).agg(F.sum("p.piece_tokens").alias("n")).collect()}
+    tokens = {r["doc_id"]: len(r["ids"]) // 2 for r in token_files.encoded(seen[4], tokenizer_path(), added=True).select("row.doc_id", "out.ids").collect()}
+    assert got == tokens
     quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
     good = {k for k in ids[0] if quality.get(k) == 1}
     assert len(good - ids[1]) <= 0.02 * len(good)
