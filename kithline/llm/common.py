@@ -66,6 +66,18 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Jobs run within get Arrow batches of at most ``rows`` rows; the session's own setting comes back after them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that this library wrote itself."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,14 +17,14 @@ another, and writes out each group's sequences with their token ids.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.token_files import encoded
+from kithline.llm.token_files import encode_column
 
 #: Permitted sequence lengths, in tokens.
 CAPACITIES = (1024, 2048, 4096, 8192)
@@ -117,10 +117,15 @@ def pack_ids(encoded: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, at
     and rows that repeat an id, are packed like any other. An empty table gives
     no rows.
     """
+    return _packed(encoded.select("doc", "ids"), lambda ids: (x.as_py() for x in ids), capacities, attention, dtype, group_pieces, group_tokens)
+
+
+def _packed(rows: DataFrame, encode: Callable[[pa.Array], Iterable[bytes | None]], capacities: tuple[int, ...] = CAPACITIES, attention: float = ATTENTION, dtype: str = "<u2", group_pieces: int = GROUP_PIECES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Sequences of rows (doc, and what encode makes ids of)."""
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
     most = max(capacities)
-    kind = encoded.schema["doc"].dataType.simpleString()
+    kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -129,7 +134,7 @@ def pack_ids(encoded: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, at
         docs, starts, parts, tokens = [], [], [], 0
         schema = None
 
-        def rows(sequences: list[tuple[int, list[int], list[int], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        def made(sequences: list[tuple[int, list[int], list[int], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             """Batches of sequences: capacity, documents, starts and ids of pieces."""
             nonlocal number
             while sequences:
@@ -164,8 +169,8 @@ def pack_ids(encoded: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, at
 
         for batch in batches:
             schema, whole = batch.schema.field(0).type, []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), dtype) if raw.is_valid else np.zeros(0, dtype)
+            for doc, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.frombuffer(raw or b"", dtype)
                 full = len(ids) // most
                 for i in range(full):
                     whole.append((most, [doc], [i * most], [ids[i * most : (i + 1) * most]]))
@@ -173,18 +178,18 @@ def pack_ids(encoded: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, at
                 if len(rest):
                     docs.append(doc)
                     starts.append(full * most)
-                    parts.append(rest.copy())  # the batch goes
+                    parts.append(rest.copy())  # the rest of a long document goes
                     tokens += len(rest)
                 if len(parts) >= group_pieces or tokens >= group_tokens:
-                    yield from rows(packed())
+                    yield from made(packed())
                     docs, starts, parts, tokens = [], [], [], 0
                 if len(whole) * most >= BATCH_TOKENS:
-                    yield from rows(whole)
-            yield from rows(whole)
+                    yield from made(whole)
+            yield from made(whole)
         if parts:
-            yield from rows(packed())
+            yield from made(packed())
 
-    return encoded.select("doc", "ids").mapInArrow(run, OUT.format(kind=kind))
+    return rows.mapInArrow(run, OUT.format(kind=kind))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text: str = "text", end_id: int | None = 2, dtype: str = "<u2", added: bool = False, **options) -> DataFrame:
@@ -194,4 +199,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("text"))
-    return pack_ids(encoded(rows, tokenizer, dtype=dtype, end_id=end_id, added=added, keep=["doc"]).select("row.doc", "out.ids"), dtype=dtype, **options)
+    return _packed(rows, lambda texts: encode_column(texts, tokenizer, dtype, end_id, added), dtype=dtype, **options)

@@ -32,12 +32,12 @@ import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.llm.common import map_rows, struct
+from kithline.llm.common import map_rows, short_batches, struct
 
 #: Stands for a null document id in keys files.
 NO_KEY = -(1 << 63)
 #: Units whose ids a worker remembers in each of two generations; of pieces it remembers a quarter as many.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Letters of the Latin alphabets, and marks that may follow a word as a piece of their own.
 LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 MARKS = ".,;:!?)"
@@ -163,13 +163,18 @@ def encoder(path: str, dtype: str = "<u2", added: bool = False) -> Encoder:
     return _encoders[path, dtype, added]
 
 
+def encode_column(texts: pa.Array, tokenizer: str, dtype: str = "<u2", end_id: int | None = 2, added: bool = False) -> Iterator[bytes]:
+    """The ids of each text of an Arrow array as bytes of dtype, end id last; null is an empty text."""
+    enc, end = encoder(tokenizer, dtype, added), b"" if end_id is None else np.array([end_id], dtype).tobytes()
+    for t in texts:
+        yield enc.encode([t.as_py() or ""])[0] + end
+
+
 def encoded(docs: DataFrame, tokenizer: str, *, text: str = "text", dtype: str = "<u2", end_id: int | None = 2, added: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Every row of docs as ``row`` (of it the columns of keep), and ``out.ids``: its ids as bytes of dtype, the end id last."""
-    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
     def of(row: pa.StructArray) -> pa.StructArray:
-        enc = encoder(tokenizer, dtype, added)
-        return struct(ids=pa.array([enc.encode([t.as_py() or ""])[0] + end for t in row.field(text)], pa.binary()))
+        return struct(ids=pa.array(encode_column(row.field(text), tokenizer, dtype, end_id, added), pa.binary()))
 
     return map_rows(docs.withColumn(text, F.col(text).cast("string")), of, "ids binary", keep)
 
@@ -236,15 +241,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     fs.create_dir(inner, recursive=True)
     bounds = _bounds(docs, id_col, text, partitions)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.rand(5).alias("r"), F.col(text).cast("string").alias("text"))
-    found = encoded(rows, tokenizer, dtype=dtype, end_id=end_id, added=added, keep=["id", "h", "r"]).select("row.*", "out.ids")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True)
-            part = pa.array([bisect.bisect_right(bounds, _key(*k)) for k in keys], pa.int32())
-            yield pa.RecordBatch.from_arrays([part, batch.column(0), batch.column(1), batch.column(3)], names=["part", "id", "h", "ids"])
+    def place(row: pa.StructArray) -> pa.StructArray:
+        keys = zip(*[row.field(c).to_pylist() for c in ("id", "h", "r")], strict=True)
+        part = pa.array([bisect.bisect_right(bounds, _key(*k)) for k in keys], pa.int32())
+        return struct(part=part, ids=pa.array(encode_column(row.field("text"), tokenizer, dtype, end_id, added), pa.binary()))
 
-    dealt = found.mapInArrow(place, "part int, id long, h long, ids binary").repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "h")
+    found = map_rows(rows, place, "part int, ids binary", ["id", "h"]).select("out.part", "row.id", "row.h", "out.ids")
+    dealt = found.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = pfs.FileSystem.from_uri(path)
@@ -267,7 +271,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
                 f.write(numbers.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["part", "name", "n_docs", "n_tokens"])
 
-    counts = dealt.mapInArrow(write, "part int, name string, n_docs long, n_tokens long").collect()  # a row for each partition
+    with short_batches(spark):
+        counts = dealt.mapInArrow(write, "part int, name string, n_docs long, n_tokens long").collect()  # a row for each partition
     counts = sorted((tuple(r) for r in counts), key=lambda r: r[0])
     named = {r[1] for r in counts}
     for f in fs.get_file_info(pfs.FileSelector(inner)):
