@@ -210,7 +210,8 @@ class _Slices:
 def _bounds(docs: DataFrame, id_col: str, text: str, partitions: int | None) -> list[tuple]:
     """Where ranges of (id, text's hash, a random number) begin, about equally full; from those three numbers of each row alone."""
     keys = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.rand(5).alias("r"))
-    ranged = keys.repartitionByRange(partitions, "id", "h", "r") if partitions else keys.repartitionByRange("id", "h", "r")
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright, or so few bytes would go to one partition
+    ranged = keys.repartitionByRange(n, "id", "h", "r")
     firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("id", "h", "r")).alias("k")).collect()  # a row for each partition
     return sorted(_key(*r["k"]) for r in firsts)[1:]
 
