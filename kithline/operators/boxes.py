@@ -84,3 +84,9 @@ def last_of_window(frames: DataFrame, width: int, stride: int) -> DataFrame:
     windows = n.select("video_id", F.explode(starts).alias("first")).select("video_id", "first", (F.col("first") + width - 1).alias("last"), F.explode(F.sequence("first", F.col("first") + width - 1)).alias("place"))
     placed = frames.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
     return placed.join(windows, ["video_id", "place"]).select("video_id", F.col("first").alias("window"), "place", "frame", (F.col("place") == F.col("last")).alias("is_last"))
+
+
+def window_ends(frames: DataFrame, width: int, stride: int) -> DataFrame:
+    """video_id, frame of the last frames of sliding windows that fall on the stride counted from the first window's end; others are left out."""
+    last = last_of_window(frames, width, stride).filter("is_last")
+    return last.filter(F.col("place") % stride == (width - 1) % stride).select("video_id", "frame").distinct()

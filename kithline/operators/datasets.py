@@ -111,14 +111,21 @@ def first_person_class(annotations: DataFrame) -> DataFrame:
     return annotations.withColumn("category_id", F.when((F.col("category_id") == 1) & (F.col("person_ID") == 1), 11).otherwise(F.col("category_id")))
 
 
+def rebuild_annotations(boxes: DataFrame, path: str) -> None:
+    """Replaces the annotations at path by boxes of cvat_tracks(), with their person_ID and the camera wearer's class."""
+    named = boxes.withColumn("person_ID", F.try_element_at("attributes", F.lit("person_ID")).try_cast("long"))
+    first_person_class(named).write.mode("overwrite").parquet(path)
+
+
 def build_split(images: DataFrame, negatives: DataFrame, mode: str, *, splits: DataFrame | None = None, groups: DataFrame | None = None, seed: int = 42, ratio: float = 1.0) -> DataFrame:
     """file_name, child_id, has_annotation, split of positives and of sampled negatives.
 
     mode: "fixed" takes splits (child_id, split) as given; "balanced" makes
     them with greedy_split from groups; "retrain" keeps given splits of val and
     test and gives all other children to train. Negatives (file_name, child_id,
-    maybe is_hard) fill each split up to ratio times its positives, hard ones
-    first and all of them.
+    maybe is_hard) fill train and val up to ratio times their positives, hard
+    ones first and all of them; test keeps all of its own, as they come in
+    practice, but none that is among its positives.
     """
     from kithline.operators.splits import greedy_split, sample_by_quota
 
@@ -131,8 +138,10 @@ def build_split(images: DataFrame, negatives: DataFrame, mode: str, *, splits: D
         raise ValueError(f"unknown mode {mode}")
     pos = images.filter("has_annotation = 1").join(splits, "child_id")
     quota = pos.groupBy("split").agg(F.floor(F.count("*") * ratio).alias("quota"))
-    neg = negatives.join(splits, "child_id")
+    every = negatives.join(splits, "child_id")
+    neg = every.filter("split <> 'test'")
+    kept = every.filter("split = 'test'").join(pos.select("file_name"), "file_name", "left_anti").select(*neg.columns)
     hard = F.col("is_hard") if "is_hard" in negatives.columns else None
     drawn = sample_by_quota(neg, quota, "split", "file_name", seed, hard)
     columns = ["file_name", "child_id", "has_annotation", "split"]
-    return pos.select(*columns).unionByName(drawn.withColumn("has_annotation", F.lit(0)).select(*columns))
+    return pos.select(*columns).unionByName(drawn.unionByName(kept).withColumn("has_annotation", F.lit(0)).select(*columns))

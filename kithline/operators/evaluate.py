@@ -49,6 +49,15 @@ def second_export(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return grid.join(gt, ["video_id", "second"], "left").join(pred, ["video_id", "second"], "left").fillna({"gt": UNANNOTATED, "pred": UNCLASSIFIED})
 
 
+def rater_seconds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """video_id, second, a, b for every second that lies before the earlier of two raters' last ends, in videos that both rated; absent labels spelled out."""
+    ends = a.groupBy("video_id").agg(F.max("end").alias("x")).join(b.groupBy("video_id").agg(F.max("end").alias("y")), "video_id")
+    lengths = ends.select("video_id", F.floor(F.least("x", "y")).cast("long").alias("n")).filter("n > 0")
+    grid = lengths.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("second"))
+    own, other = (paint_seconds(s, lengths).withColumnRenamed("label", c) for s, c in ((a, "a"), (b, "b")))
+    return grid.join(own, ["video_id", "second"], "left").join(other, ["video_id", "second"], "left").fillna(UNANNOTATED, ["a", "b"])
+
+
 def confusion(seconds: DataFrame) -> DataFrame:
     """gt, pred, n and the share of gt's classified seconds; seconds without prediction are left out."""
     n = seconds.filter("pred is not null").groupBy("gt", "pred").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithline.params import Params
+
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, bin_width: float, *, a_span: tuple[str, str] = ("start", "end"), b_span: tuple[str, str] = ("start", "end")) -> DataFrame:
     """Pairs of rows of a and b (suffix _b) of one key whose spans overlap by more than a point.
@@ -24,13 +26,14 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, bin_width: float, *, a_sp
     return found.filter(F.col("bin") == F.floor(F.greatest(sa, sb) / bin_width)).drop("bin")
 
 
-def merge_overlaps(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end") -> DataFrame:
-    """keys, start, end of unions of spans that overlap or touch."""
+def merge_overlaps(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end", keep: list[str] | None = None) -> DataFrame:
+    """keys, start, end of unions of spans that overlap or touch, and the columns keep of the first span of each."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(F.col(start) <= reach, 0).otherwise(1)
     numbered = df.withColumn("begins", begins).withColumn("island", F.sum("begins").over(w))
-    return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+    first = [F.min_by(c, F.struct(start, end, *keep)).alias(c) for c in keep or []]
+    return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), *first).drop("island")
 
 
 def union_length(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end", name: str = "seconds") -> DataFrame:
@@ -87,3 +90,16 @@ def frames_in_segments(frames: DataFrame, segments: DataFrame, step: int) -> Dat
     covered = segments.filter(first <= F.col("segment_end")).select("video_id", "interaction_type", F.explode(F.sequence(first.cast("long"), F.col("segment_end").cast("long"), F.lit(step).cast("long"))).alias("frame"))
     marks = covered.groupBy("video_id", "frame").agg(*[F.bool_or(F.col("interaction_type") == t).alias(c) for c, t in flags.items()])
     return frames.join(marks, ["video_id", "frame"], "left").fillna({c: False for c in flags})
+
+
+def overlay(shown: DataFrame, analysed: DataFrame, segments: DataFrame, p: Params) -> DataFrame:
+    """shown (video_id, frame) with the state of the analysed frame that stands for it and the type of the segment there; nulls without one.
+
+    Frame f is stood for by rint(f / fps) * step, halves to even. Segments are
+    spread over the analysed frames and joined by equality.
+    """
+    at = (F.rint(F.col("frame") / p.fps) * p.step).cast("long")
+    first = F.ceil(F.col("segment_start") / p.step) * p.step
+    types = segments.filter(first <= F.col("segment_end")).select("video_id", "interaction_type", F.explode(F.sequence(first.cast("long"), F.col("segment_end").cast("long"), F.lit(p.step).cast("long"))).alias("at"))
+    states = analysed.select("video_id", F.col("frame").alias("at"), "state")
+    return shown.withColumn("at", at).join(states, ["video_id", "at"], "left").join(types, ["video_id", "at"], "left")

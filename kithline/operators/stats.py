@@ -73,3 +73,15 @@ def stage_audit(stages: dict[str, DataFrame], key: str) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def truth_and_estimate(truth: DataFrame, estimates: DataFrame, key: str, estimate: str, order: str = "ordinal") -> DataFrame:
+    """truth with the estimate of its key; of rows of one key the first by ``order`` (then by value) counts on either side, and keys without an estimate are left out."""
+    first = truth.groupBy(key).agg(F.min(F.struct(order, *[c for c in truth.columns if c not in (key, order)])).alias("t")).select(key, "t.*").drop(order)
+    own = estimates.groupBy(key).agg(F.min(F.struct(order, estimate)).alias("e")).select(key, f"e.{estimate}")
+    return first.join(own, key, "left").filter(F.col(estimate).isNotNull())
+
+
+def total_duration(videos: DataFrame, frames: str, fps: int) -> DataFrame:
+    """videos, frames and seconds in all."""
+    return videos.agg(F.count("*").alias("videos"), F.sum(frames).alias("frames"), (F.sum(frames) / fps).alias("seconds"))

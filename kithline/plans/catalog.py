@@ -627,8 +627,11 @@ def parameter_search(spark, sf_dir):
     return analysis.search(observed, truth, trials)
 
 
-@register()
+@register("SELECT video_id, CAST(floor(k / 16) AS BIGINT) AS sequence, count(*) AS size, 16 AS n_features, 16 AS n_labels FROM (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1 AS k FROM grid) GROUP BY ALL", "grid")
 def padded_sequences(spark, sf_dir):
     f = analysis.frames(spark, sf_dir, P).select("video_id", "frame", F.array("presence_conf", "face_conf").alias("features"), "has_kchi")
     found = predict.padded_sequences(f, "features", "has_kchi", 16)
     return found.select("video_id", "sequence", "size", F.size("features").alias("n_features"), F.size("labels").alias("n_labels"))
+
+
+from kithline.plans import catalog_files  # noqa: E402, F401 (registers its queries here)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.functions.scalars import box_of_json, category, clean_number, frame_suffix, last_number, path_part, supercategory, video_of_frame_name
+from kithline.functions.scalars import box_of_json, category, clean_number, frame_of_path, frame_suffix, last_number, path_part, supercategory, video_of_frame_name
 
 SPEECH_LABELS = ("OHS", "KCDS", "KCHI")
 
@@ -14,15 +14,22 @@ def _stem(path):
     return F.regexp_replace(path_part(path, 1), r"\.[^.]*$", "")
 
 
-def speech_rttm(spark: SparkSession, path: str, *, labels: tuple[str, ...] | None = SPEECH_LABELS, strict: bool = True) -> DataFrame:
+def speech_rttm(spark: SparkSession, path: str, *, labels: tuple[str, ...] | None = SPEECH_LABELS, strict: bool = True, bad: str = "drop") -> DataFrame:
     """video_name (without suffix), start, end, duration (seconds), speaker of the lines of RTTM files.
 
     strict: eight tokens or more, the first SPEAKER, numeric times, a positive
-    duration; else only readable times are asked for. labels None: any.
+    duration; else only eight tokens and readable times are asked for. labels
+    None: any. bad "raise": an unreadable time in a line of these labels ends
+    the job instead of dropping the line.
     """
     t = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select(F.regexp_replace(F.get(t, F.lit(1)), r"\.[^.]*$", "").alias("video_name"), F.get(t, F.lit(0)).alias("kind"), F.size(t).alias("n"), F.get(t, F.lit(3)).try_cast("double").alias("start"), F.get(t, F.lit(4)).try_cast("double").alias("duration"), F.get(t, F.lit(7)).alias("speaker"))
-    rows = rows.filter("start is not null and duration is not null and n >= 8")
+    rows = rows.filter("n >= 8")
+    if bad == "raise":
+        wanted = F.col("speaker").isin(*labels) if labels else F.lit(True)
+        broken = wanted & (F.col("start").isNull() | F.col("duration").isNull())
+        rows = rows.withColumn("start", F.when(broken, F.raise_error(F.lit("unreadable time")).cast("double")).otherwise(F.col("start")))
+    rows = rows.filter("start is not null and duration is not null")
     rows = rows.filter("kind = 'SPEAKER' and duration > 0") if strict else rows
     rows = rows.filter(F.col("speaker").isin(*labels)) if labels else rows
     return rows.select("video_name", "start", (F.col("start") + F.col("duration")).alias("end"), "duration", "speaker")
@@ -66,9 +73,18 @@ def newest_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.csv(best, header=True, **options)
 
 
+def ordered_images(spark: SparkSession, path: str, category_id: int = 1) -> DataFrame:
+    """image_id and place of a JSON list of predictions of one category: each image once, with the place of its first prediction in the list (from 0).
+
+    Places are in the list's order over several files too, though not without gaps.
+    """
+    rows = spark.read.schema("image_id string, category_id int").json(path, multiLine=True).withColumn("place", F.monotonically_increasing_id())
+    return rows.filter(F.col("category_id") == category_id).groupBy("image_id").agg(F.min("place").alias("place"))
+
+
 def predicted_images(spark: SparkSession, path: str, category_id: int = 1) -> DataFrame:
     """Distinct image_id of a JSON list of predictions of one category."""
-    return spark.read.schema("image_id string, category_id int").json(path, multiLine=True).filter(F.col("category_id") == category_id).select("image_id").distinct()
+    return ordered_images(spark, path, category_id).select("image_id")
 
 
 def keyed_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -138,3 +154,18 @@ def cvat_tracks(spark: SparkSession, path: str) -> DataFrame:
 def annotation_boxes(annotations: DataFrame) -> DataFrame:
     """annotations with the JSON column bbox as x1..y2; rows whose box can't be read are dropped."""
     return annotations.withColumn("b", box_of_json("bbox")).filter("b is not null").select("*", "b.*").drop("b", "bbox")
+
+
+def frames_by_path(paths: DataFrame, names: DataFrame, step: int) -> DataFrame:
+    """paths (column path) with video_name and frame, of the named videos (column video_name) and every step-th frame.
+
+    The name must be the path's folder as a whole, so no search for it anywhere
+    in the path is needed first; paths without a folder or number are left out.
+    """
+    named = paths.withColumns({"video_name": path_part("path", 2), "frame": frame_of_path("path")})
+    return named.filter(F.col("frame") % step == 0).join(names.select("video_name").distinct(), "video_name", "left_semi")
+
+
+def with_ids(df: DataFrame, videos: DataFrame) -> DataFrame:
+    """df with the video_id of its video_name, by videos (video_name, video_id); null for unknown names. Of ids of one name the least counts."""
+    return df.join(videos.groupBy("video_name").agg(F.min("video_id").alias("video_id")), "video_name", "left")

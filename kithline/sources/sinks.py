@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithline.params import Params
+from kithline.sources.shared import write_files
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """existing with rows of incoming in place of those of equal key; of incoming rows of one key the last by ``order`` counts, null keys are dropped."""
+    """existing with rows of incoming in place of those of equal key; of incoming rows of one key the last by ``order`` counts.
+
+    Incoming rows without a key are left out; existing ones stay.
+    """
+    keyless = existing.filter(F.col(key).isNull())
     ranked = existing.select("*", F.lit(0).alias("_new")).unionByName(incoming.select("*", F.lit(1).alias("_new")), allowMissingColumns=True).filter(F.col(key).isNotNull())
     last = [F.desc("_new"), *([F.desc(order)] if order else [])]
-    return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*last))).filter("_n = 1").drop("_n", "_new")
+    return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*last))).filter("_n = 1").drop("_n", "_new").unionByName(keyless, allowMissingColumns=True)
 
 
 def insert_missing(existing: DataFrame, seed: DataFrame, key: str) -> DataFrame:
-    """existing and those rows of seed whose key it lacks."""
-    return existing.unionByName(seed.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
+    """existing and those rows of seed whose key it lacks, one for each key."""
+    return existing.unionByName(seed.join(existing.select(key), key, "left_anti").dropDuplicates([key]), allowMissingColumns=True)
 
 
 def write_videos(df: DataFrame, path: str, partition: str = "video_id") -> None:
@@ -37,8 +42,35 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def write_labels(lines: DataFrame, path: str) -> None:
-    """Label contents (file_name, content) as text, a folder for each file."""
-    lines.select("file_name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
+    """Label contents (file_name, content) as one text file each, path/file_name.txt."""
+    write_files(lines, path, ".txt")
+
+
+def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
+    """df in order of keys: the files follow one another by name, and rows within each; no task orders the whole."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def order_report(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """n_rows, inversions (neighbouring rows of a file out of order) and overlaps (files that begin before the one before ends) of sorted files."""
+    key = F.struct(*keys)
+    rows = spark.read.parquet(path).select(key.alias("k"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    before = F.lag("k").over(Window.partitionBy("file").orderBy("place"))
+    by_file = rows.withColumn("wrong", F.coalesce((F.col("k") < before).cast("long"), F.lit(0))).groupBy("file").agg(F.count("*").alias("n"), F.sum("wrong").alias("wrong"), F.min("k").alias("least"), F.max("k").alias("most"))
+    ahead = F.lag("most").over(Window.orderBy("file"))  # a row for each file
+    marked = by_file.withColumn("overlap", F.coalesce((F.col("least") < ahead).cast("long"), F.lit(0)))
+    return marked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("inversions"), F.coalesce(F.sum("overlap"), F.lit(0)).alias("overlaps"))
+
+
+def save_trials(trials: DataFrame, path: str) -> None:
+    """Results of trials (trial, macro_f1, micro_f1, ...): all and the best as JSON, and a summary as CSV, in folders of path.
+
+    The best has the greatest macro_f1, of equals the greatest micro_f1, then
+    the smallest trial.
+    """
+    trials.write.mode("overwrite").json(f"{path}/all")
+    trials.orderBy(F.desc("macro_f1"), F.desc("micro_f1"), "trial").limit(1).write.mode("overwrite").json(f"{path}/best")
+    write_csv(trials, f"{path}/summary")
 
 
 def run_record(spark: SparkSession, run_id: str, p: Params) -> DataFrame:
