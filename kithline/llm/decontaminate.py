@@ -9,10 +9,11 @@ The join is on those prefix shingles alone; the shingle's position in the
 window then bounds where the window would start and end in the document, and
 what is left is compared word for word.
 
-The documents are read twice (frequencies, then the join) and never shuffled.
-The benchmark's windows travel to the tasks in blocks of at most
-``block_windows``; a larger benchmark takes more passes, one after another
-within the same stage, each adding its hits to those before.
+The documents are read twice (frequencies, then the join), however large the
+benchmark, and never shuffled. The benchmark's windows travel to the tasks in
+blocks of at most ``block_windows``, and a task holds one block at a time: it
+goes through all of them for each batch of documents. A window's items travel
+beside it; one of very many items is shared by all its occurrences.
 """
 
 from __future__ import annotations
@@ -124,26 +125,50 @@ class _Lookup:
         return at[hit], k[hit]
 
 
-def _frequencies(docs: DataFrame, text: str, shared) -> dict[int, int]:
-    """In how many rows each of the block's shingles occurs, over all rows; partial counts within each task."""
+class _Held:
+    """Blocks in the tasks: one at a time, and it alone stays if there is no other."""
+
+    def __init__(self, shared: list):
+        self.shared, self.ready = shared, {}
+
+    def each(self) -> Iterator[tuple[int, Block, _Lookup]]:
+        for i, broadcast in enumerate(self.shared):
+            if i not in self.ready:
+                block = broadcast.value
+                self.ready = {i: (block, _Lookup(block.keys))}
+            yield i, *self.ready[i]
+            if len(self.shared) > 1:
+                vars(broadcast).pop("_value", None)  # what this worker has read of it; its file stays
+                self.ready = {}
+
+
+def _frequencies(docs: DataFrame, text: str, shared: list, sizes: list[int]) -> list[np.ndarray]:
+    """In how many rows each of the blocks' shingles occurs, over all rows; partial counts within each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hasher = shared.value, RollingHash()
-        lookup, total = _Lookup(block.keys), np.zeros(len(block.keys), np.int64)
+        hasher, held = RollingHash(), _Held(shared)
+        total = [np.zeros(n, np.int64) for n in sizes]
         for batch in batches:
-            for _, _, data, offsets in blocks(*utf8(batch.column(0))):
-                words, _, _, ranges = _word_hashes(hasher, _LOWER[data], offsets)
-                for k in block.sizes:
-                    at, key = lookup.find(_shingles(hasher, words, int(k)))
-                    row = np.searchsorted(ranges, at, side="right") - 1
-                    inside = at + k <= ranges[row + 1]
-                    pairs = np.unique(row[inside] * len(block.keys) + key[inside])
-                    total += np.bincount(pairs % len(block.keys), minlength=len(block.keys))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["key", "n"])
-
-    counts = docs.select(F.col(text).cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r["key"]: r["n"] for r in counts.collect()}  # at most one row for each shingle of a block
+            for i, block, lookup in held.each():
+                for _, _, data, offsets in blocks(*utf8(batch.column(0))):
+                    words, _, _, ranges = _word_hashes(hasher, _LOWER[data], offsets)
+                    for k in block.sizes:
+                        at, key = lookup.find(_shingles(hasher, words, int(k)))
+                        row = np.searchsorted(ranges, at, side="right") - 1
+                        inside = at + k <= ranges[row + 1]
+                        pairs = np.unique(row[inside] * len(block.keys) + key[inside])
+                        total[i] += np.bincount(pairs % len(block.keys), minlength=len(block.keys))
+        for i, own in enumerate(total):
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(own[some])], names=["block", "key", "n"])
+
+    counts = docs.select(F.col(text).cast("string")).mapInArrow(count, "block long, key long, n long").groupBy("block", "key").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # at most one row for each shingle of the benchmark
+    of, key, n = (found[c].to_numpy() for c in ("block", "key", "n"))
+    out = [np.zeros(size, np.int64) for size in sizes]
+    for i, own in enumerate(out):
+        own[key[of == i]] = n[of == i]
+    return out
 
 
 def _matches(block: Block, lookup: _Lookup, hasher: RollingHash, data: np.ndarray, offsets: np.ndarray):
@@ -170,29 +195,27 @@ def _matches(block: Block, lookup: _Lookup, hasher: RollingHash, data: np.ndarra
     return np.array(rows, np.int64), np.array(firsts, np.int64), np.array(found, np.int64), ranges
 
 
-def _join(shared, text: str):
-    """One pass: adds a block's hit words and items to those of the passes before."""
-
-    def of(row: pa.StructArray, before: pa.StructArray | None = None) -> pa.StructArray:
-        block, hasher = shared.value, RollingHash()
-        lookup = _Lookup(block.keys)
-        n_words, spans, items = [], [], []
-        for lo, hi, data, offsets in blocks(*utf8(row.field(text))):
-            rows, firsts, found, ranges = _matches(block, lookup, hasher, data, offsets)
-            order = np.lexsort((firsts, rows))
-            rows, firsts, found = rows[order], firsts[order], found[order]
-            cut = np.searchsorted(rows, np.arange(hi - lo + 1))
-            n_words += np.diff(ranges).tolist()
-            for i in range(hi - lo):
-                some = slice(cut[i], cut[i + 1])
-                own: list[list[int]] = [[int(f - ranges[i]), int(f - ranges[i] + block.length[w])] for f, w in zip(firsts[some], found[some], strict=True)]
-                names = {block.items[o] for w in set(found[some].tolist()) for o in block.owners[w]}
-                if before is not None:
-                    own += before[lo + i]["spans"].as_py()
-                    names.update(before[lo + i]["items"].as_py())
-                spans.append(_merged(own))
-                items.append(sorted(names))
-        return struct(n_words=pa.array(n_words, pa.int64()), n_hit=pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), spans=pa.array(spans, pa.list_(pa.list_(pa.int64()))), items=pa.array(items, pa.list_(pa.string())))
+def _join(shared: list, text: str):
+    """Hit words and items of each row, from all blocks."""
+
+    def of(row: pa.StructArray) -> pa.StructArray:
+        hasher, texts = RollingHash(), utf8(row.field(text))
+        n_words = np.zeros(len(row), np.int64)
+        spans: list[list[list[int]]] = [[] for _ in range(len(row))]
+        items: list[set[str]] = [set() for _ in range(len(row))]
+        for _, block, lookup in _Held(shared).each():
+            for lo, hi, data, offsets in blocks(*texts):
+                rows, firsts, found, ranges = _matches(block, lookup, hasher, data, offsets)
+                n_words[lo:hi] = np.diff(ranges)
+                order = np.lexsort((firsts, rows))
+                rows, firsts, found = rows[order], firsts[order], found[order]
+                cut = np.searchsorted(rows, np.arange(hi - lo + 1))
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    some = slice(cut[i], cut[i + 1])
+                    spans[lo + i] = _merged(spans[lo + i] + [[int(f - ranges[i]), int(f - ranges[i] + block.length[w])] for f, w in zip(firsts[some], found[some], strict=True)])
+                    for w in set(found[some].tolist()):
+                        items[lo + i].update(block.items[o] for o in block.owners[w])
+        return struct(n_words=pa.array(n_words), n_hit=pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), spans=pa.array(spans, pa.list_(pa.list_(pa.int64()))), items=pa.array([sorted(x) for x in items], pa.list_(pa.string())))
 
     return of
 
@@ -210,34 +233,33 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 OUT = "n_words long, n_hit long, spans array<array<long>>, items array<string>"
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """Every row of docs as ``row``, and ``out``: n_words, n_hit, merged spans of hit words, ids of items with occurring windows.
 
     Null or empty texts have no words and no hits; null item ids and items
     without words are left out; equal windows of several items name all of
     them; repeated rows are judged each on its own; empty tables give no rows,
-    or rows without hits. Other columns are carried through untouched.
+    or rows without hits. Other columns (or those of ``keep``) are carried
+    through untouched.
     """
     spark = docs.sparkSession
     windows = benchmark_windows(bench, item_id, item_text, window).persist()
     n_blocks = max(1, -(-windows.count() // block_windows))
-    parts = [windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-    result = None
-    for part in parts:
+    made, shared = [], []
+    for i in range(n_blocks):
+        part = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == i)
         block = Block([tuple(r) for r in part.collect()], shingle)  # bounded by block_windows, on average
-        frequency = np.zeros(len(block.keys), np.int64)
-        for key, n in _frequencies(docs, text, spark.sparkContext.broadcast(block)).items():
-            frequency[key] = n
+        made.append(len(block.keys))
+        shared.append(spark.sparkContext.broadcast(block))
+    chosen = []
+    for broadcast, frequency in zip(shared, _frequencies(docs, text, shared, made), strict=True):
+        block = broadcast.value
         block.choose(frequency)
-        shared = spark.sparkContext.broadcast(block)
-        join = _join(shared, text)
-        if result is None:
-            result = map_rows(docs.withColumn(text, F.col(text).cast("string")), join, OUT)
-        else:
-            again = map_rows(result, lambda both, join=join: join(both.field("row"), both.field("out")), OUT)
-            result = again.select("row.row", "out")
+        chosen.append(spark.sparkContext.broadcast(block))
+        broadcast.destroy()
+        del block
     windows.unpersist()
-    return result
+    return map_rows(docs.withColumn(text, F.col(text).cast("string")), _join(chosen, text), OUT, keep)
 
 
 def is_contaminated(share: int = 20) -> Column:

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     items = F.array_join(F.array_sort("out.items"), ",")
     return found.select("row.doc_id", "out.n_words", "out.n_hit", F.size("out.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), contamination.is_contaminated().alias("contaminated"))
 

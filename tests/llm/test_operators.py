@@ -78,6 +78,17 @@ def test_contamination(spark, odd, block):
     assert len(got) == both.count()
 
 
+def test_contamination_plan_and_shared_windows(spark):
+    """One Python node however many blocks; a window of very many items names them all."""
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "none here")], "doc_id long, text string")
+    bench = spark.range(20_000).select("id", F.when(F.col("id") < 19_990, "a b c").otherwise(F.concat(F.lit("q"), "id")).alias("t"))
+    found = contamination.find_contamination(docs, bench, item_id="id", item_text="t", block_windows=5_000, keep=["doc_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    got = {r[0]: (r[1], len(r[2])) for r in found.select("row.doc_id", "out.n_hit", "out.items").collect()}
+    assert got == {1: (3, 19_990), 2: (0, 0)}
+
+
 def test_contamination_of_nothing(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination.decontaminate(odd, bench).count() == odd.count()
