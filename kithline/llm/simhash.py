@@ -207,8 +207,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the component's smallest node) for every node of edges (a, b), by large and small stars.
 
     Edges with a null end and loops are left out; without edges there are no
-    rows. Both sides of each join on a star's centre are read from files, where
-    Spark can split a centre with very many neighbours.
+    rows. A centre with very many neighbours streams through one task of two
+    numbers a row.
     """
     spark = edges.sparkSession
     base = fresh_path(spark, "components")
@@ -216,12 +216,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = _state(step)
     for k in range(1, rounds + 1):
         both = step.union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{base}/{k}/least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _write(large.filter("u <> v").distinct(), f"{base}/{k}/large")
-        least = _write(large.groupBy("u").agg(F.min("v").alias("m")), f"{base}/{k}/small")
+        large = large.filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        step = _write(small.filter("u <> v").distinct(), f"{base}/{k}/step")
+        step = _write(small.filter("u <> v").distinct(), f"{base}/{k}")
         now = _state(step)
         drop_path(spark, f"{base}/{k - 1}")
         if now == state:
