@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path):
     for before, after in zip(seen[:4], seen[1:5], strict=True):
         assert after.columns == docs.columns
         assert after.exceptAll(before).count() == 0
-    ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for d in seen]
+    ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for d in seen[:5]]
     score = quality_model.score_quality(docs, quality_model.fit_quality(docs, labels))
     assert ids[1] == {r[0] for r in score.filter(F.col("out.score") >= corpus_pipeline.LEAST_QUALITY).select("row.doc_id").collect()}
     toxic = toxicity.score_toxicity(seen[1], toxicity.fit_toxicity(docs, labels))
