@@ -303,46 +303,13 @@ def binary_labels(spark, sf_dir):
 # Boxes
 
 
-def _boxes(spark, sf_dir):
-    d = A.detections(spark, sf_dir).filter("kind = 'face' and video_id < 60")
-    by = F.col("detection_id") % 5 * 20
-    truth = d.select(F.col("frame").alias("frame_id"), F.col("detection_id").alias("gt_id"), "x1", "y1", "x2", "y2", "video_id")
-    pred = d.filter("detection_id % 7 > 0").select(F.col("frame").alias("frame_id"), F.col("detection_id").alias("pred_id"), "conf", (F.col("x1") + by).alias("x1"), "y1", (F.col("x2") + by).alias("x2"), "y2")
-    return pred, truth
-
-
-@register("SELECT frame_id, pred_id, gt_id, round(iou, 6) AS iou FROM best", "best")
-def best_true_box(spark, sf_dir):
-    return boxes.best_truth(*_boxes(spark, sf_dir)).select("frame_id", "pred_id", "gt_id", *_r("iou"))
-
-
-@register("SELECT frame_id, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, coalesce(n_gt, 0) - coalesce(tp, 0) AS fn FROM (SELECT frame_id, count(*) AS n_gt FROM gtb GROUP BY 1) FULL JOIN (SELECT frame_id, count(*) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN gt_id END) AS tp FROM best GROUP BY 1) USING (frame_id)", "best", "gtb")
-def box_matches(spark, sf_dir):
-    return boxes.match(*_boxes(spark, sf_dir), least_iou=0.5)
-
-
-@register("""SELECT round(threshold, 6) AS threshold, tp, n_pred - tp AS fp, n_gt - tp AS fn FROM (SELECT t.threshold, (SELECT count(*) FROM gtb) AS n_gt, count(pred_id) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN (frame_id, gt_id) END) AS tp
-    FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold) t LEFT JOIN best b ON b.conf >= t.threshold GROUP BY t.threshold)""", "best", "gtb")
-def threshold_sweep(spark, sf_dir):
-    return boxes.threshold_sweep(*_boxes(spark, sf_dir), thresholds=[0.1, 0.3, 0.5, 0.7, 0.9]).select(*_r("threshold"), "tp", "fp", "fn")
-
-
 @register("""SELECT detection_id, round((x1 + x2) / 2 / 2304, 6) AS cx, round((y1 + y2) / 2 / 1296, 6) AS cy, round((x2 - x1) / 2304, 6) AS w, round((y2 - y1) / 1296, 6) AS h FROM det""", "det")
 def yolo_boxes(spark, sf_dir):
     y = S.yolo_of_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 2304, 1296)
     return A.detections(spark, sf_dir).select("detection_id", y.alias("b")).select("detection_id", "b.*").select("detection_id", *_r("cx", "cy", "w", "h"))
 
 
-@register("SELECT video_id, w AS \"window\", w + o AS place, frame, o = 3 AS is_last FROM (SELECT video_id, unnest(list_distinct(list_append(range(0, greatest(n - 4, 0) + 1, 3), greatest(n - 4, 0)))) AS w FROM (SELECT video_id, count(*) AS n FROM grid GROUP BY 1)) x, (SELECT unnest(range(4)) AS o), LATERAL (SELECT (w + o) * 10 AS frame) y WHERE frame <= (SELECT max(frame) FROM grid g WHERE g.video_id = x.video_id) AND video_id < 20", "grid")
-def sliding_windows(spark, sf_dir):
-    g = grid.dense_grid(A.videos(spark, sf_dir), P).filter("video_id < 20")
-    return boxes.last_of_window(g, 4, 3)
-
-
-# Whole tables: the queries of the same names without "whole_" run on a few videos, orders or frames
-
-
-def _whole_boxes(spark, sf_dir):
+def _boxes(spark, sf_dir):
     """Every detection, shifted by up to 80 pixels, predicts a face; a frame is known by its video and number. Small boxes shifted off their faces are the misses, persons the false alarms."""
     d = A.detections(spark, sf_dir).withColumn("frame_id", F.struct("video_id", "frame"))
     by = F.col("detection_id") % 5 * 20
@@ -350,47 +317,47 @@ def _whole_boxes(spark, sf_dir):
     return d.select("frame_id", F.col("detection_id").alias("pred_id"), "conf", (F.col("x1") + by).alias("x1"), "y1", (F.col("x2") + by).alias("x2"), "y2"), truth
 
 
-_WHOLE_IOU = """SELECT p.video_id, p.frame, p.detection_id AS pred_id, p.conf, g.detection_id AS gt_id, greatest(0, least(p.x2 + p.detection_id % 5 * 20, g.x2) - greatest(p.x1 + p.detection_id % 5 * 20, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS i,
+_BOX_IOU = """SELECT p.video_id, p.frame, p.detection_id AS pred_id, p.conf, g.detection_id AS gt_id, greatest(0, least(p.x2 + p.detection_id % 5 * 20, g.x2) - greatest(p.x1 + p.detection_id % 5 * 20, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS i,
     (p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) AS areas FROM det p LEFT JOIN (SELECT * FROM det WHERE kind = 'face') g USING (video_id, frame)"""
-_WHOLE_BEST = f"SELECT video_id, frame, pred_id, conf, gt_id, iou FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame, pred_id ORDER BY iou DESC, gt_id) AS r FROM (SELECT *, CASE WHEN gt_id IS NULL THEN NULL WHEN areas - i > 0 THEN i / (areas - i) ELSE 0 END AS iou FROM ({_WHOLE_IOU}))) WHERE r = 1"
+_BOX_BEST = f"SELECT video_id, frame, pred_id, conf, gt_id, iou FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame, pred_id ORDER BY iou DESC, gt_id) AS r FROM (SELECT *, CASE WHEN gt_id IS NULL THEN NULL WHEN areas - i > 0 THEN i / (areas - i) ELSE 0 END AS iou FROM ({_BOX_IOU}))) WHERE r = 1"
 
 
-@register(f"SELECT video_id, frame, pred_id, gt_id, round(iou, 6) AS iou FROM ({_WHOLE_BEST})", "det")
-def whole_best_true_box(spark, sf_dir):
-    return boxes.best_truth(*_whole_boxes(spark, sf_dir)).select("frame_id.*", "pred_id", "gt_id", *_r("iou"))
+@register(f"SELECT video_id, frame, pred_id, gt_id, round(iou, 6) AS iou FROM ({_BOX_BEST})", "det")
+def best_true_box(spark, sf_dir):
+    return boxes.best_truth(*_boxes(spark, sf_dir)).select("frame_id.*", "pred_id", "gt_id", *_r("iou"))
 
 
-@register(f"SELECT video_id, frame, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, coalesce(n_gt, 0) - coalesce(tp, 0) AS fn FROM (SELECT video_id, frame, count(*) AS n_gt FROM det WHERE kind = 'face' GROUP BY ALL) FULL JOIN (SELECT video_id, frame, count(*) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN gt_id END) AS tp FROM ({_WHOLE_BEST}) GROUP BY ALL) USING (video_id, frame)", "det")
-def whole_box_matches(spark, sf_dir):
-    return boxes.match(*_whole_boxes(spark, sf_dir), least_iou=0.5).select("frame_id.*", "tp", "fp", "fn")
+@register(f"SELECT video_id, frame, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, coalesce(n_gt, 0) - coalesce(tp, 0) AS fn FROM (SELECT video_id, frame, count(*) AS n_gt FROM det WHERE kind = 'face' GROUP BY ALL) FULL JOIN (SELECT video_id, frame, count(*) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN gt_id END) AS tp FROM ({_BOX_BEST}) GROUP BY ALL) USING (video_id, frame)", "det")
+def box_matches(spark, sf_dir):
+    return boxes.match(*_boxes(spark, sf_dir), least_iou=0.5).select("frame_id.*", "tp", "fp", "fn")
 
 
-@register(f"SELECT round(threshold, 6) AS threshold, tp, n_pred - tp AS fp, n_gt - tp AS fn FROM (SELECT t.threshold, (SELECT count(*) FROM det WHERE kind = 'face') AS n_gt, count(pred_id) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN (video_id, frame, gt_id) END) AS tp FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold) t LEFT JOIN ({_WHOLE_BEST}) b ON b.conf >= t.threshold GROUP BY t.threshold)", "det")
-def whole_threshold_sweep(spark, sf_dir):
-    return boxes.threshold_sweep(*_whole_boxes(spark, sf_dir), thresholds=[0.1, 0.3, 0.5, 0.7, 0.9]).select(*_r("threshold"), "tp", "fp", "fn")
+@register(f"SELECT round(threshold, 6) AS threshold, tp, n_pred - tp AS fp, n_gt - tp AS fn FROM (SELECT t.threshold, (SELECT count(*) FROM det WHERE kind = 'face') AS n_gt, count(pred_id) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN (video_id, frame, gt_id) END) AS tp FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold) t LEFT JOIN ({_BOX_BEST}) b ON b.conf >= t.threshold GROUP BY t.threshold)", "det")
+def threshold_sweep(spark, sf_dir):
+    return boxes.threshold_sweep(*_boxes(spark, sf_dir), thresholds=[0.1, 0.3, 0.5, 0.7, 0.9]).select(*_r("threshold"), "tp", "fp", "fn")
 
 
 @register("SELECT video_id, w AS \"window\", w + o AS place, (w + o) * 10 AS frame, o = 3 AS is_last FROM (SELECT video_id, n, unnest(list_distinct(list_append(range(0, greatest(n - 4, 0) + 1, 3), greatest(n - 4, 0)))) AS w FROM (SELECT video_id, count(*) AS n FROM grid GROUP BY 1)) x, (SELECT unnest(range(4)) AS o) WHERE w + o < n", "grid")
-def whole_sliding_windows(spark, sf_dir):
+def sliding_windows(spark, sf_dir):
     return boxes.last_of_window(grid.dense_grid(A.videos(spark, sf_dir), P), 4, 3)
 
 
 @register("SELECT DISTINCT 'f' || video_id || '_' || frame AS file_name FROM det WHERE kind = 'person' EXCEPT SELECT 'f' || video_id || '_' || frame FROM det WHERE kind = 'face'", "det")
-def whole_hard_negatives(spark, sf_dir):
+def hard_negatives(spark, sf_dir):
     name = F.concat(F.lit("f"), F.col("video_id").cast("string"), F.lit("_"), F.col("frame").cast("string")).alias("file_name")
     d = A.detections(spark, sf_dir).select("kind", name)
     return datasets.hard_negatives(d.filter("kind = 'person'"), d.filter("kind = 'face'"))
 
 
 @register("SELECT 'f' || v.video_id AS file_name, coalesce(max(CASE WHEN age_class = 0 THEN 1 ELSE 0 END), 0) AS class_0, coalesce(max(CASE WHEN age_class = 1 THEN 1 ELSE 0 END), 0) AS class_1, CASE WHEN count(d.frame) > 0 THEN 1 ELSE 0 END AS has_annotation FROM vid v LEFT JOIN det d USING (video_id) GROUP BY v.video_id", "vid", "det")
-def whole_class_presence(spark, sf_dir):
+def class_presence(spark, sf_dir):
     name = F.concat(F.lit("f"), F.col("video_id").cast("string")).alias("file_name")
     labels = A.detections(spark, sf_dir).select(name, F.col("age_class").alias("class_id"))
     return datasets.class_presence(A.videos(spark, sf_dir).select(name), labels, [0, 1])
 
 
 @register("SELECT 'img_' || l_orderkey AS file_name, string_agg(line, chr(10) ORDER BY line) AS content FROM (SELECT DISTINCT l_orderkey, (l_linenumber % 2)::VARCHAR || ' ' || printf('%.6f', l_discount) || ' ' || printf('%.6f', l_tax) || ' 0.500000 0.250000' AS line FROM lineitem) GROUP BY l_orderkey")
-def whole_label_files(spark, sf_dir):
+def label_files(spark, sf_dir):
     b = A.read(spark, sf_dir, "lineitem").select(F.concat(F.lit("img_"), F.col("l_orderkey").cast("string")).alias("file_name"), (F.col("l_linenumber") % 2).alias("class_id"), F.col("l_discount").alias("cx"), F.col("l_tax").alias("cy"), F.lit(0.5).alias("w"), F.lit(0.25).alias("h"))
     return datasets.yolo_lines(b, keep_duplicates=False)
 
@@ -507,24 +474,11 @@ def frame_inventory(spark, sf_dir):
     return datasets.inventory(grid.dense_grid(A.videos(spark, sf_dir), P), A.detections(spark, sf_dir), A.books(spark, sf_dir), 30)
 
 
-@register("SELECT 'f' || v.video_id AS file_name, coalesce(max(CASE WHEN age_class = 0 THEN 1 ELSE 0 END), 0) AS class_0, coalesce(max(CASE WHEN age_class = 1 THEN 1 ELSE 0 END), 0) AS class_1, CASE WHEN count(d.frame) > 0 THEN 1 ELSE 0 END AS has_annotation FROM vid v LEFT JOIN (SELECT * FROM det WHERE frame < 30) d USING (video_id) GROUP BY v.video_id", "vid", "det")
-def class_presence(spark, sf_dir):
-    name = F.concat(F.lit("f"), F.col("video_id").cast("string")).alias("file_name")
-    labels = A.detections(spark, sf_dir).filter("frame < 30").select(name, F.col("age_class").alias("class_id"))
-    return datasets.class_presence(A.videos(spark, sf_dir).select(name), labels, [0, 1])
-
-
 @register("SELECT video_id, frame, CASE WHEN frame <= 0.8 * max(frame) OVER (PARTITION BY video_id) THEN 'train' ELSE 'val' END AS split FROM grid WHERE frame <= 1800", "grid")
 def early_split(spark, sf_dir):
     return datasets.early_split(grid.dense_grid(A.videos(spark, sf_dir), P), 1.0)
 
 
-@register("SELECT DISTINCT 'f' || frame AS file_name FROM det WHERE kind = 'person' AND video_id < 9 EXCEPT SELECT 'f' || frame FROM det WHERE kind = 'face' AND video_id < 9", "det")
-def hard_negatives(spark, sf_dir):
-    d = A.detections(spark, sf_dir).select("kind", "video_id", F.concat(F.lit("f"), F.col("frame").cast("string")).alias("file_name"))
-    return datasets.hard_negatives(d.filter("kind = 'person' and video_id < 9"), d.filter("kind = 'face' and video_id < 9"))
-
-
 def _images(spark, sf_dir):
     o = A.read(spark, sf_dir, "orders")
     return o.select(F.concat(F.lit("img_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"), (F.col("o_custkey") % 97).alias("child_id"), (F.col("o_orderstatus") == "F").cast("int").alias("class_0"), (F.col("o_orderstatus") == "P").cast("int").alias("class_1"), (F.col("o_orderstatus") != "O").cast("int").alias("has_annotation"))
@@ -580,13 +534,6 @@ def copy_manifest(spark, sf_dir):
     return datasets.copy_manifest(_fixed(spark, sf_dir), "in", "out")
 
 
-@register("SELECT 'img_' || l_orderkey AS file_name, string_agg(line, chr(10) ORDER BY line) AS content FROM (SELECT DISTINCT l_orderkey, (l_linenumber % 2)::VARCHAR || ' ' || printf('%.6f', l_discount) || ' ' || printf('%.6f', l_tax) || ' 0.500000 0.250000' AS line FROM lineitem WHERE l_orderkey < 500) GROUP BY l_orderkey")
-def label_files(spark, sf_dir):
-    li = A.read(spark, sf_dir, "lineitem").filter("l_orderkey < 500")
-    b = li.select(F.concat(F.lit("img_"), F.col("l_orderkey").cast("string")).alias("file_name"), (F.col("l_linenumber") % 2).alias("class_id"), F.col("l_discount").alias("cx"), F.col("l_tax").alias("cy"), F.lit(0.5).alias("w"), F.lit(0.25).alias("h"))
-    return datasets.yolo_lines(b, keep_duplicates=False)
-
-
 @register("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS name FROM customer UNION ALL SELECT -c_custkey - 1, 'new' FROM customer WHERE c_custkey % 5 = 0")
 def upserted(spark, sf_dir):
     c = A.read(spark, sf_dir, "customer")

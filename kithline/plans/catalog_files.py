@@ -9,7 +9,7 @@ from kithline.functions import scalars as S
 from kithline.operators import boxes, datasets, evaluate, intervals, predict, segments, stats
 from kithline.params import Params
 from kithline.plans import analysis
-from kithline.plans.catalog import _FIXED, _METRICS, _WHOLE_BEST, P, _fixed, _images, _r, _seconds, _spans, _whole_boxes, register
+from kithline.plans.catalog import _BOX_BEST, _FIXED, _METRICS, P, _boxes, _fixed, _images, _r, _seconds, _spans, register
 from kithline.sources import files, sinks
 from kithline.sources.shared import fresh_path, write_files
 from kithline.streaming import online
@@ -400,24 +400,24 @@ def truth_of_videos(spark, sf_dir):
 
 _TAU = [round(0.1 + 0.05 * k, 2) for k in range(17)]
 _SWEEP = f"""SELECT threshold, tp, fp, fn, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r FROM (SELECT threshold, tp, n_pred - tp AS fp, n_gt - tp AS fn FROM (SELECT t.threshold, (SELECT count(*) FROM det WHERE kind = 'face') AS n_gt, count(pred_id) AS n_pred,
-    count(DISTINCT CASE WHEN iou >= 0.5 THEN (video_id, frame, gt_id) END) AS tp FROM (SELECT unnest({_TAU})::DOUBLE AS threshold) t LEFT JOIN ({_WHOLE_BEST}) b ON b.conf >= t.threshold GROUP BY t.threshold))"""
+    count(DISTINCT CASE WHEN iou >= 0.5 THEN (video_id, frame, gt_id) END) AS tp FROM (SELECT unnest({_TAU})::DOUBLE AS threshold) t LEFT JOIN ({_BOX_BEST}) b ON b.conf >= t.threshold GROUP BY t.threshold))"""
 _SWEPT = f"SELECT round(threshold, 6) AS threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-8), 6) AS f1 FROM ({_SWEEP})"
 
 
 @register(_SWEPT, "det")
 def swept_thresholds(spark, sf_dir):
-    return boxes.threshold_sweep(*_whole_boxes(spark, sf_dir), thresholds=_TAU).select(*_r("threshold"), "tp", "fp", "fn", *_r("precision", "recall", "f1"))
+    return boxes.threshold_sweep(*_boxes(spark, sf_dir), thresholds=_TAU).select(*_r("threshold"), "tp", "fp", "fn", *_r("precision", "recall", "f1"))
 
 
 @register(f"SELECT threshold, f1 FROM ({_SWEPT}) ORDER BY f1 DESC, threshold LIMIT 1", "det")
 def chosen_threshold(spark, sf_dir):
-    swept = boxes.threshold_sweep(*_whole_boxes(spark, sf_dir), thresholds=_TAU).select(*_r("threshold", "f1"))
+    swept = boxes.threshold_sweep(*_boxes(spark, sf_dir), thresholds=_TAU).select(*_r("threshold", "f1"))
     return boxes.best_threshold(swept)
 
 
-@register(f"SELECT video_id, frame, unnest(list_filter([CASE WHEN fp > 0 THEN 'false_positive' END, CASE WHEN fn > 0 THEN 'false_negative' END], lambda x: x IS NOT NULL)) AS kind FROM (SELECT video_id, frame, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, coalesce(n_gt, 0) - coalesce(tp, 0) AS fn FROM (SELECT video_id, frame, count(*) AS n_gt FROM det WHERE kind = 'face' GROUP BY ALL) FULL JOIN (SELECT video_id, frame, count(*) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN gt_id END) AS tp FROM ({_WHOLE_BEST}) GROUP BY ALL) USING (video_id, frame))", "det")
+@register(f"SELECT video_id, frame, unnest(list_filter([CASE WHEN fp > 0 THEN 'false_positive' END, CASE WHEN fn > 0 THEN 'false_negative' END], lambda x: x IS NOT NULL)) AS kind FROM (SELECT video_id, frame, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, coalesce(n_gt, 0) - coalesce(tp, 0) AS fn FROM (SELECT video_id, frame, count(*) AS n_gt FROM det WHERE kind = 'face' GROUP BY ALL) FULL JOIN (SELECT video_id, frame, count(*) AS n_pred, count(DISTINCT CASE WHEN iou >= 0.5 THEN gt_id END) AS tp FROM ({_BOX_BEST}) GROUP BY ALL) USING (video_id, frame))", "det")
 def frames_with_errors(spark, sf_dir):
-    return boxes.error_frames(boxes.match(*_whole_boxes(spark, sf_dir), least_iou=0.5)).select("frame_id.*", "kind")
+    return boxes.error_frames(boxes.match(*_boxes(spark, sf_dir), least_iou=0.5)).select("frame_id.*", "kind")
 
 
 @register("SELECT video_id, max_frame FROM vid ORDER BY max_frame DESC, video_id LIMIT 5", "vid")

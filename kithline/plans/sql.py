@@ -62,11 +62,6 @@ PARTS: dict[str, str] = {
     "pg": "SELECT video_id, sec, max_by(label, o) AS label FROM (SELECT video_id, label, o, unnest(range(CAST(round_even(s, 0) AS BIGINT), least(CAST(round_even(e, 0) AS BIGINT), n - 1) + 1)) AS sec FROM gts JOIN len USING (video_id)) GROUP BY 1, 2",
     "pp": "SELECT video_id, sec, max_by(label, o) AS label FROM (SELECT video_id, label, o, unnest(range(CAST(round_even(s, 0) AS BIGINT), least(CAST(round_even(e, 0) AS BIGINT), n - 1) + 1)) AS sec FROM prs JOIN len USING (video_id)) GROUP BY 1, 2",
     "sec": "SELECT g.video_id, g.sec AS second, g.label AS gt, p.label AS pred FROM pg g JOIN len l USING (video_id) LEFT JOIN pp p USING (video_id, sec) WHERE l.n >= 10 AND EXISTS (SELECT 1 FROM prs WHERE prs.video_id = g.video_id) AND g.sec >= 5 AND g.sec < l.n - 5",
-    "gtb": "SELECT frame AS frame_id, detection_id AS gt_id, x1, y1, x2, y2, video_id FROM det WHERE kind = 'face' AND video_id < 60",
-    "prb": "SELECT frame AS frame_id, detection_id AS pred_id, conf, x1, y1, x2, y2 FROM (SELECT d.frame, d.detection_id, d.conf, d.x1 + detection_id % 5 * 20 AS x1, d.y1, d.x2 + detection_id % 5 * 20 AS x2, d.y2 FROM det d WHERE kind = 'face' AND video_id < 60 AND detection_id % 7 > 0)",
-    "iou": """SELECT frame_id, pred_id, conf, gt_id, CASE WHEN u > 0 THEN i / u ELSE 0 END AS iou FROM (SELECT p.frame_id, pred_id, conf, gt_id, greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS i,
-        (p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS u FROM prb p LEFT JOIN gtb g USING (frame_id))""",
-    "best": "SELECT frame_id, pred_id, conf, gt_id, iou FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, pred_id ORDER BY iou DESC, gt_id) AS r FROM iou) WHERE r = 1",
     "rated": "SELECT doc_id // 100 AS video_id, doc_id % 100 AS second, CASE WHEN quality = 1 THEN 'interacting' ELSE 'alone' END AS a, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN toxic = 1 THEN 'interacting' ELSE 'alone' END AS b FROM labels",
 }
 

@@ -82,16 +82,16 @@ def test_whole_boxes(spark, tmp_path):
         near = [(iou(box(k, k % 5 * 20), b), -g) for g, (v, f, b) in faces.items() if (v, f) == (u, k // 20 * 10)]
         best = max(near, default=None)
         want[k] = (u, k // 20 * 10, best and -best[1], best and pytest.approx(best[0], abs=1e-6))
-    got = catalog.QUERIES["whole_best_true_box"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["best_true_box"](spark, str(tmp_path)).collect()
     assert {r["pred_id"]: (r["video_id"], r["frame"], r["gt_id"], r["iou"]) for r in got} == want and len(got) == len(rows)
-    matches = catalog.QUERIES["whole_box_matches"](spark, str(tmp_path)).collect()
+    matches = catalog.QUERIES["box_matches"](spark, str(tmp_path)).collect()
     assert sum(r["tp"] + r["fn"] for r in matches) == len(faces) and len(matches) == len({w[:2] for w in want.values()})
     assert {r["video_id"] for r in matches} == {r[1] for r in rows}
 
 
 @pytest.mark.parametrize("name, column", [("sliding_windows", "video_id"), ("label_files", "file_name"), ("class_presence", "file_name"), ("hard_negatives", "file_name")])
 def test_whole_tables(spark, name, column):
-    """The whole query covers all keys of the tables; the other one a few."""
+    """The query covers all keys of the tables."""
     from kithline import adapters as A
 
     d = A.detections(spark, SF)
@@ -102,7 +102,7 @@ def test_whole_tables(spark, name, column):
         "class_presence": d.select(F.concat_ws("", F.lit("f"), "video_id").alias("file_name")),
         "hard_negatives": d.groupBy("video_id", "frame").agg(F.count_if(F.col("kind") == "face").alias("n")).filter("n = 0").select(file),
     }[name].distinct()
-    got = catalog.QUERIES[f"whole_{name}"](spark, SF)
+    got = catalog.QUERIES[name](spark, SF)
     if name == "class_presence":
         got = got.filter("has_annotation = 1")
     got = got.select(column).distinct()
