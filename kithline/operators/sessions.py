@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithline.operators.intervals import overlap_join
 from kithline.params import Params
 
 
@@ -21,40 +22,47 @@ def islands(frames: DataFrame, flags: dict[str, str], p: Params) -> DataFrame:
     return numbered.groupBy("video_id", "type", "island").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).select("video_id", "type", "start", "end")
 
 
-def fold_bouts(ordered: Column, turn_gap: float, same_gap: float) -> Column:
-    """Bouts of an ordered array of (start, rank, type, end): a fold, as the allowed gap depends on the types a bout holds so far.
-
-    A segment joins the running bout if its gap is at most same_gap where the
-    bout has its type already, else turn_gap. It then sets the bout's end,
-    even to an earlier one.
-    """
-    empty = F.expr("cast(array() as array<struct<start: bigint, end: bigint, kchi: boolean, cds: boolean>>)")
-
-    def bout(start: Column, end: Column, kchi: Column, cds: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), kchi.alias("kchi"), cds.alias("cds"))
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        is_kchi, is_cds = s["type"] == "kchi", s["type"] == "cds"
-        known = F.when(is_kchi, last["kchi"]).otherwise(last["cds"])
-        joins = (s["start"] - last["end"]) <= F.when(known, same_gap).otherwise(turn_gap)
-        fresh = F.array(bout(s["start"], s["end"], is_kchi, is_cds))
-        grown = F.array(bout(last["start"], s["end"], last["kchi"] | is_kchi, last["cds"] | is_cds))
-        return F.when(F.size(done) == 0, fresh).when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), grown)).otherwise(F.concat(done, fresh))
-
-    return F.aggregate(ordered, empty, step)
-
-
 def bouts(speech_islands: DataFrame, p: Params) -> DataFrame:
     """video_id, start, end of bouts that hold speech both of the child and to it.
 
-    Only islands, not frames, are collected for each video, a few for each
-    minute of it; those of the child come first among equal starts.
+    A segment joins the running bout if its gap is at most same_gap where the
+    bout has its type already, else turn_gap. It then sets the bout's end, even
+    to an earlier one. Those of the child come first among equal starts.
+
+    Segments with gaps up to the smaller limit always stand together (a run),
+    and gaps over the larger one always part. Whether a run joins the one
+    before depends on the types its bout holds, which follows from the runs'
+    own types and places, so windows state it and no video is collected:
+
+    - same_gap <= turn_gap: a gap between the limits parts unless the run
+      before has one type and this one begins with the other. Of such links in
+      a row each second one parts, as the first has filled the bout.
+    - same_gap > turn_gap: such a gap parts only where the type changes and no
+      run of both types came since the last gap over the larger limit.
     """
-    rank = F.when(F.col("type") == "kchi", 0).otherwise(1)
-    parts = speech_islands.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "type", "end"))).alias("parts"))
-    found = parts.select("video_id", F.explode(fold_bouts(F.col("parts"), p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps)).alias("b"))
-    return found.select("video_id", "b.*").filter("kchi and cds").select("video_id", "start", "end")
+    turn_gap, same_gap = p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps
+    is_kchi = F.col("type") == "kchi"
+    w = Window.partitionBy("video_id").orderBy("start", F.when(is_kchi, 0).otherwise(1), "type", "end")
+    placed = speech_islands.withColumns({"n": F.row_number().over(w), "gap": F.col("start") - F.lag("end").over(w)})
+    apart = placed.withColumn("begins", F.coalesce(F.col("gap") > min(turn_gap, same_gap), F.lit(True)))
+    numbered = apart.withColumn("run", F.sum(F.col("begins").cast("int")).over(w))
+    runs = numbered.groupBy("video_id", "run").agg(F.min("start").alias("start"), F.max_by("end", "n").alias("end"), F.min_by("gap", "n").alias("gap"), F.min_by(is_kchi, "n").alias("by_child"), F.bool_or(is_kchi).alias("kchi"), F.bool_or(F.col("type") == "cds").alias("cds"))
+    v = Window.partitionBy("video_id").orderBy("run")
+    so_far, before = v.rowsBetween(Window.unboundedPreceding, 0), v.rowsBetween(Window.unboundedPreceding, -1)
+    far = F.coalesce(F.col("gap") > max(turn_gap, same_gap), F.lit(True))
+    had_child, had_cds = F.lag("kchi").over(v), F.lag("cds").over(v)
+    changes = (had_child != had_cds) & (F.col("by_child") != had_child)
+    linked = runs.withColumns({"far": far, "changes": F.coalesce(changes, F.lit(False))})
+    if same_gap <= turn_gap:
+        parts = F.col("far") | ~F.col("changes")
+        begins = (F.col("run") - F.max(F.when(parts, F.col("run"))).over(so_far)) % 2 == 0
+    else:
+        mixed = F.max(F.when(F.col("kchi") & F.col("cds"), F.col("run"))).over(before)
+        filled = F.coalesce(mixed >= F.max(F.when(F.col("far"), F.col("run"))).over(so_far), F.lit(False))
+        begins = F.col("far") | (F.col("changes") & ~filled)
+    found = linked.withColumn("begins", begins).withColumn("bout", F.sum(F.col("begins").cast("int")).over(v))
+    whole = found.groupBy("video_id", "bout").agg(F.min("start").alias("start"), F.max_by("end", "run").alias("end"), F.bool_or("kchi").alias("kchi"), F.bool_or("cds").alias("cds"))
+    return whole.filter("kchi and cds").select("video_id", "start", "end")
 
 
 def speech_islands(frames: DataFrame, p: Params) -> DataFrame:
@@ -92,13 +100,19 @@ def turn_blocks(turns: DataFrame, keys: list[str], p: Params) -> DataFrame:
     return found.withColumn("category", kind)
 
 
+def turns_within(turns: DataFrame, segments: DataFrame, bin_width: float = 30.0) -> DataFrame:
+    """Turns (video_id, start, end, speaker) with each segment (video_id, segment_start, segment_end) of their video that they overlap; turns that end before they start are left out."""
+    found = overlap_join(segments, turns.select("video_id", "start", "end", "speaker"), "video_id", bin_width, a_span=("segment_start", "segment_end"))
+    return found.withColumnsRenamed({"start_b": "start", "end_b": "end", "speaker_b": "speaker"})
+
+
 def turn_summary(segments: DataFrame, turns: DataFrame, p: Params) -> DataFrame:
     """For each interacting segment: total_turns, blocks of each category and turns a minute; segments without speech count 0.
 
     segments: video_id, interaction_type, start, end; turns: video_id, start, end, speaker.
     """
     own = segments.filter("interaction_type = 'Interacting'").select("video_id", F.col("start").alias("segment_start"), F.col("end").alias("segment_end"))
-    within = turns.filter(F.col("speaker").isin("KCHI", "KCDS")).join(own, "video_id").filter("start < segment_end and `end` > segment_start")
+    within = turns_within(turns.filter(F.col("speaker").isin("KCHI", "KCDS")), own)
     keys = ["video_id", "segment_start", "segment_end"]
     kinds = {"successful_initiations": "successful_initiation", "successful_responses": "successful_response", "unanswered_child_bids": "unanswered_bid", "unanswered_adult_prompts": "unanswered_prompt"}
     totals = turn_blocks(within, keys, p).groupBy(*keys).agg(F.sum("turns").alias("total_turns"), *[F.count_if(F.col("category") == k).alias(n) for n, k in kinds.items()])

@@ -218,7 +218,7 @@ def child_speech(spark, sf_dir):
 @register("SELECT video_id, s AS segment_start, e AS segment_end, CAST(block AS BIGINT) AS block, CAST(turns AS BIGINT) AS turns, CASE WHEN turns > 0 AND first_speaker = 'KCHI' THEN 'successful_initiation' WHEN turns > 0 THEN 'successful_response' WHEN first_speaker = 'KCHI' THEN 'unanswered_bid' ELSE 'unanswered_prompt' END AS category FROM blocks", "blocks")
 def turn_blocks(spark, sf_dir):
     own = A.chat_segments(spark, sf_dir).filter("interaction_type = 'Interacting'").select("video_id", F.col("start").alias("segment_start"), F.col("end").alias("segment_end"))
-    within = A.snippets(spark, sf_dir).filter("speaker <> 'OHS'").join(own, "video_id").filter("start < segment_end and `end` > segment_start")
+    within = sessions.turns_within(A.snippets(spark, sf_dir).filter("speaker <> 'OHS'"), own)
     return sessions.turn_blocks(within, ["video_id", "segment_start", "segment_end"], P).select("video_id", "segment_start", "segment_end", F.col("block").cast("long").alias("block"), "turns", "category")
 
 

@@ -25,15 +25,16 @@ def model_bouts(parts, turn, same):
     return sorted((r[0], r[1]) for r in [*out, run] if r and len(r[2]) == 2)
 
 
-def test_bouts(spark):
+@pytest.mark.parametrize("turn, same", [(240, 45), (45, 240), (100, 100), (60, 0)])
+def test_bouts(spark, turn, same):
     rng = random.Random(5)
-    data = {v: [(rng.choice(["kchi", "cds"]), a, a + 10 * rng.randint(0, 9)) for a in (10 * rng.randint(0, 300) for _ in range(rng.randint(0, 25)))] for v in range(60)}
+    data = {v: [(rng.choice(["kchi", "cds"]), a, a + 10 * rng.randint(0, 9)) for a in (10 * rng.randint(0, rng.choice([40, 300, 900])) for _ in range(rng.randint(0, 60)))] for v in range(300)}
     df = spark.createDataFrame([(v, *r) for v, rs in data.items() for r in rs], "video_id long, type string, start long, end long")
     got = {v: [] for v in data}
-    for r in sessions.bouts(df, P).collect():
+    for r in sessions.bouts(df, P.but(turn_gap_sec=turn / P.fps, same_gap_sec=same / P.fps)).collect():
         got[r["video_id"]].append((r["start"], r["end"]))
     for v, parts in data.items():
-        assert sorted(got[v]) == model_bouts(parts, 240, 45), v
+        assert sorted(got[v]) == model_bouts(parts, turn, same), v
 
 
 @pytest.mark.parametrize("width", [0.7, 3.0, 100.0])
