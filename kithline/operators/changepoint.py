@@ -9,9 +9,10 @@ The vote within each regime is a plain aggregation.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kithline.params import ALONE, AVAILABLE, INTERACTING, Params
 
@@ -45,17 +46,20 @@ def change_points(signal: np.ndarray, penalty: float, least: int = 2, jump: int
 
 
 def regimes(frames: DataFrame, p: Params) -> DataFrame:
-    """frames with ``regime``, numbered from 0 within each video."""
-    kept = frames.select("video_id", "frame", "presence_score")
+    """frames with ``regime``, numbered from 0 within each video.
 
-    def of(video: pd.DataFrame) -> pd.DataFrame:
-        video = video.sort_values("frame")
+    All columns go through the kernel, so frames are evaluated once. A task
+    holds one video's frames as an Arrow table (three rows a second of it).
+    """
+    schema = StructType([*frames.schema.fields, StructField("regime", LongType())])
+
+    def of(video: pa.Table) -> pa.Table:
+        video = video.sort_by("frame")
         ends = change_points(video["presence_score"].to_numpy(), p.cpd_penalty)
         regime = np.searchsorted(np.array(ends), np.arange(len(video)), side="right")
-        return pd.DataFrame({"video_id": video["video_id"], "frame": video["frame"], "regime": regime.astype(np.int64)})
+        return video.append_column("regime", pa.array(regime, pa.int64()))
 
-    found = kept.groupBy("video_id").applyInPandas(of, f"video_id {frames.schema['video_id'].dataType.simpleString()}, frame long, regime long")
-    return frames.join(found, ["video_id", "frame"])
+    return frames.groupBy("video_id").applyInArrow(of, schema)
 
 
 def vote(frames: DataFrame, p: Params) -> DataFrame:

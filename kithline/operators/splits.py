@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,25 +85,61 @@ def fixed_split(rows: DataFrame, key: str, splits: DataFrame) -> DataFrame:
     return rows.join(splits, key)
 
 
+def _parted(videos: DataFrame, key: str, duration: str, seed: int) -> DataFrame:
+    """videos with their hash, its first 12 bits as the part, and the duration as a decimal, so that sums don't depend on their order (no number: 0)."""
+    h = hash_order(key, seed)
+    return videos.withColumns({"_h": h, "_p": F.shiftright(h, 52), "_d": F.coalesce(F.col(duration).try_cast("decimal(28,6)"), F.lit(0))})
+
+
 def split_by_duration(videos: DataFrame, key: str, duration: str, ratio: float, seed: int) -> DataFrame:
-    """videos with split train or val: in hash order, train until its share of all durations has reached ratio."""
-    w = Window.orderBy(hash_order(key, seed), key).rowsBetween(Window.unboundedPreceding, -1)  # one row for each video
-    before = F.coalesce(F.sum(duration).over(w), F.lit(0))
-    share = F.try_divide(before, F.sum(duration).over(Window.partitionBy()))
-    return videos.withColumn("split", F.when(share < ratio, "train").otherwise("val"))
+    """videos with split train or val: in hash order, train until its share of all durations has reached ratio; val for all if durations sum to 0.
+
+    Durations are summed over 4,096 hash parts, then within each part, so no
+    task orders all videos. Null durations count 0.
+    """
+    rows = _parted(videos, key, duration, seed)
+    parts = rows.groupBy("_p").agg(F.sum("_d").alias("_s"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    before = parts.select("_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_all"))
+    own = F.coalesce(F.sum("_d").over(Window.partitionBy("_p").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.try_divide((F.col("_before") + own).cast("double"), F.col("_all").cast("double"))
+    return rows.join(F.broadcast(before), "_p").withColumn("split", F.when(share < ratio, "train").otherwise("val")).select(*videos.columns, "split")
 
 
 def split_by_fit(videos: DataFrame, key: str, duration: str, ratio: float, seed: int) -> DataFrame:
     """videos with split: in hash order, train if the video still fits under ratio of all durations, else val.
 
-    Which videos fit depends on those before, so durations (one row for each
-    video) are folded in order.
+    Which videos fit depends on those before. They are found in rounds: of the
+    videos after the last place that are no longer than the room left, those up
+    to the first that no longer fits are train; then room and place move on.
+    A round reads sums of 4,096 hash parts and orders the part in which that
+    place falls; the driver keeps a place and a room for each round. Jobs run
+    when the split is built. Durations are not negative; those of rows of one
+    key are added up.
     """
-    total = videos.agg(F.coalesce(F.sum(F.col(duration).cast("double")), F.lit(0.0)).alias("total"), F.array_sort(F.collect_list(F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"), F.col(duration).cast("double").alias("d")))).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("used"), F.expr(f"cast(array() as array<{videos.schema[key].dataType.simpleString()}>)").alias("taken"))
-    folded = F.aggregate("rows", start, lambda a, x: F.when(a["used"] + x["d"] <= F.col("total") * ratio, F.struct((a["used"] + x["d"]).alias("used"), F.concat(a["taken"], F.array(x["k"])).alias("taken"))).otherwise(a))
-    taken = total.select(F.explode(folded["taken"]).alias(key)).withColumn("split", F.lit("train"))
-    return videos.join(taken, key, "left").fillna({"split": "val"})
+    rows = _parted(videos, key, duration, seed).filter(F.col(key).isNotNull()).groupBy(key, "_h", "_p").agg(F.sum("_d").alias("_d"))
+    room = Decimal(str(ratio)) * (rows.agg(F.sum("_d")).first()[0] or 0)
+    taken, after = F.lit(False), F.lit(True)
+    w = Window.partitionBy("_p").orderBy("_h", key)
+    while True:
+        open_ = rows.filter(after & (F.col("_d") <= room))
+        left, at = room, None
+        for part, s in open_.groupBy("_p").agg(F.sum("_d")).orderBy("_p").collect():
+            if s > left:
+                at = part
+                break
+            left -= s
+        if at is None:
+            taken = taken | (after & (F.col("_d") <= room))
+            break
+        sums = open_.filter(F.col("_p") == at).withColumn("_s", F.sum("_d").over(w))
+        stop = sums.filter(F.col("_s") > left).orderBy("_h", key).select("_h", key, (F.col("_s") - F.col("_d")).alias("used")).first()
+        place = F.struct("_h", key)
+        last = F.struct(F.lit(stop["_h"]).cast("long").alias("_h"), F.lit(stop[key]).cast(videos.schema[key].dataType).alias(key))
+        taken = taken | (after & (F.col("_d") <= room) & (place < last))
+        after, room = place > last, left - stop["used"]
+    split = rows.select(key, F.when(taken, "train").otherwise("val").alias("split"))
+    return videos.join(split, key, "left").fillna({"split": "val"})
 
 
 def overlap_check(assigned: DataFrame, key: str) -> DataFrame:

@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANGES = 256
+
+
 def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """Ranks within keys, ties averaged, from the counts of distinct values alone: what is ordered is one row for each value."""
+    """Ranks within keys, ties averaged, from the counts of distinct values alone; rows with a null key or value are left out.
+
+    A group's values are dealt to ranges by approximate quantiles, ranges are
+    summed before each other, and values are ordered within their range only,
+    so no task orders a whole group. Ranks are exact wherever the cuts lie.
+    """
     n = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return n.withColumn(name, F.sum("n").over(w) - (F.col("n") - 1) / 2).drop("n")
+    cuts = n.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).alias("cuts"))
+    ranged = n.join(cuts, keys).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    sums = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("before"))  # RANGES rows a group at most
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("before", F.coalesce(F.sum("before").over(earlier), F.lit(0)))
+    w = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(offsets, [*keys, "range"])
+    return placed.withColumn(name, F.col("before") + F.sum("n").over(w) - (F.col("n") - 1) / 2).drop("n", "range", "before")
 
 
 def correlation(a: str, b: str):

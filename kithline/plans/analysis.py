@@ -40,8 +40,9 @@ def run(spark: SparkSession, sf_dir: str, p: Params | None = None, smooth: bool
 def search(observed: DataFrame, truth: DataFrame, trials: list[Params]) -> DataFrame:
     """trial and macro scores of each parameter set against second labels (video_id, second, gt), the best first.
 
-    observed (integrated frames) is shared by all trials; each adds a lazy
-    branch, and all are evaluated in one job.
+    Every trial reads observed (integrated frames) and truth anew, so pass
+    written tables (sources.shared.written); each adds a lazy branch, and all
+    are evaluated in one job.
     """
     parts = []
     for k, p in enumerate(trials):

@@ -13,7 +13,7 @@ from kithline.operators import boxes, datasets, evaluate, features, grid, interv
 from kithline.params import Params
 from kithline.plans import analysis
 from kithline.plans.sql import query
-from kithline.sources import sinks
+from kithline.sources import shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -569,7 +569,7 @@ def drawn_configurations(spark, sf_dir):
 @register()
 def parameter_search(spark, sf_dir):
     trials = [P.but(**{k: r[k] for k in SPACE}) for r in splits.draw_configurations(spark, SPACE, 3, 7).orderBy("trial").collect()]
-    observed = analysis.frames(spark, sf_dir, P)
+    observed = shared.written(analysis.frames(spark, sf_dir, P), "frames")
     truth = observed.filter(F.col("frame") % 30 == 0).select("video_id", (F.col("frame") / 30).cast("long").alias("second"), F.when(F.col("has_kchi") == 1, "interacting").when(F.col("presence_conf") > 0.3, "available").otherwise("alone").alias("gt"))
     return analysis.search(observed, truth, trials)
 

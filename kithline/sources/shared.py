@@ -21,6 +21,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{known.rstrip('/')}/kithline/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet under a new shared path and read from there, which cuts its lineage; the files stay."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """path with its scheme: one without means the cluster's default file system, as it does to Spark's readers."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

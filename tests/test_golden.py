@@ -244,6 +244,37 @@ def test_duration_splits(spark):
         assert split(v, "id", "d", 0.8, 1).filter("split = 'train'").count() == 8
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_duration_splits_in_order(spark, seed):
+    """Both splits against a plain pass over the videos in hash order; null durations count 0, and an empty table gives no rows."""
+    v = spark.createDataFrame([(f"v{k}", None if k == 7 else k * k % 97 + (k % 5) / 10 + (900 if k % 50 == 0 else 0)) for k in range(400)], "id string, d double")
+    order = [(r["id"], r["d"] or 0.0) for r in v.orderBy(splits.hash_order("id", seed), "id").collect()]
+    total = sum(d for _, d in order)
+    used, before, fit, share = 0.0, 0.0, set(), set()
+    for k, d in order:
+        if used + d <= 0.6 * total + 1e-9:
+            used += d
+            fit.add(k)
+        if before / total < 0.6:
+            share.add(k)
+        before += d
+    for split, want in ((splits.split_by_fit, fit), (splits.split_by_duration, share)):
+        got = split(v, "id", "d", 0.6, seed).collect()
+        assert len(got) == 400 and {r["id"] for r in got if r["split"] == "train"} == want
+        assert split(v.limit(0), "id", "d", 0.6, seed).count() == 0
+
+
+def test_ranks_over_ranges(spark):
+    """Ranks of more values than ranges, with ties, against pandas."""
+    import pandas as pd
+
+    pdf = pd.DataFrame({"g": ["a" if k % 3 else "b" for k in range(3000)], "x": [float(k * 7919 % 1301) ** 1.5 for k in range(3000)]})
+    got = stats.average_rank(spark.createDataFrame(pdf), "x", ["g"], "r").toPandas()
+    want = pdf.assign(r=pdf.groupby("g")["x"].rank()).drop_duplicates()
+    both = want.merge(got, on=["g", "x"])
+    assert len(both) == len(want) == len(got) and (both["r_x"] == both["r_y"]).all()
+
+
 def test_ranks_of_ties(spark):
     df = spark.createDataFrame([(1.0, 1.0, "g"), (1.0, 2.0, "g"), (2.0, 3.0, None)], "t double, e double, g string")
     got = {r["group"]: r for r in stats.series_agreement(df, "t", "e", "g").collect()}
