@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-RANGES = 256
+COARSE, FINE = 16, 16  # a group's values lie in up to COARSE * FINE ranges
+
+
+def _range(value: str) -> Column:
+    """How many of the sorted ``cuts`` lie below the value, found by every FINE-th cut first."""
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    coarse = below(F.col("coarse")) * FINE
+    return coarse + below(F.slice("cuts", coarse + 1, FINE - 1))
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
@@ -17,9 +24,10 @@ def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataF
     so no task orders a whole group. Ranks are exact wherever the cuts lie.
     """
     n = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    cuts = n.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).alias("cuts"))
-    ranged = n.join(cuts, keys).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
-    sums = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("before"))  # RANGES rows a group at most
+    shares = [k / (COARSE * FINE) for k in range(1, COARSE * FINE)]
+    cuts = n.groupBy(*keys).agg(F.percentile_approx(value, shares, 10 * COARSE * FINE).alias("cuts")).withColumn("coarse", F.array(*[F.get("cuts", k * FINE - 1) for k in range(1, COARSE)]))
+    ranged = n.join(cuts, keys).withColumn("range", _range(value)).drop("cuts", "coarse")
+    sums = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("before"))  # COARSE * FINE rows a group at most
     earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("before").over(earlier), F.lit(0)))
     w = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
