@@ -45,7 +45,7 @@ def test_quality_stage_keeps_what_op7_keeps(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scores = F.struct((F.pmod("doc_id", F.lit(101)) / 100.0).alias("score")).alias("out")
     monkeypatch.setattr(quality_model, "fit_quality", lambda *a: None)
-    monkeypatch.setattr(quality_model, "score_quality", lambda d, m: d.select(F.struct(*d.columns).alias("row"), scores))
+    monkeypatch.setattr(quality_model, "score_quality", lambda d, m, keep=None: d.select(F.struct(*[c for c in d.columns if keep is None or c in keep]).alias("row"), scores))
     kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).collect()}
     want = {r["doc_id"] for r in QUERIES["op7_quality_model"](spark, SF).filter("predicted = 1").collect()}
     assert kept == want and len(kept) < docs.count()
