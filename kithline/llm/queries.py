@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.llm import chat_format, lang_id, packing, quality_model, quality_rules, simhash, token_files, toxicity, url_filter
+from kithline.llm import chat_format, lang_id, lexical, ngram_join, packing, quality_model, quality_rules, repair, simhash, token_files, toxicity, url_filter
 from kithline.llm import decontaminate as contamination
 from kithline.llm.common import crc_fold, fresh_path, table
 
@@ -87,7 +87,24 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (F.coalesce(crc_fold("row.doc_id") == 2, F.lit(False))).alias("held_out"), "out.lang_pred", "out.score")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_decontaminate, op2_toxicity, op3_token_files, op4_url_filter, op5_quality_rules, op6_packing, op7_quality_model, op8_chat_format, op9_lang_id, op10_simhash)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), there=F.col("there"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (op1_decontaminate, op2_toxicity, op3_token_files, op4_url_filter, op5_quality_rules, op6_packing, op7_quality_model, op8_chat_format, op9_lang_id, op10_simhash, op11_lexical_search, op12_conversation_repair, op13_ngram_join)
+}
 
 
 # DuckDB SQL for the same rows, where SQL can state them: trained models, packing, token ids and seeded XXH64 have none.
@@ -118,4 +135,28 @@ e AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(written)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op5_quality_rules": _OP5, "op8_chat_format": _OP8}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+m AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS impact FROM p JOIN t USING (term), s),
+x AS (SELECT item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN m USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x) WHERE rank <= {lexical.TOP}"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+_OP13 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT r, array_to_string(w[k : k + 4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+s AS (SELECT r, hash(list_sort(list(DISTINCT gram))) AS content, count(DISTINCT gram) AS n FROM g GROUP BY 1),
+one AS (SELECT content, min(r) AS r, any_value(n) AS n FROM s GROUP BY 1),
+u AS (SELECT DISTINCT r, gram FROM g JOIN one USING (r)),
+link AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.gram = b.gram AND a.r <> b.r JOIN one p ON p.r = a.r JOIN one q ON q.r = b.r GROUP BY a.r, b.r, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+c AS (SELECT r, least(r, coalesce((SELECT min(y) FROM reach WHERE reach.x = one.r), r)) AS root, content FROM one),
+low AS (SELECT root, min(d.doc_id) AS component_id FROM d JOIN s USING (r) JOIN c USING (content) GROUP BY 1)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, CASE WHEN s.n > 0 THEN component_id ELSE d.doc_id END AS component_id FROM d LEFT JOIN s USING (r) LEFT JOIN c USING (content) LEFT JOIN low USING (root)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op5_quality_rules": _OP5, "op8_chat_format": _OP8, "op11_lexical_search": _OP11, "op13_ngram_join": _OP13}
