@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.llm.common import RollingHash, ascii_lower, blocks, fresh_path, not_space, scratch, utf8, words_of, written
@@ -48,6 +48,8 @@ CLASS_BITS = 5
 LARGE = 1 << 22
 #: Survivors whose keys are broadcast, at most; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1 << 21
+#: Rows of one token held at once.
+LONG = 1 << 16
 #: Tokens of a trie node, at most, so that a hopeless path is left early.
 NODE = 32
 
@@ -175,9 +177,9 @@ def _prints(grams: NGrams, percent: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole runs of equal (token, salt), some at a time, of rows in their order; a very long run comes in pieces, each with the last row of the one before."""
-    held = None
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Whole runs of equal (token, salt), some at a time, of rows in their order; a run over LONG rows comes in pieces, each with the last row of the one before, and with True."""
+    held, pieces = None, False
     for batch in batches:
         if not len(batch):
             continue
@@ -186,26 +188,35 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
             now = {c: np.concatenate([held[c], now[c]]) for c in names}
         token, salt = now["token"], now["salt"]
         begin = int(np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])[-1])
+        if pieces and begin:  # the rest of a long run
+            end = int(np.flatnonzero((token != token[0]) | (salt != salt[0]))[0])
+            yield {c: v[:end] for c, v in now.items()}, True
+            now = {c: v[end:] for c, v in now.items()}
+            begin, pieces = begin - end, False
         if begin:
-            yield {c: v[:begin] for c, v in now.items()}
+            yield {c: v[:begin] for c, v in now.items()}, False
         held = {c: v[begin:] for c, v in now.items()}
-        if len(token) - begin > 1 << 16:
-            yield held
-            held = {c: v[-1:] for c, v in held.items()}
+        if len(held["token"]) > LONG:
+            yield held, True
+            held, pieces = {c: v[-1:] for c, v in held.items()}, True
     if held is not None:
-        yield held
+        yield held, pieces
 
 
 def _shared(percent: int):
-    """Of rows (token, salt, n, key) in order those whose token a set of a size it may link with has too."""
+    """Of rows (token, salt, n, key) in order those whose token a set of a size it may link with has too, with how many have it (long runs and salted ones: no less than a fixed number)."""
     names = ["token", "salt", "n", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, names):
+        for g, long in _groups(batches, names):
             token, salt, n = g["token"], g["salt"], g["n"].astype(np.int64)
-            near = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (100 * n[:-1] >= percent * n[1:])  # sizes ascend
+            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            near = same & (100 * n[:-1] >= percent * n[1:])  # sizes ascend
             both = np.r_[False, near] | np.r_[near, False] | (salt > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(g[c][both]) for c in names], names=names)
+            begin = np.flatnonzero(np.r_[True, ~same])
+            size = np.diff(np.r_[begin, len(token)])
+            count = np.where(salt > 0, 2 * LONG, np.repeat(np.full(len(size), LONG + 1) if long else size, size))
+            yield pa.RecordBatch.from_arrays([*[pa.array(g[c][both]) for c in names], pa.array(count[both])], names=[*names, "df"])
 
     return run
 
@@ -215,7 +226,7 @@ def _stars(percent: int):
     names = ["token", "salt", "n", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, names):
+        for g, _ in _groups(batches, names):
             token, salt, n, key = g["token"], g["salt"], g["n"].astype(np.int64), g["key"]
             joined = np.r_[False, (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (100 * n[:-1] >= percent * n[1:])]
             begin = np.flatnonzero(~joined)
@@ -418,18 +429,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         salt = F.when(level > 0, 1 + F.pmod(F.xxhash64("key"), F.pow(F.lit(2), F.least(level, F.lit(20))).cast("long"))).otherwise(0).cast("int")
         rows = one_each.select("key", "n", F.explode("prefix").alias("token")).select("token", salt.alias("salt"), "n", "key")
         order = ["token", "salt", "n", "key"]
-        schema = "token long, salt int, n int, key long"
-        shared = written(rows.repartition(n, "token", "salt").sortWithinPartitions(*order).mapInArrow(_shared(percent), schema), "shared")
-        size = F.ceil(F.col("n") * percent / 100)
-        survivors = written(shared.groupBy("key", "n").count().filter(F.col("count") >= 1 + F.floor(size / 20)).select("key", "n"), "survivors")
-        alive = shared.join(survivors.select("key"), "key", "left_semi")
-        stars = written(alive.select(*order).repartition(n, "token", "salt").sortWithinPartitions(*order).mapInArrow(_stars(percent), "a long, b long, token long, salted boolean"), "stars")
+        needs = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.select(*order).repartition(n, "token", "salt").sortWithinPartitions(*order)
+
+        schema = "token long, salt int, n int, key long, df long"
+        shared = written(dealt(rows).mapInArrow(_shared(percent), schema), "shared")
+        some = shared.groupBy("key", "n").count().filter(F.col("count") >= needs).select("key")
+        again = dealt(shared.join(some, "key", "left_semi")).mapInArrow(_shared(percent), schema)
+        # Of c shared tokens at most c - needs miss in a linked set, so one of the c - needs + 1 rarest doesn't.
+        of_key = Window.partitionBy("key")
+        ranked = again.withColumns({"c": F.count("*").over(of_key), "place": F.row_number().over(of_key.orderBy("df", "token"))})
+        rarest = written(ranked.filter((F.col("c") >= needs) & (F.col("place") <= F.col("c") - needs + 1)).select(*order), "rarest")
+        stars = written(dealt(rarest).mapInArrow(_stars(percent), "a long, b long, token long, salted boolean"), "stars")
         # A salted token's parts are connected through its least set.
         least = stars.filter("salted").groupBy("token").agg(F.min("a").alias("m"))
         across = stars.filter("salted").join(least, "token").select("a", F.col("m").alias("b"))
         edges = stars.filter("not salted").select("a", "b").union(across).filter("a <> b").distinct()
         comps = connected_components(written(edges, "edges"))
-        of = survivors.join(comps.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key")
+        of = rarest.select("key", "n").distinct().join(comps.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key")
         sizes = of.groupBy("comp").agg(F.sum("n").alias("size"))
         of = written(of.join(sizes, "comp").select("key", "comp", "size"), "candidates")
         # One row of each set: that with the least id and text.
