@@ -24,13 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithline.llm.common import ascii_lower, blocks, fresh_path, scratch, utf8, words_of, written
+from kithline.llm.common import ascii_lower, blocks, fresh_path, scratch, short_batches, utf8, words_of, written
 
 TOP = 50
 #: (item, term) pairs of a block of items, about.
 PAIRS = 1 << 18
 #: (item, document) impacts added up at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows of an Arrow batch, so that a worker holds few texts and arrays at once.
+BATCH_ROWS = 512
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -198,7 +200,7 @@ def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_co
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     path = fresh_path(spark, "ranked")
-    with scratch(spark):
+    with scratch(spark), short_batches(spark, BATCH_ROWS):
         known = written(item_terms(items, item_col=item_col, text=item_text), "item-terms")
         n_blocks = max(1, math.ceil(known.count() / pairs))
         found = None

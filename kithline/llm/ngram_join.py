@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithline.llm.common import RollingHash, ascii_lower, blocks, fresh_path, not_space, scratch, utf8, words_of, written
+from kithline.llm.common import RollingHash, ascii_lower, blocks, fresh_path, not_space, scratch, short_batches, utf8, words_of, written
 from kithline.llm.simhash import connected_components
 
 SHINGLE = 5
@@ -47,7 +47,9 @@ CLASS_BITS = 5
 #: Tokens of a component that one task holds.
 LARGE = 1 << 22
 #: Survivors whose keys are broadcast, at most; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1 << 21
+BROADCAST_ROWS = 1 << 19
+#: Rows of an Arrow batch of texts, so that a worker holds few sets at once.
+BATCH_ROWS = 512
 #: Rows of one token held at once.
 LONG = 1 << 16
 #: Tokens of a trie node, at most, so that a hopeless path is left early.
@@ -418,10 +420,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     id_type = own.schema["id"].dataType.simpleString()
     path, prints_path = fresh_path(spark, "components"), fresh_path(spark, "prints")
     with scratch(spark):
-        grams = NGrams(shingle, rarity_classes(own, text="text", size=shingle))
+        with short_batches(spark, BATCH_ROWS):
+            grams = NGrams(shingle, rarity_classes(own, text="text", size=shingle))
         hashed = own.select("id", F.xxhash64("text").alias("hash"), "text")
         made = hashed.mapInArrow(_prints(grams, percent), f"id {id_type}, hash long, key long, n int, prefix array<long>")
-        wide = written(made, "prefixes")
+        with short_batches(spark, BATCH_ROWS):
+            wide = written(made, "prefixes")
         prints = written(wide.select("id", "hash", "key", "n"), "", prints_path)
         one_each = wide.filter("n > 0").select("key", "n", "prefix").dropDuplicates(["key"])
         # Tokens of frequent classes are salted, twice as wide for each class.
@@ -456,7 +460,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         first = written(first.select("key", F.col("f.id").alias("first_id"), F.col("f.hash").alias("first_hash")), "first")
         few = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
         texts = hashed.join(few, (F.col("hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")))
-        sets = written(texts.select("key", "text").mapInArrow(_sets(grams), "key long, tokens array<long>").dropDuplicates(["key"]), "sets")
+        with short_batches(spark, BATCH_ROWS):
+            sets = written(texts.select("key", "text").mapInArrow(_sets(grams), "key long, tokens array<long>").dropDuplicates(["key"]), "sets")
         roots = connected_components(_links(sets, of, n, percent, large))
         ids = prints.filter("n > 0").groupBy("key").agg(F.min("id").alias("least"))
         rooted = ids.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
