@@ -139,13 +139,18 @@ def proximity(x1: Column, y1: Column, x2: Column, y2: Column, age_class: Column,
     return out
 
 
-def state(p: Params) -> Column:
-    """A frame's state from its features; each of rules 1 (turn taking), 3 (sustained speech) and 2 (proximity) counts only if in p.rules."""
-    anchored = F.coalesce(F.col("presence_score") >= p.gate, F.lit(False))
+def state(p: Params, features: dict[str, Column] | None = None) -> Column:
+    """A frame's state from its features; each of rules 1 (turn taking), 3 (sustained speech) and 2 (proximity) counts only if in p.rules.
+
+    features: those that aren't columns of their own name.
+    """
+    names = ("presence_score", "in_bout", "sustained_kcds", "seen_recently", "sustained_ohs")
+    own = {c: F.col(c) for c in names if c not in (features or {})} | (features or {})
+    anchored = F.coalesce(own["presence_score"] >= p.gate, F.lit(False))
     close = F.coalesce((F.col("presence_conf") >= p.instant_confidence) & (F.col("proximity") >= p.proximity), F.lit(False))
-    rules = {1: F.col("in_bout"), 3: F.col("sustained_kcds") & anchored, 2: close}
+    rules = {1: own["in_bout"], 3: own["sustained_kcds"] & anchored, 2: close}
     engaged = F.lit(False)
     for k, fires in rules.items():
         if k in p.rules:
             engaged = engaged | fires
-    return F.when(engaged, INTERACTING).when(F.col("seen_recently") | (F.col("sustained_ohs") & anchored), AVAILABLE).otherwise(ALONE)
+    return F.when(engaged, INTERACTING).when(own["seen_recently"] | (own["sustained_ohs"] & anchored), AVAILABLE).otherwise(ALONE)

@@ -64,28 +64,29 @@ def confusion(seconds: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("gt")))
 
 
-def class_metrics(seconds: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+def class_metrics(seconds: DataFrame, classes: DataFrame | None = None, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """label, precision, recall, f1, support; an unpredicted second counts against recall.
 
     classes (column label) adds classes that no evaluated second holds, with
-    zeros. One aggregation over both roles of a label.
+    zeros. One aggregation over both roles of a label. keys: for each of these
+    (and without classes); weight: the column that says how many seconds a row stands for.
     """
-    hit = (F.col("gt") == F.col("pred")).cast("long")
-    roles = seconds.select(F.explode(F.array(F.struct(F.col("gt").alias("label"), F.lit(1).alias("is_gt"), F.lit(0).alias("is_pred"), F.coalesce(hit, F.lit(0)).alias("tp")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("is_gt"), F.lit(1).alias("is_pred"), F.lit(0).cast("long").alias("tp")))).alias("r")).select("r.*")
-    sums = roles.filter("label is not null").groupBy("label").agg(F.sum("is_gt").alias("support"), F.sum("is_pred").alias("predicted"), F.sum("tp").alias("tp"))
-    known = classes.select("label").distinct() if classes is not None else sums.filter("support > 0").select("label")
-    full = known.join(sums, "label", "left").fillna(0)
+    keys, zero, times = keys or [], F.lit(0).cast("long"), F.col(weight) if weight else F.lit(1).cast("long")
+    hit = F.when(F.col("gt") == F.col("pred"), times).otherwise(zero)
+    roles = seconds.select(*keys, F.explode(F.array(F.struct(F.col("gt").alias("label"), times.alias("is_gt"), zero.alias("is_pred"), hit.alias("tp")), F.struct(F.col("pred").alias("label"), zero.alias("is_gt"), times.alias("is_pred"), zero.alias("tp")))).alias("r")).select(*keys, "r.*")
+    sums = roles.filter("label is not null").groupBy(*keys, "label").agg(F.sum("is_gt").alias("support"), F.sum("is_pred").alias("predicted"), F.sum("tp").alias("tp"))
+    full = classes.select("label").distinct().join(sums, "label", "left").fillna(0) if classes is not None else sums.filter("support > 0")
 
     def ratio(a, b):
         return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
     p, r = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
-    return full.select("label", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), "support")
+    return full.select(*keys, "label", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), "support")
 
 
-def macro_metrics(metrics: DataFrame) -> DataFrame:
-    """Unweighted means over all classes."""
-    return metrics.agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+def macro_metrics(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Unweighted means over all classes, of each of keys."""
+    return metrics.groupBy(*(keys or [])).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
 
 
 def accuracy(seconds: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,37 @@ def sustained(flag: str, width: int, share: float) -> Column:
     return (F.count("*").over(rows) == width) & (F.sum(flag).over(rows) >= share * width)
 
 
+def anchored(p: Params) -> Column:
+    """1 if a frame's face is close or sure enough to be remembered for long."""
+    return (F.coalesce(F.col("proximity") > p.anchor_proximity, F.lit(False)) | (F.col("face_conf") > p.anchor_face)).cast("int")
+
+
 def window_features(frames: DataFrame, p: Params) -> DataFrame:
     """presence_score, seen_recently, sustained_kcds, sustained_ohs. All windows share one exchange and sort."""
-    anchor = (F.coalesce(F.col("proximity") > p.anchor_proximity, F.lit(False)) | (F.col("face_conf") > p.anchor_face)).cast("int")
+    anchor = anchored(p)
     score = centred(F.col("presence_conf"), p.window(p.presence_sec), F.avg)
     long_memory = centred(anchor, p.window(p.long_memory_sec)) == 1
     short_memory = centred(F.col("presence_conf"), p.window(p.short_memory_sec)) >= p.instant_confidence
     width = p.window(p.sustained_sec)
     return frames.withColumns({"presence_score": score, "seen_recently": long_memory | short_memory, "sustained_kcds": sustained("has_cds", width, p.kcds_share), "sustained_ohs": sustained("has_ohs", width, p.ohs_share)})
+
+
+def window_features_of(frames: pd.DataFrame, p: Params) -> pd.DataFrame:
+    """frame and the four features of one video's frames in order, as ``window_features`` has them; for streams, whose windows can't count rows."""
+
+    def mean_or_max(values: pd.Series, seconds: float, how: str) -> pd.Series:
+        width = p.window(seconds)
+        if width <= 0:
+            return values * 0
+        back, ahead = width // 2, (width - 1) // 2
+        padded = pd.concat([values, pd.Series([float("nan")] * ahead, dtype="float64")], ignore_index=True)
+        return padded.rolling(back + ahead + 1, min_periods=1).agg(how).iloc[ahead:].reset_index(drop=True)
+
+    def held(flag: str, share: float) -> pd.Series:
+        width = p.window(p.sustained_sec)
+        return frames[flag].rolling(width).sum() >= share * width if width > 0 else pd.Series([share <= 0] * len(frames), index=frames.index)
+
+    presence = frames["presence_conf"].astype("float64")
+    anchor = ((frames["proximity"] > p.anchor_proximity) | (frames["face_conf"] > p.anchor_face)).astype("float64")
+    seen = (mean_or_max(anchor, p.long_memory_sec, "max") == 1) | (mean_or_max(presence, p.short_memory_sec, "max") >= p.instant_confidence)
+    return pd.DataFrame({"frame": frames["frame"].astype("int64"), "presence_score": mean_or_max(presence, p.presence_sec, "mean"), "seen_recently": seen, "sustained_kcds": held("has_cds", p.kcds_share), "sustained_ohs": held("has_ohs", p.ohs_share)})

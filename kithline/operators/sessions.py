@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.operators.intervals import overlap_join
@@ -23,7 +23,12 @@ def islands(frames: DataFrame, flags: dict[str, str], p: Params) -> DataFrame:
 
 
 def bouts(speech_islands: DataFrame, p: Params) -> DataFrame:
-    """video_id, start, end of bouts that hold speech both of the child and to it.
+    """video_id, start, end of bouts that hold speech both of the child and to it."""
+    return bouts_by(speech_islands, ["video_id"], F.lit(p.turn_gap_sec * p.fps), F.lit(p.same_gap_sec * p.fps))
+
+
+def bouts_by(speech_islands: DataFrame, keys: list[str], turn_gap: Column, same_gap: Column) -> DataFrame:
+    """keys, start, end of the bouts within each of keys; the gaps, in frames, may depend on keys.
 
     A segment joins the running bout if its gap is at most same_gap where the
     bout has its type already, else turn_gap. It then sets the bout's end, even
@@ -40,29 +45,27 @@ def bouts(speech_islands: DataFrame, p: Params) -> DataFrame:
     - same_gap > turn_gap: such a gap parts only where the type changes and no
       run of both types came since the last gap over the larger limit.
     """
-    turn_gap, same_gap = p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps
+    shorter, longer = F.least(turn_gap, same_gap), F.greatest(turn_gap, same_gap)
     is_kchi = F.col("type") == "kchi"
-    w = Window.partitionBy("video_id").orderBy("start", F.when(is_kchi, 0).otherwise(1), "type", "end")
+    w = Window.partitionBy(*keys).orderBy("start", F.when(is_kchi, 0).otherwise(1), "type", "end")
     placed = speech_islands.withColumns({"n": F.row_number().over(w), "gap": F.col("start") - F.lag("end").over(w)})
-    apart = placed.withColumn("begins", F.coalesce(F.col("gap") > min(turn_gap, same_gap), F.lit(True)))
+    apart = placed.withColumn("begins", F.coalesce(F.col("gap") > shorter, F.lit(True)))
     numbered = apart.withColumn("run", F.sum(F.col("begins").cast("int")).over(w))
-    runs = numbered.groupBy("video_id", "run").agg(F.min("start").alias("start"), F.max_by("end", "n").alias("end"), F.min_by("gap", "n").alias("gap"), F.min_by(is_kchi, "n").alias("by_child"), F.bool_or(is_kchi).alias("kchi"), F.bool_or(F.col("type") == "cds").alias("cds"))
-    v = Window.partitionBy("video_id").orderBy("run")
+    runs = numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max_by("end", "n").alias("end"), F.min_by("gap", "n").alias("gap"), F.min_by(is_kchi, "n").alias("by_child"), F.bool_or(is_kchi).alias("kchi"), F.bool_or(F.col("type") == "cds").alias("cds"))
+    v = Window.partitionBy(*keys).orderBy("run")
     so_far, before = v.rowsBetween(Window.unboundedPreceding, 0), v.rowsBetween(Window.unboundedPreceding, -1)
-    far = F.coalesce(F.col("gap") > max(turn_gap, same_gap), F.lit(True))
+    far = F.coalesce(F.col("gap") > longer, F.lit(True))
     had_child, had_cds = F.lag("kchi").over(v), F.lag("cds").over(v)
     changes = (had_child != had_cds) & (F.col("by_child") != had_child)
     linked = runs.withColumns({"far": far, "changes": F.coalesce(changes, F.lit(False))})
-    if same_gap <= turn_gap:
-        parts = F.col("far") | ~F.col("changes")
-        begins = (F.col("run") - F.max(F.when(parts, F.col("run"))).over(so_far)) % 2 == 0
-    else:
-        mixed = F.max(F.when(F.col("kchi") & F.col("cds"), F.col("run"))).over(before)
-        filled = F.coalesce(mixed >= F.max(F.when(F.col("far"), F.col("run"))).over(so_far), F.lit(False))
-        begins = F.col("far") | (F.col("changes") & ~filled)
+    parts = F.col("far") | ~F.col("changes")
+    every_second = (F.col("run") - F.max(F.when(parts, F.col("run"))).over(so_far)) % 2 == 0
+    mixed = F.max(F.when(F.col("kchi") & F.col("cds"), F.col("run"))).over(before)
+    filled = F.coalesce(mixed >= F.max(F.when(F.col("far"), F.col("run"))).over(so_far), F.lit(False))
+    begins = F.when(same_gap <= turn_gap, every_second).otherwise(F.col("far") | (F.col("changes") & ~filled))
     found = linked.withColumn("begins", begins).withColumn("bout", F.sum(F.col("begins").cast("int")).over(v))
-    whole = found.groupBy("video_id", "bout").agg(F.min("start").alias("start"), F.max_by("end", "run").alias("end"), F.bool_or("kchi").alias("kchi"), F.bool_or("cds").alias("cds"))
-    return whole.filter("kchi and cds").select("video_id", "start", "end")
+    whole = found.groupBy(*keys, "bout").agg(F.min("start").alias("start"), F.max_by("end", "run").alias("end"), F.bool_or("kchi").alias("kchi"), F.bool_or("cds").alias("cds"))
+    return whole.filter("kchi and cds").select(*keys, "start", "end")
 
 
 def speech_islands(frames: DataFrame, p: Params) -> DataFrame:

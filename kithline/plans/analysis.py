@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import random
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithline import adapters
-from kithline.operators import changepoint, evaluate, observations, segments
+from kithline.functions import scalars
+from kithline.operators import changepoint, evaluate, features, observations, segments, sessions
 from kithline.operators.classify import classify
 from kithline.operators.grid import dense_grid
-from kithline.params import Params
+from kithline.params import AVAILABLE, INTERACTING, Params
+from kithline.sources import sinks
 
 
 def frames(spark: SparkSession, sf_dir: str, p: Params | None = None, videos: DataFrame | None = None) -> DataFrame:
@@ -37,21 +43,90 @@ def run(spark: SparkSession, sf_dir: str, p: Params | None = None, smooth: bool
     return segments.with_subjects(segments.segment(found, p, "smoothed" if smooth else "state"), adapters.videos(spark, sf_dir))
 
 
+def trial_states(observed: DataFrame, trials: list[Params]) -> DataFrame:
+    """observed (integrated frames) with ``states``: each frame's state under every trial, in their order.
+
+    Stages are grouped by the parameters that they read, and each distinct one
+    is evaluated once: windows of every width asked for share one exchange and
+    sort, bouts of every pair of gaps are found together with the pair as part
+    of their key, and one join brings the pairs in whose bouts a frame lies.
+    So neither scans nor exchanges grow with the trials.
+    """
+    made: dict[str, Column] = {}
+
+    def once(name: str, make: Callable[[], Column]) -> Column:
+        if name not in made:
+            made[name] = make()
+        return F.col(name)
+
+    gaps = list(dict.fromkeys((p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps) for p in trials))
+    first = trials[0]
+    if len({(p.fps, p.step) for p in trials}) > 1:
+        raise ValueError("trials differ in their frames")
+    turn, same = (F.get(F.array(*[F.lit(float(g[k])) for g in gaps]), F.col("pair")) for k in (0, 1))
+    islands = sessions.speech_islands(observed, first).withColumn("pair", F.explode(F.array(*[F.lit(k) for k in range(len(gaps))])))
+    found = sessions.bouts_by(islands, ["pair", "video_id"], turn, same).filter("`end` >= start")
+    spread = found.select("pair", "video_id", F.explode(F.sequence("start", "end", F.lit(first.step).cast("long"))).alias("frame"))
+    covered = spread.groupBy("video_id", "frame").agg(F.collect_set("pair").alias("pairs"))
+    speaks = (F.col("has_kchi") == 1) | (F.col("has_cds") == 1)
+    states = []
+    for p in trials:
+        width, sustained = p.window(p.presence_sec), p.window(p.sustained_sec)
+        long = once(f"long_{p.window(p.long_memory_sec)}_{p.anchor_proximity}_{p.anchor_face}".replace(".", "p"), lambda p=p: features.centred(features.anchored(p), p.window(p.long_memory_sec))) == 1
+        short = once(f"short_{p.window(p.short_memory_sec)}", lambda p=p: features.centred(F.col("presence_conf"), p.window(p.short_memory_sec)))
+        pair = gaps.index((p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps))
+        named = {
+            "presence_score": once(f"score_{width}", lambda width=width: features.centred(F.col("presence_conf"), width, F.avg)),
+            "seen_recently": long | (short >= p.instant_confidence),
+            "sustained_kcds": once(f"kcds_{sustained}_{p.kcds_share}".replace(".", "p"), lambda p=p, w=sustained: features.sustained("has_cds", w, p.kcds_share)),
+            "sustained_ohs": once(f"ohs_{sustained}_{p.ohs_share}".replace(".", "p"), lambda p=p, w=sustained: features.sustained("has_ohs", w, p.ohs_share)),
+            "in_bout": F.coalesce(F.array_contains("pairs", pair), F.lit(False)) & speaks,
+        }
+        states.append(scalars.state(p, named))
+    return observed.join(covered, ["video_id", "frame"], "left").withColumns(made).withColumn("states", F.array(*states)).drop("pairs", *made)
+
+
 def search(observed: DataFrame, truth: DataFrame, trials: list[Params]) -> DataFrame:
-    """trial and macro scores of each parameter set against second labels (video_id, second, gt), the best first.
+    """trial (from 0) and macro scores of each parameter set against second labels (video_id, second, gt), the best first.
+
+    observed (integrated frames) is read twice, for bouts and for states, and
+    truth once, however many the trials are; pass written tables
+    (sources.shared.written). A second's state is that of its last frame.
+    """
+    second = (F.col("frame") / trials[0].fps).cast("long").alias("second")
+    labels = trial_states(observed, trials).groupBy("video_id", second).agg(F.max_by("states", "frame").alias("states"))
+    each = truth.join(labels, ["video_id", "second"], "left").select("gt", "states", F.explode(F.array(*[F.lit(k) for k in range(len(trials))])).alias("trial"))
+    s = F.get(F.col("states"), F.col("trial"))
+    pred = F.when(s.isNull(), None).when(s == INTERACTING, "interacting").when(s == AVAILABLE, "available").otherwise("alone")
+    counts = each.groupBy("trial", "gt", pred.alias("pred")).agg(F.count("*").alias("n"))
+    return evaluate.macro_metrics(evaluate.class_metrics(counts, keys=["trial"], weight="n"), ["trial"]).orderBy(F.desc("macro_f1"), "trial")
+
+
+def draw(space: dict[str, list], n: int, seed: int) -> list[dict]:
+    """n different points of the grid that space's values span, all if there are fewer; a seed always gives the same ones.
+
+    A point is a number in mixed radix, so no grid is built.
+    """
+    size = math.prod(len(v) for v in space.values())
+    out = []
+    for point in random.Random(seed).sample(range(size), min(n, size)):
+        own = {}
+        for name, values in space.items():
+            point, k = divmod(point, len(values))
+            own[name] = values[k]
+        out.append(own)
+    return out
+
+
+def resumable_search(observed: DataFrame, truth: DataFrame, trials: list[Params], path: str, every: int = 10) -> DataFrame:
+    """``search`` over ``every`` trials at a time, each part written under path; parts that a stopped run has written whole are not run again.
 
-    Every trial reads observed (integrated frames) and truth anew, so pass
-    written tables (sources.shared.written); each adds a lazy branch, and all
-    are evaluated in one job.
+    Parts go by number, so a restart must come with the same trials. A part
+    whose writing was stopped is written again.
     """
-    parts = []
-    for k, p in enumerate(trials):
-        got = classify(observed, p).select("video_id", (F.col("frame") / p.fps).cast("long").alias("second"), "frame", "state")
-        label = got.groupBy("video_id", "second").agg(F.max_by("state", "frame").alias("s"))
-        pred = label.select("video_id", "second", F.when(F.col("s") == 1, "interacting").when(F.col("s") == 2, "available").otherwise("alone").alias("pred"))
-        scores = evaluate.macro_metrics(evaluate.class_metrics(truth.join(pred, ["video_id", "second"], "left")))
-        parts.append(scores.select(F.lit(k).alias("trial"), "*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.orderBy(F.desc("macro_f1"), "trial")
+    spark = observed.sparkSession
+    for k, lo in enumerate(range(0, len(trials), every)):
+        if not sinks.is_written(spark, f"{path}/part={k}"):
+            part = search(observed, truth, trials[lo : lo + every])
+            part.withColumn("trial", F.col("trial") + lo).write.mode("overwrite").parquet(f"{path}/part={k}")
+    return spark.read.parquet(path).drop("part")

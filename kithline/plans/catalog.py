@@ -558,20 +558,63 @@ def fitting_split(spark, sf_dir):
     return splits.split_by_fit(A.videos(spark, sf_dir).select("video_id", "max_frame"), "video_id", "max_frame", 0.8, 42)
 
 
-SPACE = {"turn_gap_sec": [6.0, 8.0, 10.0], "same_gap_sec": [1.0, 1.5, 2.0], "kcds_share": [0.6, 0.8, 1.0], "proximity": [0.7, 0.8, 0.9], "instant_confidence": [0.3, 0.4, 0.5], "gate": [0.1, 0.18, 0.25]}
+#: Three values for every parameter that a frame's state depends on.
+SPACE = {
+    "turn_gap_sec": [6.0, 8.0, 10.0], "same_gap_sec": [1.0, 1.5, 9.0], "presence_sec": [1.0, 1.5, 2.0], "short_memory_sec": [1.0, 2.0, 3.0], "long_memory_sec": [0.0, 1.0, 2.0], "sustained_sec": [0.7, 1.0, 1.5],
+    "kcds_share": [0.6, 0.8, 1.0], "ohs_share": [0.03, 0.3, 0.6], "instant_confidence": [0.3, 0.4, 0.5], "proximity": [0.7, 0.8, 0.9], "gate": [0.1, 0.18, 0.25], "anchor_proximity": [0.4, 0.5, 0.6], "anchor_face": [0.5, 0.6, 0.7],
+}
+TRIALS = [P.but(**own) for own in analysis.draw(SPACE, 20, 7)]
+
+
+def _window(seconds: float) -> str:
+    width = P.window(seconds)
+    return f"{width // 2}, {max(width - 1, 0) // 2}"
+
+
+def _trial_row(k: int, p: Params) -> str:
+    return f"({k}, {p.turn_gap_sec * p.fps}::DOUBLE, {p.same_gap_sec * p.fps}::DOUBLE, {_window(p.presence_sec)}, {_window(p.short_memory_sec)}, {_window(p.long_memory_sec)}, {p.window(p.long_memory_sec)}, {p.window(p.sustained_sec)}, " + ", ".join(f"{v}::DOUBLE" for v in (p.kcds_share, p.ohs_share, p.instant_confidence, p.proximity, p.gate, p.anchor_proximity, p.anchor_face)) + ")"
+
+
+_SEARCH = (
+    query("", "fr", "seq").replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", tr(trial, turn, same, pb, pa, sb, sa, lb, la, lw, sw, kc, oh, ic, px, gate, ap, af) AS (VALUES "
+    + ", ".join(_trial_row(k, p) for k, p in enumerate(TRIALS))
+    + """), gp AS (SELECT DISTINCT turn, same FROM tr),
+    fo AS (SELECT turn, same, video_id, n, a AS s, b AS e, type = 'kchi' AS k, type = 'cds' AS c, 1 AS bout FROM seq, gp WHERE n = 1
+        UNION ALL SELECT f.turn, f.same, q.video_id, q.n, CASE WHEN j THEN f.s ELSE q.a END, q.b, CASE WHEN j THEN f.k OR q.type = 'kchi' ELSE q.type = 'kchi' END, CASE WHEN j THEN f.c OR q.type = 'cds' ELSE q.type = 'cds' END, f.bout + CASE WHEN j THEN 0 ELSE 1 END
+        FROM fo f JOIN seq q ON q.video_id = f.video_id AND q.n = f.n + 1, LATERAL (SELECT q.a - f.e <= CASE WHEN CASE WHEN q.type = 'kchi' THEN f.k ELSE f.c END THEN f.same ELSE f.turn END AS j)),
+    bo AS (SELECT turn, same, video_id, min(s) AS a, max_by(e, n) AS b FROM fo GROUP BY turn, same, video_id, bout HAVING bool_or(k) AND bool_or(c)),
+    cov AS (SELECT DISTINCT turn, same, video_id, unnest(range(a, b + 1, 10)) AS frame FROM bo WHERE b >= a),
+    ft AS (SELECT *, avg(presence_conf) OVER (w ROWS BETWEEN pb PRECEDING AND pa FOLLOWING) AS score, max(presence_conf) OVER (w ROWS BETWEEN sb PRECEDING AND sa FOLLOWING) >= ic OR (lw > 0 AND max(CASE WHEN coalesce(proximity > ap, false) OR face_conf > af THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN lb PRECEDING AND la FOLLOWING) = 1) AS seen,
+        count(*) OVER (w ROWS BETWEEN sw - 1 PRECEDING AND CURRENT ROW) = sw AND sum(has_cds) OVER (w ROWS BETWEEN sw - 1 PRECEDING AND CURRENT ROW) >= kc * sw AS long_cds, count(*) OVER (w ROWS BETWEEN sw - 1 PRECEDING AND CURRENT ROW) = sw AND sum(has_ohs) OVER (w ROWS BETWEEN sw - 1 PRECEDING AND CURRENT ROW) >= oh * sw AS long_ohs
+        FROM fr, tr WINDOW w AS (PARTITION BY trial, video_id ORDER BY frame)),
+    ss AS (SELECT trial, video_id, frame, CASE WHEN ((has_kchi = 1 OR has_cds = 1) AND cov.frame IS NOT NULL) OR (long_cds AND score >= gate) OR coalesce(presence_conf >= ic AND proximity >= px, false) THEN 'interacting' WHEN seen OR (long_ohs AND score >= gate) THEN 'available' ELSE 'alone' END AS state FROM ft LEFT JOIN cov USING (turn, same, video_id, frame)),
+    lab AS (SELECT trial, video_id, frame // 30 AS second, max_by(state, frame) AS pred FROM ss GROUP BY ALL),
+    tru AS (SELECT video_id, frame // 30 AS second, CASE WHEN has_kchi = 1 THEN 'interacting' WHEN presence_conf > 0.3 THEN 'available' ELSE 'alone' END AS gt FROM fr WHERE frame % 30 = 0),
+    pairs AS (SELECT trial, gt, pred FROM tru CROSS JOIN (SELECT trial FROM tr) LEFT JOIN lab USING (trial, video_id, second)),
+    cl AS (SELECT trial, label, (SELECT count(*) FROM pairs p WHERE p.trial = l.trial AND gt = label) AS support, (SELECT count(*) FROM pairs p WHERE p.trial = l.trial AND pred = label) AS predicted, (SELECT count(*) FROM pairs p WHERE p.trial = l.trial AND gt = label AND pred = label) AS tp FROM (SELECT DISTINCT trial, gt AS label FROM pairs) l),
+    pr AS (SELECT trial, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p, tp / support AS r FROM cl)
+    SELECT trial, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1 FROM pr GROUP BY trial"""
+)
+
+
+def _searched(spark, sf_dir):
+    observed = shared.written(analysis.frames(spark, sf_dir, P), "frames")
+    truth = observed.filter(F.col("frame") % 30 == 0).select("video_id", (F.col("frame") / 30).cast("long").alias("second"), F.when(F.col("has_kchi") == 1, "interacting").when(F.col("presence_conf") > 0.3, "available").otherwise("alone").alias("gt"))
+    return observed, truth
 
 
-@register()
-def drawn_configurations(spark, sf_dir):
-    return splits.draw_configurations(spark, SPACE, 20, 7)
+@register(_SEARCH)
+def parameter_search(spark, sf_dir):
+    return analysis.search(*_searched(spark, sf_dir), TRIALS).select("trial", *_r("macro_precision", "macro_recall", "macro_f1"))
 
 
-@register()
-def parameter_search(spark, sf_dir):
-    trials = [P.but(**{k: r[k] for k in SPACE}) for r in splits.draw_configurations(spark, SPACE, 3, 7).orderBy("trial").collect()]
-    observed = shared.written(analysis.frames(spark, sf_dir, P), "frames")
-    truth = observed.filter(F.col("frame") % 30 == 0).select("video_id", (F.col("frame") / 30).cast("long").alias("second"), F.when(F.col("has_kchi") == 1, "interacting").when(F.col("presence_conf") > 0.3, "available").otherwise("alone").alias("gt"))
-    return analysis.search(observed, truth, trials)
+@register(_SEARCH)
+def resumed_search(spark, sf_dir):
+    """A search stopped after its first ten trials goes on with the others."""
+    given, path = _searched(spark, sf_dir), shared.fresh_path(spark, "search")
+    analysis.resumable_search(*given, TRIALS[:10], path)
+    return analysis.resumable_search(*given, TRIALS, path).select("trial", *_r("macro_precision", "macro_recall", "macro_f1"))
 
 
 @register("SELECT video_id, CAST(floor(k / 16) AS BIGINT) AS sequence, count(*) AS size, 16 AS n_features, 16 AS n_labels FROM (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1 AS k FROM grid) GROUP BY ALL", "grid")
@@ -581,4 +624,4 @@ def padded_sequences(spark, sf_dir):
     return found.select("video_id", "sequence", "size", F.size("features").alias("n_features"), F.size("labels").alias("n_labels"))
 
 
-from kithline.plans import catalog_files  # noqa: E402, F401 (registers its queries here)
+from kithline.plans import catalog_files, catalog_streams  # noqa: E402, F401 (they register their queries here)

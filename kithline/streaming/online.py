@@ -1,15 +1,29 @@
-"""Streaming forms: resumable ingest, online bouts and speech sessions."""
+"""Streaming forms: resumable ingest, event-time de-duplication, speech sessions, bouts and row windows with timers.
+
+A stream's late rows are those whose ``ts`` lies at or before the watermark
+that the batches before it have set. Stateful operators never see them;
+``ingest`` sets them aside and counts them.
+
+Bouts and row windows hold a video's rows until the watermark has passed them,
+as only then their order is known, and set a timer for the time by which the
+video must have gone on. A video that falls silent so ends by itself, and
+nothing of it stays in the state store. Both need a state store that keeps its
+rows on disk (``stored_on_disk``).
+"""
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from kithline.operators.features import window_features_of
 from kithline.params import Params
+from kithline.sources import sinks
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
@@ -17,49 +31,254 @@ def file_stream(spark: SparkSession, path: str, schema: str, **options) -> DataF
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
+@contextlib.contextmanager
+def stored_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def drain(stream: DataFrame, path: str) -> list[dict]:
+    """Runs stream on all there is, from where path/state stands, appending its rows to path/out; the state operators' last figures."""
+    with stored_on_disk(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = q.lastProgress
+    return [dict(o) if isinstance(o, dict) else o.jsonValue for o in (last["stateOperators"] if last else [])]
+
+
 def speech_sessions(speech: DataFrame, gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
-    """video_id, speaker, start, end, n of runs of one speaker's utterances (column ts) with gaps under ``gap``."""
-    s = speech.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "video_id", "speaker").agg(F.count("*").alias("n"))
+    """video_id, speaker, start, end, n of runs of one speaker's utterances (column ts) with gaps under ``gap``.
+
+    Utterances of one null video or speaker are a group of their own; those
+    without ts are left out. Rows that come late are left out (see ``ingest``).
+    """
+    s = speech.filter("ts is not null").withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "video_id", "speaker").agg(F.count("*").alias("n"))
     return s.select("video_id", "speaker", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def presence_windows(frames: DataFrame, width: str = "2 seconds", slide: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    """video_id, start, score, n: mean presence over sliding windows of event time."""
-    s = frames.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "video_id").agg(F.avg("presence_conf").alias("score"), F.count("*").alias("n"))
+    """video_id, start, score, n: mean presence over sliding windows of event time; nulls count in n, not in the mean; late rows and rows without ts are left out."""
+    s = frames.filter("ts is not null").withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "video_id").agg(F.avg("presence_conf").alias("score"), F.count("*").alias("n"))
     return s.select("video_id", F.col("w.start").alias("start"), "score", "n")
 
 
-BOUT = "video_id long, start long, end long"
-STATE = "start long, end long, kchi boolean, cds boolean"
+# Ingest: late rows and repeated ones
 
 
-def online_bouts(islands: DataFrame, p: Params) -> DataFrame:
-    """Turn-taking bouts of a stream of speech islands (video_id, type, start, end) as soon as they are over.
+def ingest(batch: DataFrame, batch_id: int, path: str, key: str, late_seconds: float) -> None:
+    """A micro-batch (foreachBatch) of rows with ``ts`` and ``key``, dealt into path/accepted, path/late and path/repeated by batch.
 
-    The state of a video is its running bout. Islands of one micro-batch are
-    taken in order of start; a bout still running is given out by
-    ``flush`` rows: islands of type "end", later than any gap.
+    The watermark is the latest ts of the batches before, less late_seconds. A
+    row at or before it, or without ts, is late. Of rows of one key within
+    the watermark's horizon the first by ts (then by all columns) is accepted, the others are
+    repeated; rows without key are all accepted. What a batch writes is
+    replaced if it runs again, so a restarted query leaves the same rows.
     """
-    turn, same = p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps
-
-    def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        rank = {"kchi": 0, "cds": 1}
-        rows = sorted(zip(rows["start"], rows["type"], rows["end"], strict=True), key=lambda r: (r[0], rank.get(r[1], 2), r[2]))
-        run = list(state.get) if state.exists else None
-        out = []
-        for start, kind, end in rows:
-            if run is not None and kind in rank and start - run[1] <= (same if run[2 + rank[kind]] else turn):
-                run[1] = int(end)
-                run[2 + rank[kind]] = True
+    spark = batch.sparkSession
+    high = sinks.read_or_empty(spark, f"{path}/high", "ts timestamp, batch long").filter(F.col("batch") < batch_id).agg(F.max("ts")).first()[0]
+    mark = F.lit(high).cast("timestamp") - F.make_dt_interval(secs=F.lit(late_seconds))
+    rows = batch.withColumn("late", F.col("ts").isNull() | (F.coalesce(F.col("ts") <= mark, F.lit(False))))
+    rows.persist()
+    try:
+        on_time = rows.filter("not late").drop("late")
+        known = sinks.read_or_empty(spark, f"{path}/accepted", f"{ddl(batch)}, batch long").filter((F.col("batch") < batch_id) & F.coalesce(F.col("ts") > mark, F.lit(True)))
+        place = F.row_number().over(sinks.Window.partitionBy(key).orderBy("ts", F.xxhash64(*on_time.columns)))
+        first = on_time.withColumn("place", F.when(F.col(key).isNull(), 1).otherwise(place)).join(known.select(F.col(key).alias("_known")).distinct(), F.col(key) == F.col("_known"), "left")
+        accepted = (F.col("place") == 1) & F.col("_known").isNull()
+        for name, part in (("accepted", first.filter(accepted)), ("repeated", first.filter(~accepted)), ("late", rows.filter("late"))):
+            part.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        rows.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/high/batch={batch_id}")
+    finally:
+        rows.unpersist()
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def ingest_stream(stream: DataFrame, path: str, key: str, late_seconds: float) -> None:
+    """All there is of stream through ``ingest``, from where path/state stands."""
+    q = stream.writeStream.foreachBatch(lambda b, k: ingest(b, k, path, key, late_seconds)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def _placed(key: tuple, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's new rows that have a frame; none for the null key, whose rows only move time on."""
+    new = pd.concat(list(rows))
+    return new[new["frame"].notna()].copy() if not pd.isna(key[0]) else new.iloc[:0]
+
+
+# Bouts
+
+BOUT = "video_id long, start long, end long"
+KINDS = ("kchi", "cds")
+
+
+class _Bouts(StatefulProcessor):
+    """Speech frames of a video to bouts. Frames wait for the watermark, islands for those that began before them, and the running bout for its longest gap."""
+
+    def __init__(self, p: Params, frame_ms: float):
+        self.p, self.frame_ms = p, frame_ms
+        self.turn, self.same = p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.frames = handle.getListState("frames", "kind int, frame long")
+        self.islands = handle.getListState("islands", "start long, kind int, end long")
+        self.run = handle.getValueState("run", "start long, end long, kchi boolean, cds boolean")
+        self.zero = handle.getValueState("zero", "ms double")  # the time of frame 0
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _placed(key, rows)
+        if not len(new):
+            return
+        ms = new["ts"].astype("datetime64[ns]").astype("int64") / 1e6
+        self.zero.update((float((ms - new["frame"] * self.frame_ms).iloc[0]),))
+        for kind, flag in enumerate(("has_kchi", "has_cds")):
+            for frame in new.loc[new[flag] == 1, "frame"]:
+                self.frames.appendValue((kind, int(frame)))
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key, mark: int) -> pd.DataFrame:
+        if not self.zero.exists():  # an earlier timer of a video that is over
+            return pd.DataFrame([], columns=["video_id", "start", "end"])
+        zero = self.zero.get()[0]
+        seen = int((mark - zero) // self.frame_ms) if mark > 0 else -1  # all frames up to this one are there
+        frames = sorted((int(r[1]), int(r[0])) for r in self.frames.get())
+        islands = [[int(x) for x in r] for r in self.islands.get()]
+        waiting = [(kind, frame) for frame, kind in frames if frame > seen]
+        growing = {i[1]: i for i in islands}  # of one kind the last
+        for frame, kind in frames:
+            if frame > seen:
+                break
+            last = growing.get(kind)
+            if last is not None and frame - last[2] <= self.p.step:
+                last[2] = frame
+            else:
+                growing[kind] = [frame, kind, frame]
+                islands.append(growing[kind])
+        islands.sort()
+        out, run = [], self.run.get() if self.run.exists() else None
+        run = [int(run[0]), int(run[1]), bool(run[2]), bool(run[3])] if run is not None else None
+        while islands and islands[0][2] + self.p.step <= seen:  # over, and none that began earlier is still growing
+            start, kind, end = islands.pop(0)
+            if run is not None and start - run[1] <= (self.same if run[2 + kind] else self.turn):
+                run[1], run[2 + kind] = end, True
                 continue
-            if run is not None and run[2] and run[3]:
-                out.append((key[0], run[0], run[1]))
-            run = [int(start), int(end), kind == "kchi", kind == "cds"] if kind in rank else None
-        if run is None:
-            state.remove() if state.exists else None
-        else:
-            state.update(tuple(run))
-        yield pd.DataFrame(out, columns=["video_id", "start", "end"])
-
-    return islands.groupBy("video_id").applyInPandasWithState(of, BOUT, STATE, "append", GroupStateTimeout.NoTimeout)
+            out += self._closed(key, run)
+            run = [start, end, kind == 0, kind == 1]
+        longest = max(self.turn, self.same)
+        if run is not None and seen >= run[1] + longest and not islands:
+            out += self._closed(key, run)
+            run = None
+        last = max([f for _, f in waiting] + [i[2] for i in islands] + ([run[1]] if run else []), default=None)
+        self._keep(waiting, islands, run)
+        if last is not None:
+            self.handle.registerTimer(int(zero + (last + longest + self.p.step + 1) * self.frame_ms) + 1)
+        return pd.DataFrame(out, columns=["video_id", "start", "end"])
+
+    @staticmethod
+    def _closed(key, run) -> list[tuple]:
+        return [(key[0], run[0], run[1])] if run is not None and run[2] and run[3] else []
+
+    def _keep(self, waiting, islands, run) -> None:
+        self.frames.put(waiting) if waiting else self.frames.clear()
+        self.islands.put([tuple(i) for i in islands]) if islands else self.islands.clear()
+        self.run.update(tuple(run)) if run is not None else self.run.clear()
+        if not (waiting or islands or run):
+            self.zero.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def online_bouts(frames: DataFrame, p: Params, frame_ms: float, late: str = "10 seconds") -> DataFrame:
+    """Turn-taking bouts (video_id, start, end) of a stream of frames (video_id, frame, ts, has_kchi, has_cds), each as soon as no row can change it.
+
+    Equal to ``sessions.bouts`` over the islands of the rows that weren't late,
+    in whatever order they come; repeated rows change nothing. ts must be a
+    video's time of frame 0 plus frame_ms for each frame. Rows without ts are
+    left out, those without video or frame only move time on; null flags are 0.
+    """
+    rows = frames.select("video_id", "frame", "ts", *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("has_kchi", "has_cds")])
+    rows = rows.filter("ts is not null").withWatermark("ts", late)
+    return rows.groupBy("video_id").transformWithStateInPandas(_Bouts(p, frame_ms), BOUT, "append", "EventTime")
+
+
+# Row windows
+
+FEATURES = "presence_score double, seen_recently boolean, sustained_kcds boolean, sustained_ohs boolean"
+MEASURED = ("presence_conf", "proximity", "face_conf", "has_cds", "has_ohs")
+
+
+class _RowWindows(StatefulProcessor):
+    """A ring of a video's last frames in order, and those that wait for the watermark or for the frames behind them."""
+
+    def __init__(self, p: Params, idle_ms: int):
+        self.p, self.idle_ms = p, idle_ms
+        widths = [p.window(s) for s in (p.presence_sec, p.short_memory_sec, p.long_memory_sec)]
+        self.before = max([w // 2 for w in widths] + [p.window(p.sustained_sec) - 1])
+        self.behind = max(0, *[(w - 1) // 2 for w in widths])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        row = "ms long, frame long, " + ", ".join(f"{c} double" for c in MEASURED) + ", done boolean"
+        self.rows = handle.getListState("rows", row)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _placed(key, rows)
+        if not len(new):
+            return
+        new["ms"] = new["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000
+        for r in new[["ms", "frame", *MEASURED]].itertuples(index=False):
+            self.rows.appendValue((int(r.ms), int(r.frame), *[None if pd.isna(v) else float(v) for v in r[2:]], False))
+        self.handle.registerTimer(int(new["ms"].max()) + self.idle_ms)
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key, mark: int) -> pd.DataFrame:
+        held = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=["ms", "frame", *MEASURED, "done"])
+        over = len(held) == 0 or int(held["ms"].max()) + self.idle_ms <= mark
+        known = held[held["ms"] <= mark].sort_values("frame", kind="stable").drop_duplicates("frame", keep="first").reset_index(drop=True)
+        full = len(known) if over else max(0, len(known) - self.behind)
+        ready = ~known["done"].astype(bool).to_numpy()
+        ready[full:] = False
+        out = window_features_of(known, self.p)[ready]
+        known.loc[ready, "done"] = True
+        first = max(0, full - self.before)
+        keep = [] if over else [*_tuples(known.iloc[first:]), *_tuples(held[held["ms"] > mark])]
+        self.rows.put(keep) if keep else self.rows.clear()
+        out.insert(0, "video_id", key[0])
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    return [(int(r[0]), int(r[1]), *[None if pd.isna(v) else float(v) for v in r[2:-1]], bool(r[-1])) for r in rows.itertuples(index=False)]
+
+
+def online_features(frames: DataFrame, p: Params, idle: float = 60.0, late: str = "10 seconds") -> DataFrame:
+    """video_id, frame and the features of ``features.window_features`` of a stream of frames, each once its following rows are there.
+
+    A video ends when the watermark is ``idle`` seconds past its last frame;
+    its windows are then cut there as they are in the batch form. The rows that weren't late give what
+    the batch form gives for them; of rows that repeat a frame the first that
+    came counts. Rows without ts are left out, those without video or frame only
+    move time on; null flags and confidences are 0, a null proximity is none.
+    """
+    rows = frames.select("video_id", "frame", "ts", *[F.col(c).cast("double").alias(c) if c == "proximity" else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in MEASURED])
+    rows = rows.filter("ts is not null").withWatermark("ts", late)
+    return rows.groupBy("video_id").transformWithStateInPandas(_RowWindows(p, int(idle * 1000)), f"video_id long, frame long, {FEATURES}", "append", "EventTime")
