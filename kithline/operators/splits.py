@@ -145,23 +145,3 @@ def split_by_fit(videos: DataFrame, key: str, duration: str, ratio: float, seed:
 def overlap_check(assigned: DataFrame, key: str) -> DataFrame:
     """Keys that stand in more than one split."""
     return assigned.groupBy(key).agg(F.sort_array(F.collect_set("split")).alias("splits")).filter(F.size("splits") > 1)
-
-
-def draw_configurations(spark: SparkSession, space: dict[str, list], n: int, seed: int) -> DataFrame:
-    """trial and one column for each parameter: n different points of the grid (all if there are fewer), drawn by hash.
-
-    A trial is a number in mixed radix, so no grid is built; numbers are drawn
-    until n differ.
-    """
-    size = 1
-    for values in space.values():
-        size *= len(values)
-    n = min(n, size)
-    drawn = spark.range(max(4 * n, 64)).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias("point"), "id") if size > 8 * n else spark.range(size).select(F.col("id").alias("point"), F.xxhash64("id", F.lit(seed)).alias("id"))
-    points = drawn.groupBy("point").agg(F.min("id").alias("id")).orderBy("id", "point").limit(n)  # n rows
-    numbered = points.withColumn("trial", F.row_number().over(Window.orderBy("id", "point")))
-    columns, rest = [], F.col("point")
-    for name, values in space.items():
-        columns.append(F.get(F.array(*[F.lit(v) for v in values]), (rest % len(values)).cast("int")).alias(name))
-        rest = F.floor(rest / len(values))
-    return numbered.select("trial", *columns)

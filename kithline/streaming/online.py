@@ -1,8 +1,8 @@
 """Streaming forms: resumable ingest, event-time de-duplication, speech sessions, bouts and row windows with timers.
 
-A stream's late rows are those whose ``ts`` lies at or before the watermark
-that the batches before it have set. Stateful operators never see them;
-``ingest`` sets them aside and counts them.
+Spark's stateful operators hold a batch's rows against the watermark of the
+batch before and drop those at or before it, uncounted by key; ``ingest`` holds
+them against all batches before, sets the late ones aside and counts them.
 
 Bouts and row windows hold a video's rows until the watermark has passed them,
 as only then their order is known, and set a timer for the time by which the
@@ -241,7 +241,8 @@ class _RowWindows(StatefulProcessor):
         new["ms"] = new["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000
         for r in new[["ms", "frame", *MEASURED]].itertuples(index=False):
             self.rows.appendValue((int(r.ms), int(r.frame), *[None if pd.isna(v) else float(v) for v in r[2:]], False))
-        self.handle.registerTimer(int(new["ms"].max()) + self.idle_ms)
+        for wait in (0, self.idle_ms):  # its last row is in order; it has ended
+            self.handle.registerTimer(int(new["ms"].max()) + wait)
         yield self._advance(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kithline.functions import scalars as S
 from kithline.operators import boxes, datasets, evaluate, features, grid, intervals, observations, segments, sessions, splits, stats
+from kithline.operators.classify import classify
 from kithline.params import Params
+from kithline.plans import analysis
 
 P = Params()
 
@@ -231,11 +235,56 @@ def test_sampling_by_quota(spark):
     assert splits.sample_by_quota(df, q, "g", "k", 4, F.col("hard")).subtract(got).count() > 0
 
 
-def test_configurations_differ(spark):
+def test_configurations_differ():
     space = {"a": [1, 2, 3], "b": ["x", "y"], "c": [0.1, 0.2]}
-    assert splits.draw_configurations(spark, space, 50, 1).drop("trial").distinct().count() == 12
-    many = splits.draw_configurations(spark, {f"p{k}": [0, 1, 2] for k in range(10)}, 20, 1)
-    assert many.count() == 20 and many.drop("trial").distinct().count() == 20
+    assert len({tuple(d.items()) for d in analysis.draw(space, 50, 1)}) == 12
+    many = analysis.draw({f"p{k}": [0, 1, 2] for k in range(26)}, 20, 1)
+    assert len({tuple(d.items()) for d in many}) == 20 and many == analysis.draw({f"p{k}": [0, 1, 2] for k in range(26)}, 20, 1)
+
+
+def _search_input(spark):
+    rng = random.Random(5)
+    rows = [(v, 10 * k, rng.choice([0.0, 0.3, 0.45, 0.9]), rng.choice([0.0, 0.55, 0.7]), rng.choice([None, 0.45, 0.75, 0.9]), int(rng.random() < 0.1), int(rng.random() < 0.12), int(rng.random() < 0.1)) for v in range(4) for k in range(240)]
+    observed = spark.createDataFrame(rows, "video_id long, frame long, presence_conf double, face_conf double, proximity double, has_kchi int, has_cds int, has_ohs int")
+    truth = spark.createDataFrame([(v, s, rng.choice(["interacting", "available", "alone"])) for v in range(5) for s in range(85)], "video_id long, second long, gt string")
+    return observed, truth
+
+
+def test_search_equals_single_trials(spark, tmp_path):
+    """All trials at once give what each gives by itself, for gaps of either order; seconds without frames count against recall."""
+    observed, truth = _search_input(spark)
+    trials = [Params(), Params().but(turn_gap_sec=1.0, same_gap_sec=4.0, presence_sec=2.0), Params().but(long_memory_sec=2.0, anchor_face=0.6, sustained_sec=0.7, kcds_share=0.5), Params().but(rules=(2,), short_memory_sec=0.0, gate=0.5)]
+    got = {r["trial"]: r for r in analysis.search(observed, truth, trials).collect()}
+    names = {1: "interacting", 2: "available", 3: "alone"}
+    for k, p in enumerate(trials):
+        last = {}
+        for r in classify(observed, p).select("video_id", "frame", "state").orderBy("frame").collect():
+            last[r["video_id"], r["frame"] // 30] = names[r["state"]]
+        pairs = [(r["gt"], last.get((r["video_id"], r["second"]))) for r in truth.collect()]
+        f1 = []
+        for label in {g for g, _ in pairs}:
+            tp = sum(g == q == label for g, q in pairs)
+            f1.append(2 * tp / (sum(g == label for g, _ in pairs) + sum(q == label for _, q in pairs)))
+        assert got[k]["macro_f1"] == pytest.approx(sum(f1) / len(f1))
+    path = str(tmp_path)
+    analysis.resumable_search(observed, truth, trials[:2], path, every=2)
+    before = (tmp_path / "part=0/_SUCCESS").stat().st_mtime_ns
+    again = {r["trial"]: r for r in analysis.resumable_search(observed, truth, trials, path, every=2).collect()}
+    assert again.keys() == got.keys() and all(again[k]["macro_f1"] == pytest.approx(got[k]["macro_f1"]) for k in got)
+    assert (tmp_path / "part=0/_SUCCESS").stat().st_mtime_ns == before
+
+
+def test_search_plan_does_not_grow(spark, tmp_path):
+    """Twenty trials take the scans and exchanges of two."""
+    observed, truth = _search_input(spark)
+    observed.write.parquet(f"{tmp_path}/o")
+    observed = spark.read.parquet(f"{tmp_path}/o")
+    space = {"turn_gap_sec": [1.0, 4.0, 8.0], "presence_sec": [1.0, 2.0], "gate": [0.1, 0.2, 0.3], "short_memory_sec": [1.0, 2.0]}
+    counts = []
+    for n in (2, 20):
+        plan = analysis.search(observed, truth, [Params().but(**d) for d in analysis.draw(space, n, 3)])._jdf.queryExecution().executedPlan().toString()
+        counts.append((plan.count("Exchange "), plan.count("FileScan")))
+    assert counts[0] == counts[1] and counts[0][1] == 2
 
 
 def test_duration_splits(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kithline.params import Params
-from kithline.sources import files, sinks
+from kithline.sources import files, sinks, versions
 
 
 def put(tmp_path, name, text):
@@ -118,3 +118,29 @@ def test_records(spark, tmp_path):
     assert rows(sinks.metric_rows(df, "label", ["f1", "n"])) == [("x", "f1", 0.5), ("x", "n", 1.0)]
     sinks.mark_processed(spark.createDataFrame([("a",)], "name string"), str(tmp_path / "done"))
     assert rows(files.name_list(spark, str(tmp_path / "done"))) == [("a",)]
+
+
+def test_versioned_commits(spark, tmp_path):
+    """Commits replace whole keys, empty those that they cover without rows, and can't be seen before they are published."""
+    path, schema = str(tmp_path), "video_id long, v int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    now = lambda at=None: sorted(map(tuple, versions.read(spark, path, "video_id", at).collect()))
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, path, "video_id")
+    assert versions.replace(rows((1, 1), (1, 2), (2, 3), (None, 9)), path, "video_id") == 0
+    staged = versions.stage(rows((1, 7)), path, "video_id")  # stopped before its manifest
+    assert now() == [(1, 1), (1, 2), (2, 3)]
+    assert versions.replace(rows((3, 4), (2, 5)), path, "video_id", rows((1, 0), (2, 0)).select("video_id")) == 1
+    assert now() == [(2, 5), (3, 4)] and now(0) == [(1, 1), (1, 2), (2, 3)]
+    versions.replace(rows((3, 4), (2, 5)), path, "video_id")
+    assert now() == [(2, 5), (3, 4)]
+    (tmp_path / "manifests/3").mkdir()  # a manifest whose writing was stopped
+    assert versions.version(spark, path) == 2 and now() == [(2, 5), (3, 4)]
+    assert versions.publish(spark, path, "video_id", staged) == 4 and now() == [(1, 7), (2, 5), (3, 4)]
+    versions.replace(rows(), path, "video_id", rows((2, 0), (3, 0)).select("video_id"))
+    assert now() == [(1, 7)]
+    assert len(versions.vacuum(spark, path)) == 4 and now() == [(1, 7)]
+    versions.replace(rows(), path, "video_id", rows((1, 0)).select("video_id"))
+    assert now() == [] and versions.read(spark, path, "video_id").columns == ["video_id", "v"]
+    versions.vacuum(spark, path)
+    assert now() == []
