@@ -8,6 +8,7 @@ column of the input can never clash with a result column.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,24 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback["dir"]
 
 
-_scopes: list[list[str]] = []
+#: Of each thread of the driver its own.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What fresh_path() names within is deleted at the end."""
-    _scopes.append([])
+    paths: list[str] = []
+    before = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in paths:
             drop_path(spark, path)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/kithline/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return path
 
 

@@ -11,8 +11,9 @@ what is left is compared word for word.
 
 The documents are read twice (frequencies, then the join), however large the
 benchmark, and never shuffled. The benchmark's windows travel to the tasks in
-blocks of at most ``block_windows``, and a task holds one block at a time: it
-goes through all of them for each batch of documents. A window's items travel
+blocks of at most ``block_windows``, and a task holds one block and its counts at
+a time: it goes through all of them for each batch of documents, whose words
+it hashes once. A window's items travel
 beside it; one of very many items is shared by all its occurrences.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import RollingHash, ascii_lower, blocks, map_rows, struct, utf8, words_of
+from kithline.llm.common import RollingHash, ascii_lower, blocks, map_rows, scratch, struct, utf8, words_of, written
 
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -142,39 +143,48 @@ class _Held:
                 self.ready = {}
 
 
-def _frequencies(docs: DataFrame, text: str, shared: list, sizes: list[int]) -> list[np.ndarray]:
-    """In how many rows each of the blocks' shingles occurs, over all rows; partial counts within each task."""
+def _frequencies(docs: DataFrame, text: str, shared: list) -> DataFrame:
+    """block, key and n: in how many rows each of the blocks' shingles occurs, over all rows.
+
+    A task gives out its counts of a block before it takes up the next one: at
+    the end if there is but one, else for each batch.
+    """
+
+    def rows(i: int, own: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(own)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(own[some])], names=["block", "key", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = RollingHash(), _Held(shared)
-        total = [np.zeros(n, np.int64) for n in sizes]
+        hasher, held, last = RollingHash(), _Held(shared), None
         for batch in batches:
+            hashed = _hashed(hasher, batch.column(0), len(shared))
             for i, block, lookup in held.each():
-                for _, _, data, offsets in blocks(*utf8(batch.column(0))):
-                    words, _, _, ranges = _word_hashes(hasher, _LOWER[data], offsets)
+                total = last if last is not None else np.zeros(len(block.keys), np.int64)
+                for _, _, _, words, _, _, ranges in hashed:
                     for k in block.sizes:
                         at, key = lookup.find(_shingles(hasher, words, int(k)))
                         row = np.searchsorted(ranges, at, side="right") - 1
                         inside = at + k <= ranges[row + 1]
                         pairs = np.unique(row[inside] * len(block.keys) + key[inside])
-                        total[i] += np.bincount(pairs % len(block.keys), minlength=len(block.keys))
-        for i, own in enumerate(total):
-            some = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(own[some])], names=["block", "key", "n"])
-
-    counts = docs.select(F.col(text).cast("string")).mapInArrow(count, "block long, key long, n long").groupBy("block", "key").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()  # at most one row for each shingle of the benchmark
-    of, key, n = (found[c].to_numpy() for c in ("block", "key", "n"))
-    out = [np.zeros(size, np.int64) for size in sizes]
-    for i, own in enumerate(out):
-        own[key[of == i]] = n[of == i]
-    return out
+                        total += np.bincount(pairs % len(block.keys), minlength=len(block.keys))
+                if len(shared) == 1:
+                    last = total
+                else:
+                    yield rows(i, total)
+        if last is not None:
+            yield rows(0, last)
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(count, "block long, key long, n long").groupBy("block", "key").agg(F.sum("n").alias("n"))
+
+
+def _hashed(hasher: RollingHash, texts: pa.Array, n_blocks: int):
+    """First and end row, lower-cased bytes, word hashes, starts, ends and row ranges of runs of rows; kept for all of a batch if several blocks go over it."""
+    runs = ((lo, hi, _LOWER[data], *_word_hashes(hasher, _LOWER[data], offsets)) for lo, hi, data, offsets in blocks(*utf8(texts)))
+    return runs if n_blocks == 1 else [(lo, hi, data, words, starts.astype(np.int32), ends.astype(np.int32), ranges) for lo, hi, data, words, starts, ends, ranges in runs]
 
 
-def _matches(block: Block, lookup: _Lookup, hasher: RollingHash, data: np.ndarray, offsets: np.ndarray):
-    """Row, first word and window of every occurrence of a window, and the rows' ranges of words."""
-    data = _LOWER[data]
-    words, starts, ends, ranges = _word_hashes(hasher, data, offsets)
+def _matches(block: Block, lookup: _Lookup, hasher: RollingHash, data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranges: np.ndarray):
+    """Row, first word and window of every occurrence of a window."""
     rows, firsts, found = [], [], []
     for k in block.sizes:
         at, key = lookup.find(_shingles(hasher, words, int(k)))
@@ -192,20 +202,21 @@ def _matches(block: Block, lookup: _Lookup, hasher: RollingHash, data: np.ndarra
                 rows.append(r)
                 firsts.append(f)
                 found.append(w)
-    return np.array(rows, np.int64), np.array(firsts, np.int64), np.array(found, np.int64), ranges
+    return np.array(rows, np.int64), np.array(firsts, np.int64), np.array(found, np.int64)
 
 
 def _join(shared: list, text: str):
     """Hit words and items of each row, from all blocks."""
 
     def of(row: pa.StructArray) -> pa.StructArray:
-        hasher, texts = RollingHash(), utf8(row.field(text))
+        hasher = RollingHash()
+        hashed = _hashed(hasher, row.field(text), len(shared))
         n_words = np.zeros(len(row), np.int64)
         spans: list[list[list[int]]] = [[] for _ in range(len(row))]
         items: list[set[str]] = [set() for _ in range(len(row))]
         for _, block, lookup in _Held(shared).each():
-            for lo, hi, data, offsets in blocks(*texts):
-                rows, firsts, found, ranges = _matches(block, lookup, hasher, data, offsets)
+            for lo, hi, data, words, starts, ends, ranges in hashed:
+                rows, firsts, found = _matches(block, lookup, hasher, data, words, starts, ends, ranges)
                 n_words[lo:hi] = np.diff(ranges)
                 order = np.lexsort((firsts, rows))
                 rows, firsts, found = rows[order], firsts[order], found[order]
@@ -245,19 +256,22 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text",
     spark = docs.sparkSession
     windows = benchmark_windows(bench, item_id, item_text, window).persist()
     n_blocks = max(1, -(-windows.count() // block_windows))
-    made, shared = [], []
+    shared = []
     for i in range(n_blocks):
         part = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == i)
         block = Block([tuple(r) for r in part.collect()], shingle)  # bounded by block_windows, on average
-        made.append(len(block.keys))
         shared.append(spark.sparkContext.broadcast(block))
     chosen = []
-    for broadcast, frequency in zip(shared, _frequencies(docs, text, shared, made), strict=True):
-        block = broadcast.value
-        block.choose(frequency)
-        chosen.append(spark.sparkContext.broadcast(block))
-        broadcast.destroy()
-        del block
+    with scratch(spark):
+        counts = written(_frequencies(docs, text, shared), "shingle-counts")
+        for i, broadcast in enumerate(shared):
+            block, found = broadcast.value, counts.filter(F.col("block") == i).select("key", "n").toArrow()  # of one block
+            frequency = np.zeros(len(block.keys), np.int64)
+            frequency[found["key"].to_numpy()] = found["n"].to_numpy()
+            block.choose(frequency)
+            chosen.append(spark.sparkContext.broadcast(block))
+            broadcast.destroy()
+            del block
     windows.unpersist()
     return map_rows(docs.withColumn(text, F.col(text).cast("string")), _join(chosen, text), OUT, keep)
 

@@ -12,11 +12,13 @@ a bounded sample of labelled documents, drawn from each language.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from kithline.llm.common import blocks, crc_fold, map_rows, one_of_each, struct,
 
 WINDOW = 64
 HIDDEN = 8
-#: At most so many documents train the network, with all their windows.
-SAMPLE_ROWS = 2000
+#: At most so many documents train the network, each with at most so many windows, drawn from all of its text: 8 MB in all.
+SAMPLE_ROWS, TEXT_WINDOWS = 2000, 64
 #: A language is drawn from at so many times its part, so that its part is reached.
 DRAW = 1.5
 #: Windows that a task works on at once.
@@ -164,17 +166,29 @@ def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, languages:
     return model
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows (n, WINDOW) of the texts, their sizes and the text of each."""
-    counts = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
-    sizes, first = np.full(counts.sum(), WINDOW, np.int64), np.cumsum(counts) - counts
-    data = np.zeros((len(sizes), WINDOW), np.uint8)
-    flat = data.reshape(-1)
-    for t, n, k in zip(texts, counts.tolist(), first.tolist(), strict=True):
-        flat[k * WINDOW : k * WINDOW + len(t)] = np.frombuffer(t, np.uint8)
-        if n:
-            sizes[k + n - 1] = len(t) - (n - 1) * WINDOW
-    return data, sizes, np.repeat(np.arange(len(texts)), counts)
+def drawn_windows(text: bytes, most: int) -> list[bytes]:
+    """At most ``most`` of the text's windows of WINDOW bytes (the last may be shorter), in order; which ones depends on the text alone."""
+    n = -(-len(text) // WINDOW)
+    chosen = range(n) if n <= most else np.sort(np.random.default_rng(xxhash.xxh64_intdigest(text)).choice(n, most, replace=False)).tolist()
+    return [text[k * WINDOW : (k + 1) * WINDOW] for k in chosen]
+
+
+def _windowed(most: int):
+    """Batches (key, text, lang) as (key, place, window, lang)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, k, w) for i, text in enumerate(batch.column(1)) for k, w in enumerate(drawn_windows(text.as_py().encode(), most))]
+            row = pa.array([i for i, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([k for _, k, _ in found], pa.int32()), pa.array([w for _, _, w in found], pa.binary()), batch.column(2).take(row)], names=["key", "place", "window", "lang"])
+
+    return run
+
+
+def stacked(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as (n, WINDOW), filled up with zeros, and their sizes."""
+    sizes = np.array([len(w) for w in windows], np.int64)
+    return np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in windows), np.uint8).reshape(-1, WINDOW), sizes
 
 
 def parts(counts: dict[str, int], total: int) -> dict[str, int]:
@@ -186,18 +200,23 @@ def parts(counts: dict[str, int], total: int) -> dict[str, int]:
     return out
 
 
-def fit_languages(docs: DataFrame, *, lang: str = "lang", id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, held_out: int | None = 2, **options) -> LanguageModel:
+def fit_languages(docs: DataFrame, *, lang: str = "lang", id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, text_windows: int = TEXT_WINDOWS, held_out: int | None = 2, **options) -> LanguageModel:
     """A network from at most sample_rows documents with a language outside the held-out fold, chosen by a hash of their id.
 
-    Every language gives an equal part of the documents, or all it has. Only
-    texts and languages are learned from, texts with all their windows. Null
-    ids, texts and languages are left out; of rows that repeat an id one counts.
-    Without such rows the model knows no language.
+    Every language gives an equal part of the documents, or all it has; more
+    languages than sample_rows are refused. Only texts and languages are
+    learned from. Tasks cut the texts and draw at most text_windows windows of
+    each, from the whole of it, so the driver gets no more than sample_rows *
+    text_windows * WINDOW bytes however long the texts are, and training takes
+    steps in proportion. Null ids, texts and languages are left out; of rows
+    that repeat an id one counts. Without such rows the model knows no language.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("key is not null and lang is not null and text <> ''")
     if held_out is not None:
         rows = rows.filter(crc_fold("key") != held_out)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}  # a row for each language
+    if len(counts) > sample_rows:
+        raise ValueError(f"{len(counts)} languages can't be learned from {sample_rows} documents")
     wanted = [(name, n, min(1.0, (DRAW * n + 8) / counts[name])) for name, n in parts(counts, sample_rows).items()]
     quotas = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, n long, share double"))
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
@@ -212,11 +231,13 @@ def fit_languages(docs: DataFrame, *, lang: str = "lang", id_col: str = "doc_id"
             keys.append((r["key"], r["lang"]))
     chosen = docs.sparkSession.createDataFrame(keys[:sample_rows], f"key {rows.schema['key'].dataType.simpleString()}, lang string")
     # Of rows that repeat an id one counts, so these are at most sample_rows.
-    got = one_of_each(rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").select("key", "text"), chosen).select("text", "lang").toArrow()
+    texts = one_of_each(rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").select("key", "text"), chosen).select("key", "text", "lang")
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, place int, window binary, lang string"
+    got = texts.mapInArrow(_windowed(text_windows), schema).toArrow().sort_by([("key", "ascending"), ("place", "ascending")])  # tasks end in any order
     names = got["lang"].to_pylist()
     languages = sorted(set(names))
-    data, sizes, of = windows([t.encode() for t in got["text"].to_pylist()])
-    return train(data, sizes, np.array([languages.index(n) for n in names], np.int64)[of], languages, **options)
+    place = {name: k for k, name in enumerate(languages)}
+    return train(*stacked(got["window"].to_pylist()), np.array([place[n] for n in names], np.int64), languages, **options)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import RollingHash, blocks, map_rows, sample_labelled, struct, utf8, words_of, written
+from kithline.llm.common import RollingHash, blocks, map_rows, sample_labelled, scratch, struct, utf8, words_of, written
 
 #: At most so many labelled rows train the model; whole texts of each are used.
 SAMPLE_ROWS = 12_000
@@ -194,10 +194,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", gr
     and grade_by_markers makes grades of it. Without labelled rows the model
     gives every text the same low severity.
     """
-    sample = written(sample_labelled(docs, labels, label, rows=sample_rows, id_col=id_col, text=text, held_out=held_out), "toxicity-sample")
-    chosen = telling_slots(sample, bits, least_z)
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    rows = map_rows(sample, _counted(bits, shared), "slots binary, counts binary", ["label"]).select("out.*", "row.label").toArrow()
+    spark = docs.sparkSession
+    with scratch(spark):
+        sample = written(sample_labelled(docs, labels, label, rows=sample_rows, id_col=id_col, text=text, held_out=held_out), "toxicity-sample")
+        shared = spark.sparkContext.broadcast(telling_slots(sample, bits, least_z))
+        rows = map_rows(sample, _counted(bits, shared), "slots binary, counts binary", ["label"]).select("out.*", "row.label").toArrow()
     slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
     counts = [np.frombuffer(x, np.int32) for x in rows["counts"].to_pylist()]
     y = np.array(rows["label"].to_pylist(), np.int64)

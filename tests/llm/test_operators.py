@@ -874,3 +874,53 @@ def test_batches_are_bounded_in_bytes(spark):
     df = spark.range(10).coalesce(1).select("id", F.repeat(F.lit("x"), 20_000_000).alias("text"))
     sizes = map_rows(df, lambda row: struct(n=pa.array([len(row)] * len(row), pa.int64())), "n long", ["id"]).select("out.n").collect()
     assert max(r["n"] for r in sizes) <= 5
+
+
+def test_language_windows_are_bounded(spark):
+    """Windows come from all of a long text, at most so many, and the same ones each time; more languages than rows are refused."""
+    text = b"".join(f"{k:>63} ".encode() for k in range(5000))
+    got = lang_id.drawn_windows(text, 64)
+    assert len(got) == 64 and got == lang_id.drawn_windows(text, 64) and {len(w) for w in got} == {64}
+    places = [int(w) for w in got]
+    assert places == sorted(set(places)) and places[0] < 1000 and places[-1] > 4000
+    assert lang_id.drawn_windows(b"a" * 130, 64) == [b"a" * 64, b"a" * 64, b"aa"] and lang_id.drawn_windows(b"", 64) == []
+    data, sizes = lang_id.stacked([b"ab", b"c" * 64])
+    assert data.shape == (2, 64) and sizes.tolist() == [2, 64] and data[0, :3].tolist() == [97, 98, 0]
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(8)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.fit_languages(docs, sample_rows=3, held_out=None)
+
+
+def test_scratch_of_threads(spark):
+    """What one thread names is not deleted by the end of another's scratch()."""
+    from threading import Barrier, Thread
+
+    from kithline.llm.common import scratch, written
+
+    both, seen = Barrier(2, timeout=60), {}
+
+    def ends():
+        with scratch(spark):
+            written(spark.range(3), "ends")
+            both.wait()
+
+    def reads():
+        with scratch(spark):
+            df = written(spark.range(5), "reads")
+            both.wait()
+            other.join()
+            seen["n"] = df.count()
+
+    other, own = Thread(target=ends), Thread(target=reads)
+    other.start()
+    own.start()
+    own.join()
+    assert seen == {"n": 5}
+
+
+def test_block_counts(spark, odd):
+    """Shingle counts of many blocks are those of one, and a task's counts are one block's at a time."""
+    docs = odd.select("doc_id", "text")
+    bench = spark.createDataFrame([(k, f"one two three four five w{k}x{k % 13} w{k + 1}x{(k + 1) % 13}") for k in range(40)], "item_id long, text string")
+    one, many = ({(tuple(r["row"]), tuple(r["out"]["items"]), r["out"]["n_hit"]) for r in contamination.find_contamination(docs, bench, window=3, shingle=2, block_windows=n).collect()} for n in (1000, 7))
+    assert one == many and any(items for _, items, _ in one)
