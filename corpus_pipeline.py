@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithline.llm import decontaminate, packing, quality_model, simhash, toxicity
-from kithline.llm.common import fresh_path, scratch, table, written
+from kithline.llm.common import drop_path, fresh_path, scratch, table, written
 from kithline.llm.queries import tokenizer_path
 
 #: A document that the classifier rejects (op7's predicted = 0) goes.
@@ -58,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again before the next; what a stage wrote besides goes once its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written and read again before the next; a stage's result goes once that of the next is written, and what it wrote besides goes with it."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = fresh_path(spark, f"stage{k}")
         with scratch(spark):
             docs = written(stage(spark, docs, sf_dir), "", path)
+        if last:
+            drop_path(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
