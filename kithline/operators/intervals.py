@@ -2,28 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.params import Params
 
 
+def _level(span: tuple[str, str], unit: float) -> Column:
+    """The level of a span: cells of unit * 2 ** level are no shorter than it."""
+    length = (F.col(f"`{span[1]}`") - F.col(f"`{span[0]}`")) / unit
+    return F.greatest(F.ceil(F.log2(F.greatest(length, F.lit(1.0)))), F.lit(0)).cast("int")
+
+
+def _cells(levels: Column, span: tuple[str, str], unit: float) -> Column:
+    """(level, cell) of the cells that a span touches on each of levels, two or so on each that is no lower than its own."""
+    lo, hi = F.col(f"`{span[0]}`"), F.col(f"`{span[1]}`")
+
+    def of(level: Column) -> Column:
+        width = F.pow(F.lit(2.0), level) * unit
+        return F.transform(F.sequence(F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long")), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+    return F.flatten(F.transform(levels, of))
+
+
+def filed(df: DataFrame, span: tuple[str, str], other_levels: DataFrame, unit: float) -> DataFrame:
+    """df with ``_own`` (its level), ``_level`` and ``_cell``: a row for each cell of its own level and of those of other_levels (one row: ``levels``) above it that it touches.
+
+    However long a span is, that is two or so for each level, of which there
+    are as many as doublings from the shortest to the longest span. Spans that
+    end before they start, or have a null end, are left out.
+    """
+    own = df.filter(F.col(f"`{span[1]}`") >= F.col(f"`{span[0]}`")).withColumn("_own", _level(span, unit))
+    above = own.crossJoin(F.broadcast(other_levels)).withColumn("levels", F.concat(F.array("_own"), F.filter("levels", lambda x: x > F.col("_own"))))  # one row
+    return above.withColumn("_at", F.explode(_cells(F.col("levels"), span, unit))).select(*df.columns, "_own", F.col("_at.level").alias("_level"), F.col("_at.cell").alias("_cell"))
+
+
+def _levels(df: DataFrame, span: tuple[str, str], unit: float) -> DataFrame:
+    """One row: the levels that occur, a few dozen at most."""
+    return df.filter(F.col(f"`{span[1]}`") >= F.col(f"`{span[0]}`")).agg(F.collect_set(_level(span, unit)).alias("levels"))
+
+
 def overlap_join(a: DataFrame, b: DataFrame, key: str, bin_width: float, *, a_span: tuple[str, str] = ("start", "end"), b_span: tuple[str, str] = ("start", "end")) -> DataFrame:
     """Pairs of rows of a and b (suffix _b) of one key whose spans overlap by more than a point.
 
-    Both sides are spread over time bins and joined on (key, bin), so one long
-    video does not become one task of all its pairs; a pair that shares several
-    bins is kept where the later of the two starts lies.
+    A span is filed under the cells it touches on a level whose cells are at
+    least as long as it, which double from bin_width on, and under those of
+    the other side's higher levels. A pair meets on the longer one's level by
+    equality of (key, level, cell), so neither a long video nor a long span
+    becomes one task or very many rows; a pair that shares two cells is kept
+    where the later of the two starts lies.
     """
-    def bins(df: DataFrame, span: tuple[str, str]) -> DataFrame:
-        lo, hi = F.floor(F.col(f"`{span[0]}`") / bin_width), F.floor(F.col(f"`{span[1]}`") / bin_width)
-        return df.filter(F.col(f"`{span[1]}`") >= F.col(f"`{span[0]}`")).withColumn("bin", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-
-    left = bins(a, a_span)
-    right = bins(b.select(*[F.col(f"`{c}`").alias(c if c == key else f"{c}_b") for c in b.columns]), (f"{b_span[0]}_b", f"{b_span[1]}_b"))
-    sa, ea, sb, eb = F.col(f"`{a_span[0]}`"), F.col(f"`{a_span[1]}`"), F.col(f"{b_span[0]}_b"), F.col(f"{b_span[1]}_b")
-    found = left.join(right, [key, "bin"]).filter((sa < eb) & (ea > sb))
-    return found.filter(F.col("bin") == F.floor(F.greatest(sa, sb) / bin_width)).drop("bin")
+    renamed = b.select(*[F.col(f"`{c}`").alias(c if c == key else f"{c}_b") for c in b.columns])
+    span_b = (f"{b_span[0]}_b", f"{b_span[1]}_b")
+    left = filed(a, a_span, _levels(renamed, span_b, bin_width), bin_width)
+    right = filed(renamed, span_b, _levels(a, a_span, bin_width), bin_width).withColumnRenamed("_own", "_own_b")
+    sa, ea, sb, eb = F.col(f"`{a_span[0]}`"), F.col(f"`{a_span[1]}`"), F.col(span_b[0]), F.col(span_b[1])
+    found = left.join(right, [key, "_level", "_cell"]).filter((sa < eb) & (ea > sb) & (F.col("_level") == F.greatest("_own", "_own_b")))
+    width = F.pow(F.lit(2.0), F.col("_level")) * bin_width
+    return found.filter(F.col("_cell") == F.floor(F.greatest(sa, sb) / width)).drop("_level", "_cell", "_own", "_own_b")
 
 
 def merge_overlaps(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end", keep: list[str] | None = None) -> DataFrame:

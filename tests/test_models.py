@@ -73,3 +73,18 @@ def test_change_points_are_optimal(seed):
 def test_short_signals():
     assert changepoint.change_points(np.zeros(0), 1.0) == []
     assert changepoint.change_points(np.zeros(1), 1.0) == [1]
+
+
+def test_long_spans_are_filed_in_few_cells(spark):
+    """A span of a million seconds beside short ones: some dozens of rows, and the same pairs as without cells."""
+    rng = random.Random(8)
+    a = [(1, 0.0, 1e6), (1, 500_000.0, 500_000.5), (2, 3.0, 70_000.0)] + [(v, s, s + rng.choice([0.0, 0.1, 1.0, 33.0, 900.0])) for v in (1, 2, 3) for s in (rng.uniform(-50, 2e5) for _ in range(60))]
+    b = [(v, s, s + rng.choice([0.0, 0.5, 64.0, 5_000.0])) for v in (1, 2, 4) for s in (rng.uniform(-50, 2e5) for _ in range(60))] + [(1, 5.0, 1.0), (1, None, 2.0)]
+    schema = "video_id long, start double, end double"
+    da, db = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    got = sorted(tuple(r[c] for c in ("video_id", "start", "end", "start_b", "end_b")) for r in intervals.overlap_join(da, db, "video_id", 1.0).collect())
+    want = sorted((v, s, e, t, f) for v, s, e in a for w, t, f in b if v == w and t is not None and f >= t and s < f and e > t)
+    assert got == want and len(want) > 100
+    spans = ("start", "end")
+    filed = intervals.filed(da, spans, intervals._levels(db, spans, 1.0), 1.0)
+    assert filed.filter("end = 1e6").count() < 50 and filed.groupBy("video_id", "start", "end").count().agg({"count": "max"}).first()[0] < 50
