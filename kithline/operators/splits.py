@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
@@ -44,40 +44,69 @@ def split_sizes(n: int, ratio: float, least: int) -> dict[str, int]:
     return {"train": train, "val": val, "test": test}
 
 
-def greedy_split(groups: DataFrame, key: str, first_class: str, other_class: str, positives: str, total: str, *, ratio: float = 0.6, least: int = 2, class_weight: float = 0.3, coverage_weight: float = 0.7, by_hash: int | None = None) -> DataFrame:
-    """key and split, assigned one group after another to the open split that stays closest to the overall class ratio and to half coverage.
+def assign_equal(vectors: list[tuple[tuple[int, int, int, int], int]], *, ratio: float, least: int, class_weight: float, coverage_weight: float) -> list[dict[str, int]]:
+    """How many groups of each vector (first class, other class, positives, total; how often it occurs) go to each split, in the order given.
 
-    groups is an aggregate with one row for each group (a person), so it is
-    small; the assignment is a sequence by nature and runs on the driver. By
-    default groups with most positives come first; by_hash: in hash order of
-    that seed and by class ratio alone. Under 3 * least groups: no rows.
+    One group after another goes to the open split that it brings closest to
+    the overall share of the first class and to half coverage; of equally close
+    ones to the first. Without a coverage_weight, by class alone. Under 3 *
+    least groups: none anywhere.
     """
-    spark: SparkSession = groups.sparkSession
-    order = [hash_order(key, by_hash), F.col(key)] if by_hash is not None else [F.desc(positives), F.col(key)]
-    rows = groups.select(key, first_class, other_class, positives, total).orderBy(*order).collect()
-    schema = f"{key} {groups.schema[key].dataType.simpleString()}, split string"
-    if len(rows) < 3 * least:
-        return spark.createDataFrame([], schema)
-    wanted = split_sizes(len(rows), ratio, least)
-    all_first, all_other = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    n = sum(times for _, times in vectors)
+    out = [dict.fromkeys(SPLITS, 0) for _ in vectors]
+    if n < 3 * least:
+        return out
+    wanted = split_sizes(n, ratio, least)
+    all_first, all_other = (sum(v[k] * times for v, times in vectors) for k in (0, 1))
     target = all_first / (all_first + all_other) if all_first + all_other else 0
-    sums = {s: [0, 0, 0, 0, 0] for s in SPLITS}  # groups, first, other, positives, total
+    sums = {s: [0, 0, 0, 0] for s in SPLITS}
 
-    def distance(s: str, r) -> float:
-        _, a, b, pos, tot = (x + y for x, y in zip(sums[s], (1, *r[1:]), strict=True))
+    def distance(s: str, v: tuple[int, int, int, int]) -> float:
+        a, b, pos, tot = (x + y for x, y in zip(sums[s], v, strict=True))
         by_class = abs(a / (a + b) - target) if a + b else 0
-        if by_hash is not None:
-            return by_class
         return class_weight * by_class + coverage_weight * (abs(pos / tot - 0.5) if tot else 0)
 
-    out = []
-    for r in rows:
-        open_splits = [s for s in SPLITS if sums[s][0] < wanted[s]]
-        if open_splits:
-            best = min(open_splits, key=lambda s: distance(s, r))
-            sums[best] = [x + y for x, y in zip(sums[best], (1, *r[1:]), strict=True)]
-            out.append((r[0], best))
-    return spark.createDataFrame(out, schema)
+    open_splits = [s for s in SPLITS if wanted[s] > 0]
+    for (v, times), own in zip(vectors, out, strict=True):
+        for _ in range(times):
+            if not open_splits:
+                return out
+            best = min(open_splits, key=lambda s: distance(s, v)) if len(open_splits) > 1 else open_splits[0]
+            sums[best] = [x + y for x, y in zip(sums[best], v, strict=True)]
+            own[best] += 1
+            wanted[best] -= 1
+            if not wanted[best]:
+                open_splits.remove(best)
+    return out
+
+
+def greedy_split(groups: DataFrame, key: str, first_class: str, other_class: str, positives: str, total: str, *, ratio: float = 0.6, least: int = 2, class_weight: float = 0.3, coverage_weight: float = 0.7, by_hash: int | None = None) -> DataFrame:
+    """key and split, assigned one group after another to the open split that stays closest to the overall class ratio and to half coverage.
+
+    Groups (a person each) with equal numbers can stand for one another, so
+    the driver sees each distinct vector of numbers and how often it occurs,
+    and finds how many of its groups go to each split; which of them, their
+    hash order says (train first, then val), found by counts of 256 hash
+    parts, so no task orders all. By default vectors with most positives come
+    first, then by their other numbers; by_hash: in hash order of that seed and by
+    class ratio alone. Nulls count as 0. Under 3 * least groups: no rows.
+    """
+    numbers = [first_class, other_class, positives, total]
+    rows = groups.select(key, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"_{k}") for k, c in enumerate(numbers)])
+    vector = ["_0", "_1", "_2", "_3"]
+    order = [F.xxhash64(*vector, F.lit(by_hash)), *vector] if by_hash is not None else [F.desc("_2"), "_0", "_1", "_3"]
+    counts = rows.groupBy(*vector).agg(F.count("*").alias("_times")).orderBy(*order).collect()  # a row for each distinct vector
+    weights = (1.0, 0.0) if by_hash is not None else (class_weight, coverage_weight)
+    quotas = assign_equal([((r[0], r[1], r[2], r[3]), r[4]) for r in counts], ratio=ratio, least=least, class_weight=weights[0], coverage_weight=weights[1])
+    dealt = groups.sparkSession.createDataFrame([(*r[:4], *q.values()) for r, q in zip(counts, quotas, strict=True)], ", ".join(f"{c} long" for c in (*vector, *SPLITS)))
+    h = hash_order(key, by_hash or 0)
+    parted = rows.withColumns({"_h": h, "_p": F.shiftright(h, 56)})
+    parts = parted.groupBy(*vector, "_p").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*vector).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").join(dealt, vector)
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*vector, "_p").orderBy("_h", key))
+    split = F.when(place <= F.col("train"), "train").when(place <= F.col("train") + F.col("val"), "val").when(place <= F.col("train") + F.col("val") + F.col("test"), "test")
+    return parted.join(before, [*vector, "_p"]).withColumn("split", split).filter("split is not null").select(key, "split")
 
 
 def fixed_split(rows: DataFrame, key: str, splits: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +243,45 @@ def test_configurations_differ():
     assert len({tuple(d.items()) for d in many}) == 20 and many == analysis.draw({f"p{k}": [0, 1, 2] for k in range(26)}, 20, 1)
 
 
+def plain_greedy(vectors, ratio, least, class_weight, coverage_weight):
+    """One group after another, as the rule is stated."""
+    n = len(vectors)
+    if n < 3 * least:
+        return [None] * n
+    wanted, held = splits.split_sizes(n, ratio, least), {s: [] for s in splits.SPLITS}
+    first, other = sum(v[0] for v in vectors), sum(v[1] for v in vectors)
+    target, out = first / (first + other) if first + other else 0, []
+    for v in vectors:
+        best = None
+        for s in splits.SPLITS:
+            if len(held[s]) < wanted[s]:
+                a, b, pos, tot = (sum(x) for x in zip(*held[s], v, strict=True))
+                d = class_weight * (abs(a / (a + b) - target) if a + b else 0) + coverage_weight * (abs(pos / tot - 0.5) if tot else 0)
+                if best is None or d < best[0]:
+                    best = (d, s)
+        held[best[1]].append(v)
+        out.append(best[1])
+    return out
+
+
+@pytest.mark.parametrize("by_hash", [None, 42])
+def test_greedy_split_equals_the_plain_one(spark, by_hash):
+    """Random groups, many of them equal: as many of each vector in each split as one after another gives."""
+    for seed, n in ((1, 5), (2, 6), (3, 40), (4, 90)):
+        rng = random.Random(seed)
+        rows = [(f"p{k}", *(v := (rng.randrange(3), rng.randrange(3), rng.randrange(3))), v[2] + rng.randrange(3)) for k in range(n)]
+        df = spark.createDataFrame(rows, "id string, a int, b int, pos int, tot int").repartition(3)
+        got = {r["id"]: r["split"] for r in splits.greedy_split(df, "id", "a", "b", "pos", "tot", by_hash=by_hash).collect()}
+        order = [tuple(r) for r in df.select("a", "b", "pos", "tot").orderBy(F.xxhash64(*[F.col(c).cast("long") for c in ("a", "b", "pos", "tot")], F.lit(42)) if by_hash else F.desc("pos"), "a", "b", *(["pos"] if by_hash else []), "tot").collect()]
+        want = Counter(zip(order, plain_greedy(order, 0.6, 2, *((1.0, 0.0) if by_hash else (0.3, 0.7))), strict=True))
+        if n < 6:
+            assert got == {}
+            continue
+        assert Counter(((r[1], r[2], r[3], r[4]), got[r[0]]) for r in rows) == want
+        again = splits.greedy_split(df.repartition(7), "id", "a", "b", "pos", "tot", by_hash=by_hash)
+        assert {r["id"]: r["split"] for r in again.collect()} == got
+
+
 def _search_input(spark):
     rng = random.Random(5)
     rows = [(v, 10 * k, rng.choice([0.0, 0.3, 0.45, 0.9]), rng.choice([0.0, 0.55, 0.7]), rng.choice([None, 0.45, 0.75, 0.9]), int(rng.random() < 0.1), int(rng.random() < 0.12), int(rng.random() < 0.1)) for v in range(4) for k in range(240)]
