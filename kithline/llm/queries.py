@@ -159,4 +159,25 @@ c AS (SELECT r, least(r, coalesce((SELECT min(y) FROM reach WHERE reach.x = one.
 low AS (SELECT root, min(d.doc_id) AS component_id FROM d JOIN s USING (r) JOIN c USING (content) GROUP BY 1)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, CASE WHEN s.n > 0 THEN component_id ELSE d.doc_id END AS component_id FROM d LEFT JOIN s USING (r) LEFT JOIN c USING (content) LEFT JOIN low USING (root)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op5_quality_rules": _OP5, "op8_chat_format": _OP8, "op11_lexical_search": _OP11, "op13_ngram_join": _OP13}
+_OP12 = r"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda k, i: xor(k >> 1, 3988292384::BIGINT * (k & 1))))) % 20 AS kind FROM conversations),
+r AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM r),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+st(q, ins, nq) AS (VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+kp(q, i, nq) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+best AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM f
+    UNION ALL SELECT conv_id, n, q, cost, audit, lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, n, q ORDER BY cost, audit) AS place FROM (
+        SELECT m.conv_id, m.n, e.nq AS q, m.cost + e.cost AS cost, m.audit || e.letter AS audit, list_concat(m.lines, e.lines) AS lines
+        FROM (SELECT b.conv_id, f.n, f.role, f.text, f.fault, f.i, x.q, b.cost + x.cost AS cost, b.audit || x.letter AS audit, list_concat(b.lines, x.lines) AS lines
+            FROM best b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.n = b.n + 1, LATERAL (SELECT b.q AS q, 0 AS cost, '' AS letter, []::VARCHAR[] AS lines UNION ALL SELECT st.nq, 3, 'I', [CASE st.ins WHEN 'u' THEN 'user:' ELSE 'assistant:' END] FROM st WHERE st.q = b.q) x) m,
+        LATERAL (SELECT m.q AS nq, 4 AS cost, 'D' AS letter, []::VARCHAR[] AS lines
+            UNION ALL SELECT kp.nq, CASE WHEN m.fault = 'truncated' THEN 3 ELSE 0 END, 'K', [m.role || ':' || m.text] FROM kp WHERE kp.q = m.q AND kp.i = m.i AND m.fault NOT IN ('blank', 'duplicate')
+            UNION ALL SELECT st.nq, CASE WHEN m.fault = 'truncated' THEN 6 ELSE 3 END, 'R', [CASE st.ins WHEN 'u' THEN 'user:' ELSE 'assistant:' END || m.text] FROM st WHERE st.q = m.q AND m.fault NOT IN ('blank', 'duplicate')) e)) WHERE place = 1),
+c AS (SELECT conv_id, max(n) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+e AS (SELECT b.conv_id, b.cost + x.cost AS cost, b.audit || x.letter AS audit, list_concat(b.lines, x.lines) AS lines FROM best b JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.last = b.n JOIN (VALUES (0, 0, '', []::VARCHAR[]), (3, 0, '', []), (2, 3, 'I', ['assistant:']), (1, 6, 'II', ['user:', 'assistant:'])) x(q, cost, letter, lines) ON x.q = b.q),
+w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op5_quality_rules": _OP5, "op8_chat_format": _OP8, "op11_lexical_search": _OP11, "op12_conversation_repair": _OP12, "op13_ngram_join": _OP13}

@@ -61,10 +61,26 @@ def test_stages_on_empty_and_wide_tables(spark, tmp_path):
         assert k == 4 or got.columns == wide.columns
 
 
+def test_run_leaves_one_stage(spark, monkeypatch):
+    """Of what the stages write only the last one's input stays."""
+    from pathlib import Path
+
+    from kithline.llm.common import shared_dir
+
+    same = lambda s, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), same) for k in range(5)])
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "kithline"
+    stages = lambda: {p.name for p in folder.glob("stage*")}
+    before = stages()
+    got = corpus_pipeline.run(spark, SF)
+    assert {name.split("-")[0] for name in stages() - before} == {"stage3"}
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1

@@ -30,10 +30,10 @@ def odd(spark):
     return spark.createDataFrame(rows, WIDE)
 
 
-@pytest.mark.parametrize("name", ["op11_lexical_search", "op13_ngram_join"])
+@pytest.mark.parametrize("name", ["op11_lexical_search", "op12_conversation_repair", "op13_ngram_join"])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
