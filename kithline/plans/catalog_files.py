@@ -278,10 +278,13 @@ def replaced_videos(spark, sf_dir):
     return versions.read(spark, path, "video_id").select("video_id", "frame", "has_kchi")
 
 
-@register("SELECT 'r1' AS run_id, 30 AS fps, 0.8::DOUBLE AS proximity")
+@register("SELECT l_linestatus || l_returnflag AS run_id, CAST(max(l_linenumber) AS INTEGER) AS fps, round(avg(l_discount), 6) AS proximity FROM lineitem GROUP BY ALL")
 def run_records(spark, sf_dir):
-    path = fresh_path(spark, "runs")
-    sinks.append(sinks.run_record(spark, "r1", Params()), path)
+    """A run for each status and flag of the line items, with parameters that their figures give."""
+    path, li = fresh_path(spark, "runs"), A.read(spark, sf_dir, "lineitem")
+    runs = li.groupBy(F.concat("l_linestatus", "l_returnflag").alias("run_id")).agg(F.max("l_linenumber").cast("int").alias("fps"), F.round(F.avg("l_discount"), 6).alias("proximity"))
+    for r in runs.collect():  # a row for each pair of codes
+        sinks.append(sinks.run_record(spark, r["run_id"], Params().but(fps=r["fps"], proximity=float(r["proximity"]))), path)
     return spark.read.parquet(path).select("run_id", F.get_json_object("params", "$.fps").cast("int").alias("fps"), F.get_json_object("params", "$.proximity").cast("double").alias("proximity"))
 
 

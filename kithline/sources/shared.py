@@ -9,14 +9,17 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder where that is unset (as in tests on one machine)."""
+    """A new path under spark.checkpoint.dir, or under a temporary folder where that is unset on one machine, as in tests; a cluster must set it."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = _fallback.setdefault("dir", "") or _fallback.update(dir=tempfile.mkdtemp(prefix="kithline-")) or _fallback["dir"]
     return f"{known.rstrip('/')}/kithline/{name}-{uuid.uuid4().hex}"
 
@@ -39,8 +42,8 @@ def write_files(files: DataFrame, path: str, suffix: str = "") -> int:
 
     file_name may hold folders. Tasks write under a name of their own and
     rename, so a repeated task replaces a file by an equal one. Rows without a
-    name are left out; null content is an empty file; of rows of one name any
-    one stays.
+    name are left out; null content is an empty file; of rows of one name that
+    with the least content (null: none of it) counts.
     """
     spark = files.sparkSession
     root = qualified(spark, path)
@@ -63,5 +66,6 @@ def write_files(files: DataFrame, path: str, suffix: str = "") -> int:
                 fs.move(own, target)
             yield pd.DataFrame({"n": [len(batch)]})
 
-    rows = files.filter("file_name is not null").select("file_name", "content").mapInPandas(put, "n long")
+    named = files.filter("file_name is not null").groupBy("file_name").agg(F.min(F.coalesce("content", F.lit(""))).alias("content"))
+    rows = named.mapInPandas(put, "n long")
     return rows.groupBy().sum("n").first()[0] or 0

@@ -13,13 +13,13 @@ from kithline.sources.shared import write_files
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """existing with rows of incoming in place of those of equal key; of incoming rows of one key the last by ``order`` counts.
+    """existing with rows of incoming in place of those of equal key; of incoming rows of one key the last by ``order`` counts, of equally late ones that whose columns have the greatest hash.
 
     Incoming rows without a key are left out; existing ones stay.
     """
     keyless = existing.filter(F.col(key).isNull())
     ranked = existing.select("*", F.lit(0).alias("_new")).unionByName(incoming.select("*", F.lit(1).alias("_new")), allowMissingColumns=True).filter(F.col(key).isNotNull())
-    last = [F.desc("_new"), *([F.desc(order)] if order else [])]
+    last = [F.desc("_new"), *([F.desc(order)] if order else []), F.xxhash64(*[F.col(f"`{c}`") for c in incoming.columns]).desc()]
     return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*last))).filter("_n = 1").drop("_n", "_new").unionByName(keyless, allowMissingColumns=True)
 
 
