@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = tempfile.mkdtemp(prefix="kithline-")
