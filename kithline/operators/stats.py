@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithline.sources.shared import written
 
 COARSE, FINE = 16, 16  # a group's values lie in up to COARSE * FINE ranges
 
@@ -16,14 +17,15 @@ def _range(value: str) -> Column:
     return coarse + below(F.slice("cuts", coarse + 1, FINE - 1))
 
 
-def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """Ranks within keys, ties averaged, from the counts of distinct values alone; rows with a null key or value are left out.
+def average_rank(n: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """keys, value and its rank within keys, ties averaged, from a row for each distinct value and how often it occurs (``n``); null keys or values have none.
 
-    A group's values are dealt to ranges by approximate quantiles, ranges are
-    summed before each other, and values are ordered within their range only,
-    so no task orders a whole group. Ranks are exact wherever the cuts lie.
+    However often a value occurs it is one row here. A group's values are
+    dealt to ranges by approximate quantiles, ranges are summed before each
+    other, and values are ordered within their range only, so no task orders a
+    whole group. Ranks are exact wherever the cuts lie. n is read three times:
+    pass a written table.
     """
-    n = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     shares = [k / (COARSE * FINE) for k in range(1, COARSE * FINE)]
     cuts = n.groupBy(*keys).agg(F.percentile_approx(value, shares, 10 * COARSE * FINE).alias("cuts")).withColumn("coarse", F.array(*[F.get("cuts", k * FINE - 1) for k in range(1, COARSE)]))
     ranged = n.join(cuts, keys).withColumn("range", _range(value)).drop("cuts", "coarse")
@@ -41,10 +43,18 @@ def correlation(a: str, b: str):
 
 
 def series_agreement(df: DataFrame, truth: str, estimate: str, group: str) -> DataFrame:
-    """group ("all" for all rows), n, pearson, spearman, mae, rmse, r2, bias of two series, by group and overall."""
+    """group ("all" for all rows), n, pearson, spearman, mae, rmse, r2, bias of two series, by group and overall.
+
+    Both series are ranked together: counts of the distinct (group, series,
+    value) are written once, and ranks made from them are written and joined.
+    """
     rows = df.filter(F.col(truth).isNotNull() & F.col(estimate).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(truth).cast("double").alias("t"), F.col(estimate).cast("double").alias("e"))
     both = rows.withColumn("group", F.explode(F.array(F.lit("all"), "g"))).drop("g").filter("group is not null")
-    ranked = both.join(average_rank(both, "t", ["group"], "rt"), ["group", "t"]).join(average_rank(both, "e", ["group"], "re"), ["group", "e"])
+    series = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("value")) for c in ("t", "e")])
+    values = both.select("group", F.explode(series).alias("s")).groupBy("group", "s.series", "s.value").agg(F.count("*").alias("n"))
+    ranks = written(average_rank(written(values, "series-values"), "value", ["group", "series"], "rank"), "series-ranks")
+    of = {c: ranks.filter(F.col("series") == c).select("group", F.col("value").alias(c), F.col("rank").alias(f"r{c}")) for c in ("t", "e")}
+    ranked = both.join(of["t"], ["group", "t"]).join(of["e"], ["group", "e"])
     error = F.col("e") - F.col("t")
     return ranked.groupBy("group").agg(
         F.count("*").alias("n"),

@@ -358,7 +358,7 @@ def test_ranks_over_ranges(spark):
     import pandas as pd
 
     pdf = pd.DataFrame({"g": ["a" if k % 3 else "b" for k in range(3000)], "x": [float(k * 7919 % 1301) ** 1.5 for k in range(3000)]})
-    got = stats.average_rank(spark.createDataFrame(pdf), "x", ["g"], "r").toPandas()
+    got = stats.average_rank(spark.createDataFrame(pdf).filter("g is not null and x is not null").groupBy("g", "x").agg(F.count("*").alias("n")), "x", ["g"], "r").toPandas()
     want = pdf.assign(r=pdf.groupby("g")["x"].rank()).drop_duplicates()
     both = want.merge(got, on=["g", "x"])
     assert len(both) == len(want) == len(got) and (both["r_x"] == both["r_y"]).all()
@@ -374,3 +374,15 @@ def test_ranks_of_ties(spark):
 def test_unknown_parameter():
     with pytest.raises(ValueError, match="no such"):
         P.but(nonsense=1)
+
+
+def test_series_agreement_plan(spark, tmp_path):
+    """One scan of the table and few exchanges; a value that most rows have is one row where ranks are made."""
+    spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id") % 97).alias("t"), (F.col("id") % 31).cast("double").alias("e"), (F.col("id") % 3).cast("string").alias("g")).write.parquet(f"{tmp_path}/s")
+    found = stats.series_agreement(spark.read.parquet(f"{tmp_path}/s"), "t", "e", "g")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") < 8 and plan.count(f"{tmp_path}/s") <= 1
+    pdf = spark.read.parquet(f"{tmp_path}/s").toPandas()
+    got = {r["group"]: r["spearman"] for r in found.collect()}
+    for g, own in [("all", pdf), *pdf.groupby("g")]:
+        assert got[g] == pytest.approx(own["t"].rank().corr(own["e"].rank()))
