@@ -132,13 +132,13 @@ class LanguageModel:
         return total / np.maximum(n, 1)[:, None]
 
 
-def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, languages: list[str], *, hidden: int = HIDDEN, epochs: int = 3, batch: int = 256, least_steps: int = 300, rate: float = 0.01, seed: int = 3) -> LanguageModel:
-    """Fits the network to windows (n, WINDOW) of ``sizes`` bytes each, by backpropagation through time and Adam."""
+def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, languages: list[str], *, hidden: int = HIDDEN, epochs: int = 3, batch: int = 256, least_steps: int = 300, most_steps: int = 700, rate: float = 0.01, seed: int = 3) -> LanguageModel:
+    """Fits the network to windows (n, WINDOW) of ``sizes`` bytes each, by backpropagation through time and Adam, in least_steps to most_steps steps."""
     rng = np.random.default_rng(seed)
     model = LanguageModel(languages, Layer.new(hidden, rng), Layer.new(hidden, rng), rng.normal(0, 0.3, (len(languages), 2 * hidden)).astype(np.float32), np.zeros(len(languages), np.float32), hidden)
     if not len(windows):
         return model
-    steps = max(least_steps, epochs * -(-len(windows) // batch))
+    steps = min(most_steps, max(least_steps, epochs * -(-len(windows) // batch)))
     moments: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for i in range(1, steps + 1):
         own = rng.integers(0, len(windows), batch)
