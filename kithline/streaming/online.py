@@ -17,7 +17,7 @@ import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -88,7 +88,7 @@ def ingest(batch: DataFrame, batch_id: int, path: str, key: str, late_seconds: f
     try:
         on_time = rows.filter("not late").drop("late")
         known = sinks.read_or_empty(spark, f"{path}/accepted", f"{ddl(batch)}, batch long").filter((F.col("batch") < batch_id) & F.coalesce(F.col("ts") > mark, F.lit(True)))
-        place = F.row_number().over(sinks.Window.partitionBy(key).orderBy("ts", F.xxhash64(*on_time.columns)))
+        place = F.row_number().over(Window.partitionBy(key).orderBy("ts", F.xxhash64(*on_time.columns)))
         first = on_time.withColumn("place", F.when(F.col(key).isNull(), 1).otherwise(place)).join(known.select(F.col(key).alias("_known")).distinct(), F.col(key) == F.col("_known"), "left")
         accepted = (F.col("place") == 1) & F.col("_known").isNull()
         for name, part in (("accepted", first.filter(accepted)), ("repeated", first.filter(~accepted)), ("late", rows.filter("late"))):
