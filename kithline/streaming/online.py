@@ -76,7 +76,7 @@ def ingest(batch: DataFrame, batch_id: int, path: str, key: str, late_seconds: f
 
     The watermark is the latest ts of the batches before, less late_seconds. A
     row at or before it, or without ts, is late. Of rows of one key within
-    the watermark's horizon the first by ts (then by all columns) is accepted, the others are
+    the watermark's horizon the first by ts (then by a hash of all columns) is accepted, the others are
     repeated; rows without key are all accepted. What a batch writes is
     replaced if it runs again, so a restarted query leaves the same rows.
     """
