@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,22 +42,34 @@ def window_features(frames: DataFrame, p: Params) -> DataFrame:
     return frames.withColumns({"presence_score": score, "seen_recently": long_memory | short_memory, "sustained_kcds": sustained("has_cds", width, p.kcds_share), "sustained_ohs": sustained("has_ohs", width, p.ohs_share)})
 
 
-def window_features_of(frames: pd.DataFrame, p: Params) -> pd.DataFrame:
-    """frame and the four features of one video's frames in order, as ``window_features`` has them; for streams, whose windows can't count rows."""
+def window_features_of(frames: pd.DataFrame, p: Params, videos: np.ndarray | None = None) -> pd.DataFrame:
+    """frame and the four features of frames in order, as ``window_features`` has them; for streams, whose windows can't count rows.
 
-    def mean_or_max(values: pd.Series, seconds: float, how: str) -> pd.Series:
+    videos: each row's video, the rows of one standing together; without it they are of one video.
+    """
+    n = len(frames)
+    place = np.arange(n)
+    begins = np.flatnonzero(np.append(True, videos[1:] != videos[:-1])[:n]) if videos is not None else np.zeros(min(n, 1), np.int64)
+    sizes = np.diff(np.append(begins, n))
+    first, end = np.repeat(begins, sizes), np.repeat(begins + sizes, sizes)
+
+    def over(how: np.ufunc, values: np.ndarray, back: int, ahead: int) -> np.ndarray:
+        spans = np.stack([np.maximum(first, place - back), np.minimum(end, place + ahead + 1)], axis=1)
+        return how.reduceat(np.append(values, 0.0), spans.ravel())[::2] if n else values
+
+    def centre(how: np.ufunc, values: np.ndarray, seconds: float) -> np.ndarray:
         width = p.window(seconds)
-        if width <= 0:
-            return values * 0
-        back, ahead = width // 2, (width - 1) // 2
-        padded = pd.concat([values, pd.Series([float("nan")] * ahead, dtype="float64")], ignore_index=True)
-        return padded.rolling(back + ahead + 1, min_periods=1).agg(how).iloc[ahead:].reset_index(drop=True)
+        return over(how, values, width // 2, (width - 1) // 2) if width > 0 else values * 0
 
-    def held(flag: str, share: float) -> pd.Series:
+    def held(flag: str, share: float) -> np.ndarray:
         width = p.window(p.sustained_sec)
-        return frames[flag].rolling(width).sum() >= share * width if width > 0 else pd.Series([share <= 0] * len(frames), index=frames.index)
-
-    presence = frames["presence_conf"].astype("float64")
-    anchor = ((frames["proximity"] > p.anchor_proximity) | (frames["face_conf"] > p.anchor_face)).astype("float64")
-    seen = (mean_or_max(anchor, p.long_memory_sec, "max") == 1) | (mean_or_max(presence, p.short_memory_sec, "max") >= p.instant_confidence)
-    return pd.DataFrame({"frame": frames["frame"].astype("int64"), "presence_score": mean_or_max(presence, p.presence_sec, "mean"), "seen_recently": seen, "sustained_kcds": held("has_cds", p.kcds_share), "sustained_ohs": held("has_ohs", p.ohs_share)})
+        if width <= 0:
+            return np.full(n, share <= 0)
+        return (place - first + 1 >= width) & (over(np.add, frames[flag].to_numpy("float64"), width - 1, 0) >= share * width)
+
+    presence = frames["presence_conf"].to_numpy("float64")
+    anchor = ((frames["proximity"] > p.anchor_proximity) | (frames["face_conf"] > p.anchor_face)).to_numpy("float64")
+    seen = (centre(np.maximum, anchor, p.long_memory_sec) == 1) | (centre(np.maximum, presence, p.short_memory_sec) >= p.instant_confidence)
+    width = p.window(p.presence_sec)
+    rows = np.maximum(1, np.minimum(end, place + (width - 1) // 2 + 1) - np.maximum(first, place - width // 2))
+    return pd.DataFrame({"frame": frames["frame"].to_numpy("int64"), "presence_score": centre(np.add, presence, p.presence_sec) / rows, "seen_recently": seen, "sustained_kcds": held("has_cds", p.kcds_share), "sustained_ohs": held("has_ohs", p.ohs_share)})

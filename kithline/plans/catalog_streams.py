@@ -24,11 +24,13 @@ FILES = 5
 LATE, IDLE_SECONDS = "400 days", 30 * 86_400.0
 
 
-def deal(rows: DataFrame, path: str, parts: list[Column]) -> DataFrame:
-    """rows as a stream of files under path/in, one for each condition of parts, in their order."""
+def deal(rows: DataFrame, path: str, parts: list[Column], run: Callable[[DataFrame], object]) -> DataFrame:
+    """For each condition of parts, in their order, writes rows' files under path/in and runs the stream of that folder, which is returned, on what is new."""
     for part in parts:
-        sinks.append(rows.filter(part).coalesce(1), f"{path}/in")
-    return online.file_stream(rows.sparkSession, f"{path}/in", online.ddl(rows), maxFilesPerTrigger="1")
+        sinks.append(rows.filter(part), f"{path}/in")
+        stream = online.file_stream(rows.sparkSession, f"{path}/in", online.ddl(rows))
+        run(stream)
+    return stream
 
 
 def _timed_frames(spark, sf_dir) -> DataFrame:
@@ -46,9 +48,8 @@ def _shuffled() -> list[Column]:
 
 def _drained(spark, sf_dir, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     path = fresh_path(spark, "stream")
-    stream = operator(deal(_timed_frames(spark, sf_dir), path, _shuffled()))
-    online.drain(stream, path)
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    stream = deal(_timed_frames(spark, sf_dir), path, _shuffled(), lambda rows: online.drain(operator(rows), path))
+    return spark.read.schema(operator(stream).schema).parquet(f"{path}/out")
 
 
 @register("SELECT video_id, a AS start, b AS \"end\" FROM bouts", "bouts")
@@ -78,7 +79,7 @@ def ingested_events(spark, sf_dir):
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     rows = e.select("event_id", "event_type", F.timestamp_micros(micros).alias("ts"))
     own = F.col("event_id") % FILES
-    online.ingest_stream(deal(rows, path, [own == k for k in (*range(FILES), 1)]), path, "event_id", _LATE_DAYS * 86_400.0)
+    deal(rows, path, [own == k for k in (*range(FILES), 1)], lambda stream: online.ingest_stream(stream, path, "event_id", _LATE_DAYS * 86_400.0))
     kinds = [spark.read.schema(online.ddl(rows)).parquet(f"{path}/{name}").select(F.lit(name).alias("outcome"), "event_type") for name in ("accepted", "repeated", "late")]
     return kinds[0].union(kinds[1]).union(kinds[2]).groupBy("outcome", "event_type").agg(F.count("*").alias("n"))
 
@@ -98,5 +99,5 @@ def detected_stream(spark, sf_dir):
     rows = written(dense_grid(videos, P).join(videos.select("video_id", "video_name"), "video_id").select("video_name", "frame"), "named-frames")
     rows = rows.union(spark.createDataFrame([("nobody", 0)], "video_name string, frame long"))
     own = F.pmod(F.xxhash64("video_name"), F.lit(3))
-    predict.detect_stream(deal(rows, path, [own == 0, own == 1, own == 0, own == 2]), path, videos.select("video_name", "video_id"), _load, DETECTION, step=20)
+    deal(rows, path, [own == 0, own == 1, own == 0, own == 2], lambda stream: predict.detect_stream(stream, path, videos.select("video_name", "video_id"), _load, DETECTION, step=20))
     return predict.detections(spark, path, DETECTION).select("video_id", "frame", *_r("conf"))

@@ -7,17 +7,21 @@ them against all batches before, sets the late ones aside and counts them.
 Bouts and row windows hold a video's rows until the watermark has passed them,
 as only then their order is known, and set a timer for the time by which the
 video must have gone on. A video that falls silent so ends by itself, and
-nothing of it stays in the state store. Both need a state store that keeps its
-rows on disk (``stored_on_disk``).
+nothing of it stays in the state store. Videos are dealt into groups by hash:
+a group's new rows are one value in the state store, and all its videos are
+worked on together, so neither calls nor values grow with a video's rows. Both
+need a state store that keeps its rows on disk (``stored_on_disk``).
 """
 
 from __future__ import annotations
 
 import contextlib
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -108,100 +112,160 @@ def ingest_stream(stream: DataFrame, path: str, key: str, late_seconds: float) -
     q.awaitTermination()
 
 
-def _placed(key: tuple, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's new rows that have a frame; none for the null key, whose rows only move time on."""
-    new = pd.concat(list(rows))
-    return new[new["frame"].notna()].copy() if not pd.isna(key[0]) else new.iloc[:0]
+class _Grouped(StatefulProcessor):
+    """Rows of a group of videos, held as blocks of one NumPy type.
+
+    New rows are appended as a block and nothing is read until the time at
+    which a row of the group can change what is known. ``advance`` then gets
+    all that is held and the watermark, and gives what is known now, what is
+    still held and the time at which that can change (null: nothing is held).
+    """
+
+    held: np.dtype
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getListState("blocks", "rows binary")
+        self.due = handle.getValueState("due", "ms long")
+
+    def placed(self, rows: pd.DataFrame) -> np.ndarray:
+        """The rows of held's type that a table of new rows, all with video and frame, stands for; with times ``ms``."""
+        raise NotImplementedError
+
+    def advance(self, rows: np.ndarray, mark: int) -> tuple[pd.DataFrame, np.ndarray, float | None]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for table in rows:
+            new = self.placed(table[table["placed"].to_numpy(bool)])
+            if len(new):
+                self.blocks.appendValue((new.tobytes(),))
+                ms = math.ceil(new["ms"].min())
+                first = ms if first is None else min(ms, first)
+        if first is not None and (not self.due.exists() or first < self.due.get()[0]):
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        if not self.due.exists() or self.due.get()[0] > mark:
+            return  # an earlier timer
+        out, keep, due = self.advance(np.frombuffer(b"".join(bytes(r[0]) for r in self.blocks.get()), self.held), mark)
+        if due is None:
+            self.blocks.clear()
+            self.due.clear()
+        else:
+            self.blocks.put([(keep.tobytes(),)])
+            self._wake(max(math.ceil(due), mark + 1))
+        if len(out):
+            yield out
+
+    def _wake(self, ms: int) -> None:
+        self.due.update((ms,))
+        self.handle.registerTimer(ms)
+
+    def close(self) -> None:
+        pass
+
+
+#: Groups that the videos of a stream are dealt into by hash; a group's rows are held and given out together.
+GROUPS = 4096
+
+
+def _grouped(frames: DataFrame, late: str, groups: int, columns: list[Column]):
+    """frames with ts, by group: columns, video_id, frame, ms (exact) and whether the row has a video and a frame."""
+    known = F.col("video_id").isNotNull() & F.col("frame").isNotNull()
+    keys = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("video_id", "frame")]
+    group = F.pmod(F.xxhash64("video_id"), F.lit(groups)).alias("group")
+    rows = frames.filter("ts is not null").select(group, *keys, known.alias("placed"), (F.unix_micros("ts") / 1000).alias("ms"), "ts", *columns)
+    return rows.withWatermark("ts", late).groupBy("group")
 
 
 # Bouts
 
 BOUT = "video_id long, start long, end long"
-KINDS = ("kchi", "cds")
+KINDS = ("has_kchi", "has_cds")
+
+
+class _Bouts(_Grouped):
+    """Speech frames of videos to bouts. Frames wait for the watermark, islands for those that began before them, and the running bout for its longest gap.
 
+    A held row is a frame or an island of one kind, or a running bout with the kinds it holds as bits (RUN and more).
+    """
 
-class _Bouts(StatefulProcessor):
-    """Speech frames of a video to bouts. Frames wait for the watermark, islands for those that began before them, and the running bout for its longest gap."""
+    RUN = 4
+    held = np.dtype([("video", "<i8"), ("ms", "<f8"), ("kind", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
     def __init__(self, p: Params, frame_ms: float):
         self.p, self.frame_ms = p, frame_ms
         self.turn, self.same = p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.frames = handle.getListState("frames", "kind int, frame long")
-        self.islands = handle.getListState("islands", "start long, kind int, end long")
-        self.run = handle.getValueState("run", "start long, end long, kchi boolean, cds boolean")
-        self.zero = handle.getValueState("zero", "ms double")  # the time of frame 0
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _placed(key, rows)
-        if not len(new):
-            return
-        ms = new["ts"].astype("datetime64[ns]").astype("int64") / 1e6
-        self.zero.update((float((ms - new["frame"] * self.frame_ms).iloc[0]),))
-        for kind, flag in enumerate(("has_kchi", "has_cds")):
-            for frame in new.loc[new[flag] == 1, "frame"]:
-                self.frames.appendValue((kind, int(frame)))
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, mark: int) -> pd.DataFrame:
-        if not self.zero.exists():  # an earlier timer of a video that is over
-            return pd.DataFrame([], columns=["video_id", "start", "end"])
-        zero = self.zero.get()[0]
-        seen = int((mark - zero) // self.frame_ms) if mark > 0 else -1  # all frames up to this one are there
-        frames = sorted((int(r[1]), int(r[0])) for r in self.frames.get())
-        islands = [[int(x) for x in r] for r in self.islands.get()]
-        waiting = [(kind, frame) for frame, kind in frames if frame > seen]
-        growing = {i[1]: i for i in islands}  # of one kind the last
-        for frame, kind in frames:
-            if frame > seen:
-                break
-            last = growing.get(kind)
-            if last is not None and frame - last[2] <= self.p.step:
-                last[2] = frame
-            else:
-                growing[kind] = [frame, kind, frame]
-                islands.append(growing[kind])
-        islands.sort()
-        out, run = [], self.run.get() if self.run.exists() else None
-        run = [int(run[0]), int(run[1]), bool(run[2]), bool(run[3])] if run is not None else None
-        while islands and islands[0][2] + self.p.step <= seen:  # over, and none that began earlier is still growing
-            start, kind, end = islands.pop(0)
+    def placed(self, rows: pd.DataFrame) -> np.ndarray:
+        parts = []
+        for kind, flag in enumerate(KINDS):
+            own = rows[rows[flag] == 1]
+            part = np.zeros(len(own), self.held)
+            part["video"], part["ms"], part["kind"] = own["video_id"], own["ms"], kind
+            part["start"] = part["end"] = own["frame"]
+            parts.append(part)
+        return np.concatenate(parts)
+
+    def advance(self, rows: np.ndarray, mark: int) -> tuple[pd.DataFrame, np.ndarray, float | None]:
+        step, longest = self.p.step, max(self.turn, self.same)
+        videos, at, own = np.unique(rows["video"], return_index=True, return_inverse=True)
+        zero = rows["ms"][at] - rows["start"][at] * self.frame_ms  # the time of frame 0
+        seen = (mark - zero) // self.frame_ms if mark > 0 else np.full(len(zero), -1.0)  # all frames up to this one are there
+        running = rows["kind"] >= self.RUN
+        waits = ~running & (rows["start"] > seen[own])
+        waiting, islands = rows[waits], self._islands(rows[~running & ~waits])
+        own = np.searchsorted(videos, islands["video"])
+        growing = islands["end"] + step > seen[own]
+        behind = np.cumsum(growing)  # of an earlier start in its video one is growing, or it is itself
+        first = np.searchsorted(own, np.arange(len(videos)))
+        before = np.append(0, behind)[first]
+        over = behind == before[own]
+        left = np.bincount(own[~over], minlength=len(videos)) > 0
+        runs = {r[0]: [r[3], r[4], bool(r[2] & 1), bool(r[2] & 2)] for r in rows[running].tolist()}
+        out: list[tuple] = []
+        for video, _, kind, start, end in islands[over].tolist():
+            run = runs.get(video)
             if run is not None and start - run[1] <= (self.same if run[2 + kind] else self.turn):
                 run[1], run[2 + kind] = end, True
                 continue
-            out += self._closed(key, run)
-            run = [start, end, kind == 0, kind == 1]
-        longest = max(self.turn, self.same)
-        if run is not None and seen >= run[1] + longest and not islands:
-            out += self._closed(key, run)
-            run = None
-        last = max([f for _, f in waiting] + [i[2] for i in islands] + ([run[1]] if run else []), default=None)
-        self._keep(waiting, islands, run)
-        if last is not None:
-            self.handle.registerTimer(int(zero + (last + longest + self.p.step + 1) * self.frame_ms) + 1)
-        return pd.DataFrame(out, columns=["video_id", "start", "end"])
+            self._close(out, video, run)
+            runs[video] = [start, end, kind == 0, kind == 1]
+        due, keep = [zero[np.searchsorted(videos, waiting["video"])] + waiting["start"] * self.frame_ms, (zero[own] + (islands["end"] + step) * self.frame_ms)[growing]], []
+        for video, run in runs.items():
+            k = int(np.searchsorted(videos, video))
+            if not left[k] and seen[k] >= run[1] + longest:
+                self._close(out, video, run)
+                continue
+            keep.append((video, zero[k] + run[0] * self.frame_ms, self.RUN + run[2] + 2 * run[3], run[0], run[1]))
+            if not left[k]:
+                due.append([zero[k] + (run[1] + longest) * self.frame_ms])
+        found = pd.DataFrame(out, columns=["video_id", "start", "end"])
+        times = np.concatenate(due)
+        return found, np.concatenate([np.array(keep, self.held), islands[~over], waiting]), times.min() if len(times) else None
+
+    def _islands(self, pieces: np.ndarray) -> np.ndarray:
+        """Pieces (frames, islands) of one kind that are at most a step apart as one, by video, start and kind."""
+        pieces = pieces[np.lexsort((pieces["end"], pieces["start"], pieces["kind"], pieces["video"]))]
+        if not len(pieces):
+            return pieces
+        apart = (pieces["video"][1:] != pieces["video"][:-1]) | (pieces["kind"][1:] != pieces["kind"][:-1]) | (pieces["start"][1:] - pieces["end"][:-1] > self.p.step)
+        begins = np.flatnonzero(np.append(True, apart))
+        islands = pieces[begins]
+        islands["end"] = np.maximum.reduceat(pieces["end"], begins)
+        return islands[np.lexsort((islands["kind"], islands["start"], islands["video"]))]
 
     @staticmethod
-    def _closed(key, run) -> list[tuple]:
-        return [(key[0], run[0], run[1])] if run is not None and run[2] and run[3] else []
-
-    def _keep(self, waiting, islands, run) -> None:
-        self.frames.put(waiting) if waiting else self.frames.clear()
-        self.islands.put([tuple(i) for i in islands]) if islands else self.islands.clear()
-        self.run.update(tuple(run)) if run is not None else self.run.clear()
-        if not (waiting or islands or run):
-            self.zero.clear()
-
-    def close(self) -> None:
-        pass
+    def _close(out: list[tuple], video: int, run: list | None) -> None:
+        if run is not None and run[2] and run[3]:
+            out.append((video, run[0], run[1]))
 
 
-def online_bouts(frames: DataFrame, p: Params, frame_ms: float, late: str = "10 seconds") -> DataFrame:
+def online_bouts(frames: DataFrame, p: Params, frame_ms: float, late: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """Turn-taking bouts (video_id, start, end) of a stream of frames (video_id, frame, ts, has_kchi, has_cds), each as soon as no row can change it.
 
     Equal to ``sessions.bouts`` over the islands of the rows that weren't late,
@@ -209,9 +273,8 @@ def online_bouts(frames: DataFrame, p: Params, frame_ms: float, late: str = "10
     video's time of frame 0 plus frame_ms for each frame. Rows without ts are
     left out, those without video or frame only move time on; null flags are 0.
     """
-    rows = frames.select("video_id", "frame", "ts", *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("has_kchi", "has_cds")])
-    rows = rows.filter("ts is not null").withWatermark("ts", late)
-    return rows.groupBy("video_id").transformWithStateInPandas(_Bouts(p, frame_ms), BOUT, "append", "EventTime")
+    rows = _grouped(frames, late, groups, [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in KINDS])
+    return rows.transformWithStateInPandas(_Bouts(p, frame_ms), BOUT, "append", "EventTime")
 
 
 # Row windows
@@ -220,8 +283,10 @@ FEATURES = "presence_score double, seen_recently boolean, sustained_kcds boolean
 MEASURED = ("presence_conf", "proximity", "face_conf", "has_cds", "has_ohs")
 
 
-class _RowWindows(StatefulProcessor):
-    """A ring of a video's last frames in order, and those that wait for the watermark or for the frames behind them."""
+class _RowWindows(_Grouped):
+    """The last frames of videos in order, and those that wait for the watermark or for the frames behind them."""
+
+    held = np.dtype([("video", "<i8"), ("ms", "<f8"), ("frame", "<i8"), *[(c, "<f8") for c in MEASURED], ("done", "?")])
 
     def __init__(self, p: Params, idle_ms: int):
         self.p, self.idle_ms = p, idle_ms
@@ -229,49 +294,36 @@ class _RowWindows(StatefulProcessor):
         self.before = max([w // 2 for w in widths] + [p.window(p.sustained_sec) - 1])
         self.behind = max(0, *[(w - 1) // 2 for w in widths])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        row = "ms long, frame long, " + ", ".join(f"{c} double" for c in MEASURED) + ", done boolean"
-        self.rows = handle.getListState("rows", row)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _placed(key, rows)
-        if not len(new):
-            return
-        new["ms"] = new["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000
-        for r in new[["ms", "frame", *MEASURED]].itertuples(index=False):
-            self.rows.appendValue((int(r.ms), int(r.frame), *[None if pd.isna(v) else float(v) for v in r[2:]], False))
-        for wait in (0, self.idle_ms):  # its last row is in order; it has ended
-            self.handle.registerTimer(int(new["ms"].max()) + wait)
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, mark: int) -> pd.DataFrame:
-        held = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=["ms", "frame", *MEASURED, "done"])
-        over = len(held) == 0 or int(held["ms"].max()) + self.idle_ms <= mark
-        known = held[held["ms"] <= mark].sort_values("frame", kind="stable").drop_duplicates("frame", keep="first").reset_index(drop=True)
-        full = len(known) if over else max(0, len(known) - self.behind)
-        ready = ~known["done"].astype(bool).to_numpy()
-        ready[full:] = False
-        out = window_features_of(known, self.p)[ready]
-        known.loc[ready, "done"] = True
-        first = max(0, full - self.before)
-        keep = [] if over else [*_tuples(known.iloc[first:]), *_tuples(held[held["ms"] > mark])]
-        self.rows.put(keep) if keep else self.rows.clear()
-        out.insert(0, "video_id", key[0])
-        return out
-
-    def close(self) -> None:
-        pass
-
-
-def _tuples(rows: pd.DataFrame) -> list[tuple]:
-    return [(int(r[0]), int(r[1]), *[None if pd.isna(v) else float(v) for v in r[2:-1]], bool(r[-1])) for r in rows.itertuples(index=False)]
-
-
-def online_features(frames: DataFrame, p: Params, idle: float = 60.0, late: str = "10 seconds") -> DataFrame:
+    def placed(self, rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), self.held)
+        new["video"] = rows["video_id"]
+        for c in ("ms", "frame", *MEASURED):
+            new[c] = rows[c]
+        return new
+
+    def advance(self, rows: np.ndarray, mark: int) -> tuple[pd.DataFrame, np.ndarray, float | None]:
+        videos, own = np.unique(rows["video"], return_inverse=True)
+        last = np.full(len(videos), -np.inf)
+        np.maximum.at(last, own, rows["ms"])
+        over = last + self.idle_ms <= mark  # such a video has ended
+        waits = rows["ms"] > mark
+        waiting, known = rows[waits], rows[~waits]
+        known = known[np.lexsort((known["frame"], known["video"]))]  # in a stable order: of a repeated frame the first that came
+        known = known[np.append(True, (known["video"][1:] != known["video"][:-1]) | (known["frame"][1:] != known["frame"][:-1]))[: len(known)]]
+        own = np.searchsorted(videos, known["video"])
+        sizes = np.bincount(own, minlength=len(videos))
+        place = np.arange(len(known)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        full = np.where(over, sizes, np.maximum(0, sizes - self.behind))[own]
+        out = window_features_of(pd.DataFrame({c: known[c] for c in ("frame", *MEASURED)}), self.p, known["video"])
+        out.insert(0, "video_id", known["video"])
+        out = out[(place < full) & ~known["done"]]
+        known["done"] |= place < full
+        keep = np.concatenate([known[(place >= full - self.before) & ~over[own]], waiting])
+        due = np.concatenate([waiting["ms"], last[~over] + self.idle_ms])
+        return out, keep, due.min() if len(due) else None
+
+
+def online_features(frames: DataFrame, p: Params, idle: float = 60.0, late: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """video_id, frame and the features of ``features.window_features`` of a stream of frames, each once its following rows are there.
 
     A video ends when the watermark is ``idle`` seconds past its last frame;
@@ -280,6 +332,5 @@ def online_features(frames: DataFrame, p: Params, idle: float = 60.0, late: str
     came counts. Rows without ts are left out, those without video or frame only
     move time on; null flags and confidences are 0, a null proximity is none.
     """
-    rows = frames.select("video_id", "frame", "ts", *[F.col(c).cast("double").alias(c) if c == "proximity" else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in MEASURED])
-    rows = rows.filter("ts is not null").withWatermark("ts", late)
-    return rows.groupBy("video_id").transformWithStateInPandas(_RowWindows(p, int(idle * 1000)), f"video_id long, frame long, {FEATURES}", "append", "EventTime")
+    rows = _grouped(frames, late, groups, [F.col(c).cast("double").alias(c) if c == "proximity" else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in MEASURED])
+    return rows.transformWithStateInPandas(_RowWindows(p, int(idle * 1000)), f"video_id long, frame long, {FEATURES}", "append", "EventTime")

@@ -192,3 +192,31 @@ def test_detector_stopped_between_insert_and_log(spark, tmp_path, monkeypatch):
 def test_window_features_of_one_video():
     empty = pd.DataFrame({c: pd.Series(dtype="float64") for c in ("frame", *online.MEASURED)})
     assert len(features.window_features_of(empty, P)) == 0
+
+
+def test_videos_of_one_group(spark, tmp_path):
+    """Videos that share a group, and large ids beside rows without video, keep their own bouts and windows."""
+    big = 1 << 60
+    rows = [(big + r[0], *r[1:]) for r in frames(5)]
+    shuffled = random.Random(6).sample(rows, len(rows))
+    src = str(tmp_path / "src")
+    for part in [shuffled[::2] + clock(0), shuffled[1::2], clock(10**8)]:
+        put(spark, part, src)
+    stream = online.file_stream(spark, src, ROW, maxFilesPerTrigger="1")
+    for name, operator, want in (
+        ("b", lambda s: online.online_bouts(s, P, MS, late="1 hour", groups=2), sessions.bouts(sessions.speech_islands(filled(spark, rows), P), P)),
+        ("f", lambda s: online.online_features(s, P, late="1 hour", groups=2).select("video_id", "frame", "seen_recently", "sustained_kcds"), features.window_features(filled(spark, rows), P).select("video_id", "frame", "seen_recently", "sustained_kcds")),
+    ):
+        state = online.drain(operator(stream), f"{tmp_path}/{name}")
+        got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}/out").collect()))
+        assert got == sorted(map(tuple, want.collect())) and len(got) > 3
+        assert [s["numRowsTotal"] for s in state] == [0]
+
+
+@pytest.mark.parametrize("operator", [lambda s: online.online_bouts(s, P, MS, late="1 hour", groups=3), lambda s: online.online_features(s, P, late="1 hour", groups=3)])
+def test_state_rows_do_not_grow_with_frames(spark, tmp_path, operator):
+    """What a batch leaves in the state store is a value and a time for each group, however many frames wait."""
+    src = str(tmp_path / "src")
+    put(spark, [(v, 10 * k, at(10 * k * MS), 0.5, None, 0.0, 1, 1, 0) for v in range(20) for k in range(50)], src)
+    state = online.drain(operator(online.file_stream(spark, src, ROW)), str(tmp_path / "c"))
+    assert state[0]["numRowsTotal"] <= 6
