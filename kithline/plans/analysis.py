@@ -6,7 +6,7 @@ import math
 import random
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithline import adapters
@@ -17,6 +17,9 @@ from kithline.operators.grid import dense_grid
 from kithline.params import AVAILABLE, INTERACTING, Params
 from kithline.sources import sinks
 
+#: The columns of integrated frames that a state depends on.
+READ = ("presence_conf", "face_conf", "proximity", "has_kchi", "has_cds", "has_ohs")
+
 
 def frames(spark: SparkSession, sf_dir: str, p: Params | None = None, videos: DataFrame | None = None) -> DataFrame:
     """Integrated observations on the grid; videos: of these only."""
@@ -43,18 +46,21 @@ def run(spark: SparkSession, sf_dir: str, p: Params | None = None, smooth: bool
     return segments.with_subjects(segments.segment(found, p, "smoothed" if smooth else "state"), adapters.videos(spark, sf_dir))
 
 
-def trial_states(observed: DataFrame, trials: list[Params]) -> DataFrame:
-    """observed (integrated frames) with ``states``: each frame's state under every trial, in their order.
+def trial_states(observed: DataFrame, trials: list[Params], keep: Column | None = None) -> DataFrame:
+    """observed (integrated frames) with ``states``: each frame's state under every trial, in their order; keep: of those frames only, which may ask windows by video and frame.
 
     Stages are grouped by the parameters that they read, and each distinct one
     is evaluated once: windows of every width asked for share one exchange and
-    sort, bouts of every pair of gaps are found together with the pair as part
-    of their key, and one join brings the pairs in whose bouts a frame lies.
-    So neither scans nor exchanges grow with the trials.
+    sort, and bouts of every pair of gaps are found together with the pair as
+    part of their key. A bout's ends are two rows among its video's frames, and
+    running sums tell how many bouts of each pair are open at a frame, so no
+    bout is spread over its frames. So neither scans nor exchanges grow with
+    the trials.
     """
     made: dict[str, Column] = {}
 
     def once(name: str, make: Callable[[], Column]) -> Column:
+        name = name.replace(".", "p")
         if name not in made:
             made[name] = make()
         return F.col(name)
@@ -65,25 +71,43 @@ def trial_states(observed: DataFrame, trials: list[Params]) -> DataFrame:
         raise ValueError("trials differ in their frames")
     turn, same = (F.get(F.array(*[F.lit(float(g[k])) for g in gaps]), F.col("pair")) for k in (0, 1))
     islands = sessions.speech_islands(observed, first).withColumn("pair", F.explode(F.array(*[F.lit(k) for k in range(len(gaps))])))
-    found = sessions.bouts_by(islands, ["pair", "video_id"], turn, same).filter("`end` >= start")
-    spread = found.select("pair", "video_id", F.explode(F.sequence("start", "end", F.lit(first.step).cast("long"))).alias("frame"))
-    covered = spread.groupBy("video_id", "frame").agg(F.collect_set("pair").alias("pairs"))
+    found = sessions.bouts_by(islands, ["pair", "video_id"], turn, same).filter("`end` >= start and video_id is not null")
+    ends = F.array(F.struct(F.col("start").alias("frame"), F.lit(0).alias("side")), F.struct(F.col("end").alias("frame"), F.lit(2).alias("side")))
+    edges = found.select("pair", "video_id", F.explode(ends).alias("at")).groupBy("video_id", "at.frame", "at.side").agg(*[F.count_if(F.col("pair") == k).alias(f"edge_{k}") for k in range(len(gaps))])
+    # A frame's row stands after the bouts that begin at it and before the end of those that end at it.
+    rows = observed.withColumn("side", F.lit(1)).unionByName(edges, allowMissingColumns=True)
+    so_far = Window.partitionBy("video_id").orderBy("frame", "side").rowsBetween(Window.unboundedPreceding, 0)
+    open_bouts = {f"open_{k}": F.sum(F.when(F.col("side") == 0, F.col(f"edge_{k}")).when(F.col("side") == 2, -F.col(f"edge_{k}"))).over(so_far) > 0 for k in range(len(gaps))}
+    covered = rows.withColumns(open_bouts).filter("side = 1").drop("side", *[f"edge_{k}" for k in range(len(gaps))])
     speaks = (F.col("has_kchi") == 1) | (F.col("has_cds") == 1)
     states = []
+    nth = once("nth", lambda: F.row_number().over(Window.partitionBy("video_id").orderBy("frame")))
+
+    def windowed(column: str, seconds: float, p: Params, how=F.max) -> Column:
+        width = p.window(seconds)
+        return once(f"{column}_{how.__name__}_{width}", lambda: features.centred(F.col(column), width, how))
+
+    def held(column: str, p: Params, share: float) -> Column:
+        width = p.window(p.sustained_sec)
+        return (nth >= width) & (once(f"{column}_{width}", lambda: F.sum(column).over(Window.partitionBy("video_id").orderBy("frame").rowsBetween(1 - width, 0))) >= share * width)
+
     for p in trials:
-        width, sustained = p.window(p.presence_sec), p.window(p.sustained_sec)
-        long = once(f"long_{p.window(p.long_memory_sec)}_{p.anchor_proximity}_{p.anchor_face}".replace(".", "p"), lambda p=p: features.centred(features.anchored(p), p.window(p.long_memory_sec))) == 1
-        short = once(f"short_{p.window(p.short_memory_sec)}", lambda p=p: features.centred(F.col("presence_conf"), p.window(p.short_memory_sec)))
+        # A remembered frame's confidence is over a limit where the greatest in the window is.
+        anchored = [F.coalesce(windowed(c, p.long_memory_sec, p) > limit, F.lit(False)) for c, limit in (("proximity", p.anchor_proximity), ("face_conf", p.anchor_face))]
+        long = anchored[0] | anchored[1] if p.window(p.long_memory_sec) > 0 else F.lit(False)
         pair = gaps.index((p.turn_gap_sec * p.fps, p.same_gap_sec * p.fps))
         named = {
-            "presence_score": once(f"score_{width}", lambda width=width: features.centred(F.col("presence_conf"), width, F.avg)),
-            "seen_recently": long | (short >= p.instant_confidence),
-            "sustained_kcds": once(f"kcds_{sustained}_{p.kcds_share}".replace(".", "p"), lambda p=p, w=sustained: features.sustained("has_cds", w, p.kcds_share)),
-            "sustained_ohs": once(f"ohs_{sustained}_{p.ohs_share}".replace(".", "p"), lambda p=p, w=sustained: features.sustained("has_ohs", w, p.ohs_share)),
-            "in_bout": F.coalesce(F.array_contains("pairs", pair), F.lit(False)) & speaks,
+            "presence_score": windowed("presence_conf", p.presence_sec, p, F.avg),
+            "seen_recently": long | (windowed("presence_conf", p.short_memory_sec, p) >= p.instant_confidence),
+            "sustained_kcds": held("has_cds", p, p.kcds_share),
+            "sustained_ohs": held("has_ohs", p, p.ohs_share),
+            "in_bout": F.coalesce(F.col(f"open_{pair}"), F.lit(False)) & speaks,
         }
         states.append(scalars.state(p, named))
-    return observed.join(covered, ["video_id", "frame"], "left").withColumns(made).withColumn("states", F.array(*states)).drop("pairs", *made)
+    if keep is not None:
+        made["kept"] = keep
+    seen = covered.withColumns(made)
+    return (seen.filter("kept") if keep is not None else seen).withColumn("states", F.array(*states)).drop(*open_bouts, *made)
 
 
 def search(observed: DataFrame, truth: DataFrame, trials: list[Params]) -> DataFrame:
@@ -92,13 +116,18 @@ def search(observed: DataFrame, truth: DataFrame, trials: list[Params]) -> DataF
     observed (integrated frames) is read twice, for bouts and for states, and
     truth once, however many the trials are; pass written tables
     (sources.shared.written). A second's state is that of its last frame.
+    Seconds are counted by label and states before those become a row for
+    each trial.
     """
-    second = (F.col("frame") / trials[0].fps).cast("long").alias("second")
-    labels = trial_states(observed, trials).groupBy("video_id", second).agg(F.max_by("states", "frame").alias("states"))
-    each = truth.join(labels, ["video_id", "second"], "left").select("gt", "states", F.explode(F.array(*[F.lit(k) for k in range(len(trials))])).alias("trial"))
-    s = F.get(F.col("states"), F.col("trial"))
+    used = observed.select("video_id", "frame", *READ)
+    second = (F.col("frame") / trials[0].fps).cast("long")
+    following = F.lead(second).over(Window.partitionBy("video_id").orderBy("frame"))
+    labels = trial_states(used, trials, following.isNull() | (following != second)).select("video_id", second.alias("second"), F.concat(*[F.get("states", F.lit(k)).cast("string") for k in range(len(trials))]).alias("states"))
+    counted = truth.join(labels, ["video_id", "second"], "left").groupBy("gt", "states").agg(F.count("*").alias("n"))
+    each = counted.select("gt", "states", "n", F.explode(F.array(*[F.lit(k) for k in range(len(trials))])).alias("trial"))
+    s = F.substring("states", F.col("trial") + 1, F.lit(1)).cast("int")
     pred = F.when(s.isNull(), None).when(s == INTERACTING, "interacting").when(s == AVAILABLE, "available").otherwise("alone")
-    counts = each.groupBy("trial", "gt", pred.alias("pred")).agg(F.count("*").alias("n"))
+    counts = each.groupBy("trial", "gt", pred.alias("pred")).agg(F.sum("n").alias("n"))
     return evaluate.macro_metrics(evaluate.class_metrics(counts, keys=["trial"], weight="n"), ["trial"]).orderBy(F.desc("macro_f1"), "trial")
 
 

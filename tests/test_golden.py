@@ -327,6 +327,18 @@ def test_search_plan_does_not_grow(spark, tmp_path):
     assert counts[0] == counts[1] and counts[0][1] == 2
 
 
+def test_search_spreads_no_bout(spark):
+    """A bout of 3 x 10^9 steps costs two rows: frames at both its ends interact, one after it doesn't."""
+    last = 3 * 10**10
+    observed = spark.createDataFrame([(1, 0, 1, 0), (1, 30, 0, 0), (1, last, 0, 1), (1, last + 30 * 10**10, 1, 0)], "video_id long, frame long, has_kchi int, has_cds int")
+    observed = observed.select("*", F.lit(0).alias("has_ohs"), *[F.lit(0.0).alias(c) for c in ("presence_conf", "face_conf", "proximity")])
+    p = Params().but(turn_gap_sec=1e9)
+    got = {r["frame"]: r["states"] for r in analysis.trial_states(observed, [p, p.but(turn_gap_sec=1.0)]).collect()}
+    assert got == {0: [1, 3], 30: [3, 3], last: [1, 3], last + 30 * 10**10: [3, 3]}
+    truth = spark.createDataFrame([(1, 0, "interacting"), (1, 1, "alone"), (1, last // 30, "interacting")], "video_id long, second long, gt string")
+    assert analysis.search(observed, truth, [p]).first()["macro_f1"] == 1.0
+
+
 def test_duration_splits(spark):
     v = spark.createDataFrame([(k, 10) for k in range(10)], "id long, d long")
     for split in (splits.split_by_duration, splits.split_by_fit):
