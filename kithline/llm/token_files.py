@@ -25,6 +25,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -111,11 +112,17 @@ class Encoder:
         self.inner, self.together = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
         #: Ids of a space and the unit after it; of a piece as the pre-tokenizer spells it.
         self.units, self.pieces = Memory(MEMORY, self._unit), Memory(MEMORY // 4, self._piece)
-        self.letters = Letters(self._spelled)
+        #: Ids of what stands between two line ends of a unit.
+        self.lines = Memory(MEMORY // 4, self._line)
+        self.letters, self.model = Letters(self._spelled), t.model
         if self.by_units:
-            self.space = self._spelled(" a")[0][:-1]
+            self.space, self.same = self._spelled(" a")[0][:-1], False
             # What the shorter way below takes for granted, asked of the library itself.
             self.plain = self._spelled(f" {LETTERS}") == [self.space + self._latin(LETTERS)] and all(self._spelled(f" ab{m}") == [f"{self.space}ab", m] for m in MARKS)
+            end = self._spelled("\n")
+            self.plain &= self._spelled(LETTERS) == [self._latin(LETTERS)] and all(self._spelled(f"a{m}\nb") == [*f"a{m}", *end, "b"] for m in ["", *MARKS])
+            self.same = self._spelled(ascii_letters) == [ascii_letters]
+            self.line_end = b"".join(map(self._piece, end))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of dtype."""
@@ -128,13 +135,22 @@ class Encoder:
             elif not text:
                 out.append(b"")
             else:
-                even = not (text[0].isspace() or text[-1].isspace() or self.together.search(text))
-                first, *rest = text.split(" ") if even else self.inner.split(text)
-                out.append(b"".join(map(self.pieces.__getitem__, self._spelled(first))) + b"".join(map(self.units.__getitem__, rest)))
-            self.units.age()
-            self.pieces.age()
+                first, *rest = text.split(" ") if self._even(text) else self.inner.split(text)
+                out.append(self._first(first) + b"".join(map(self.units.__getitem__, rest)))
+            self._age()
         return out
 
+    def _even(self, text: str) -> bool:
+        """Whether every space of a text that isn't empty stands between two characters that are not white space."""
+        return not (text[0].isspace() or text[-1].isspace() or self.together.search(text))
+
+    def _first(self, unit: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self._spelled(unit)))
+
+    def _age(self) -> None:
+        for memory in (self.units, self.pieces, self.lines):
+            memory.age()
+
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -147,13 +163,26 @@ class Encoder:
                 return self._piece(self.space + self._latin(unit))
             if unit[-1] in MARKS and unit[:-1].isalpha():  # a word and a mark after it
                 return self.units[unit[:-1]] + self.pieces[unit[-1]]
+            if "\n" in unit:
+                first, *lines = unit.split("\n")
+                if not any(not x or x[0].isspace() or x[-1].isspace() for x in (first, *lines)):  # a line end by itself is a piece
+                    return self.line_end.join([self.units[first], *map(self.lines.__getitem__, lines)])
         return b"".join(map(self.pieces.__getitem__, self._spelled(f" {unit}")))
 
+    def _line(self, unit: str) -> bytes:
+        if unit.isalpha():
+            return self._piece(self._latin(unit))
+        if unit[-1] in MARKS and unit[:-1].isalpha():
+            return self.lines[unit[:-1]] + self.pieces[unit[-1]]
+        return b"".join(map(self.pieces.__getitem__, self._spelled(unit)))
+
     def _latin(self, word: str) -> str:
+        if self.same and word.isascii():
+            return word
         return "".join(map(self.letters.__getitem__, word))
 
     def _piece(self, spelled: str) -> bytes:
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
 def encoder(path: str, dtype: str = "<u2", added: bool = False) -> Encoder:

@@ -446,7 +446,7 @@ def test_token_files_with_added_tokens(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op3_token_files"](spark, str(tmp_path)).collect()}
-    ids = [[*tk.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    ids = [[*tk.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert 50256 in ids[12] and got == {k: (len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in enumerate(ids)}
 
 
@@ -924,3 +924,16 @@ def test_block_counts(spark, odd):
     bench = spark.createDataFrame([(k, f"one two three four five w{k}x{k % 13} w{k + 1}x{(k + 1) % 13}") for k in range(40)], "item_id long, text string")
     one, many = ({(tuple(r["row"]), tuple(r["out"]["items"]), r["out"]["n_hit"]) for r in contamination.find_contamination(docs, bench, window=3, shingle=2, block_windows=n).collect()} for n in (1000, 7))
     assert one == many and any(items for _, items, _ in one)
+
+
+def test_units_of_line_ends(monkeypatch):
+    """Line ends within units: the library's ids, without its pre-tokenizer for a word, a line end and a word."""
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(tokenizer_path()), token_files.Encoder(tokenizer_path(), "<u2")
+    texts = ["one end.\nNext über\nstraße, a\n\nb", "a b\t\nc d\n e", "x don't\ncan't 'll\n's y\n12.\n..z", "a b\x1c\nc d\u00a0\ne", "\nb c\n", "", "one", "a  b", " a b", "é\u2028x y\n中文\nz", "a \x85\nb c\r\nd"]
+    want = [np.array(tk.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert enc.encode(texts) == want
+    asked = []
+    monkeypatch.setattr(enc, "_spelled", lambda text: asked.append(text) or [])
+    assert enc._unit("quonge.\nTharle,\nwem") and not asked
