@@ -14,8 +14,10 @@ A component's sets are stored in a trie: paths are tokens in the global order,
 so sets with equal beginnings share them. Each set traverses the trie level by
 level: a node's overlap with it is counted once for all sets below, and a
 subtree goes as soon as what remains of the set or of the longest member below
-can't bring the overlap to what even the shortest one needs, or if all its
-members are linked with the set already.
+can't bring the overlap to what even the shortest one needs, or if it holds no
+candidate of the set. Candidates share enough prefix tokens with it, where
+tokens that are rarest in the component come first, and aren't connected with
+it yet; so a component that chance holds together costs little.
 
 A component over LARGE tokens is first linked star-wise, in salted parts each
 with a copy of the star's centre, through the same tries. If it isn't whole by
@@ -54,6 +56,8 @@ BATCH_ROWS = 512
 LONG = 1 << 16
 #: Tokens of a trie node, at most, so that a hopeless path is left early.
 NODE = 32
+#: Candidates' entries are sorted by label anew once a search has passed over so many times as many as there are.
+SORT_AFTER = 8
 
 
 def needed(x: np.ndarray | int, y: np.ndarray | int, percent: int = PERCENT):
@@ -279,12 +283,20 @@ class Trie:
             self.levels.append({c: np.array(v, np.int64) for c, v in zip(names, zip(*rows, strict=True), strict=True)})
             parts = below
 
-    def linked(self, x: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], percent: int = PERCENT) -> np.ndarray:
-        """Leaves that link with x; wanted(a, b) tells for ranges of leaves whether any of them matters."""
+    def linked(self, x: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | np.ndarray, percent: int = PERCENT) -> np.ndarray:
+        """Leaves that link with x; wanted(a, b) tells for ranges of leaves whether any of them matters, or is an array of those that do, ascending."""
         found, overlap, alive = [np.zeros(0, np.int64)], np.zeros(1, np.int64), np.ones(1, bool)
         for level in self.levels:
-            some = np.flatnonzero(alive[level["parent"]])
-            some = some[wanted(level["a"][some], level["b"][some])]
+            if callable(wanted):
+                some = np.flatnonzero(alive[level["parent"]])
+                some = some[wanted(level["a"][some], level["b"][some])]
+            else:  # found from the leaves: the level's other nodes cost nothing
+                node = np.searchsorted(level["a"], wanted, side="right") - 1
+                inside = node >= 0
+                inside[inside] = wanted[inside] < level["b"][node[inside]]
+                wanted, node = wanted[inside], node[inside]
+                some = node[np.r_[True, node[1:] != node[:-1]]] if len(node) else node
+                some = some[alive[level["parent"][some]]]
             if not len(some):
                 break
             a, lo, hi = level["a"][some], level["lo"][some], level["hi"][some]
@@ -303,6 +315,68 @@ class Trie:
         return np.concatenate(found)
 
 
+class Candidates:
+    """An inverted index over the sets' prefixes, in an order by how many of these sets have a token, the fewest first.
+
+    A search passes over entries whose label was the leaf's own when the
+    entries were last sorted, so a family that is connected costs nothing.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.size = percent, np.array([len(s) for s in sets], np.int64)
+        self.needs = 1 + spare(least_shared(self.size, percent))
+        at = np.concatenate([[0], np.cumsum(self.size)])
+        _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(seen), np.int64)
+        rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
+        leaf = np.repeat(np.arange(len(sets)), self.size)
+        both = seen[token] > 1  # a set's others come first, and join nothing
+        alone = self.size - np.bincount(leaf[both], minlength=len(sets))
+        token, leaf = rank[token[both]], leaf[both]
+        order = np.lexsort((token, leaf))
+        token, leaf = token[order], leaf[order]
+        first = at[:-1] - np.concatenate([[0], np.cumsum(alone)])[:-1]
+        prefix = np.arange(len(leaf)) - first[leaf] + alone[leaf] < prefix_length(self.size, percent)[leaf]
+        self.token, self.leaf = np.unique(token[prefix], return_inverse=True)[1], leaf[prefix]
+        self.work = 0
+
+    def sort(self, label: np.ndarray) -> None:
+        """Entries by token and label, without tokens that one label alone has; and each leaf's own entries."""
+        order = np.lexsort((label[self.leaf], self.token))
+        self.token, self.leaf = self.token[order], self.leaf[order]
+        own, new = label[self.leaf], np.r_[True, self.token[1:] != self.token[:-1]] if len(self.token) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.r_[begin, len(self.token)])
+        mixed = np.repeat(own[begin] != own[begin + size - 1], size)
+        self.token, self.leaf, own, new = self.token[mixed], self.leaf[mixed], own[mixed], new[mixed]
+        bounds = []
+        for run in (new, new | np.r_[True, own[1:] != own[:-1]] if len(own) else new):
+            begin = np.flatnonzero(run)
+            size = np.diff(np.r_[begin, len(own)])
+            bounds += [np.repeat(begin, size), np.repeat(begin + size, size)]
+        lo, hi, own_lo, own_hi = bounds
+        order = np.argsort(self.leaf, kind="stable")
+        self.at = np.searchsorted(self.leaf[order], np.arange(len(self.size) + 1))
+        # The entries that a leaf's entry meets: those of its token before and after its label's.
+        self.lo = np.stack([lo[order], own_hi[order]], axis=1)
+        self.hi = np.stack([own_lo[order], hi[order]], axis=1)
+        self.work = 0
+
+    def of(self, leaf: int, label: np.ndarray, first: int = 0) -> np.ndarray:
+        """Leaves from first on, of other labels, that may link with leaf."""
+        lo, hi = self.lo[self.at[leaf] : self.at[leaf + 1]].ravel(), self.hi[self.at[leaf] : self.at[leaf + 1]].ravel()
+        length = hi - lo
+        ends = np.cumsum(length)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.int64)
+        self.work += int(ends[-1])
+        met = self.leaf[np.arange(ends[-1]) + np.repeat(lo - (ends - length), length)]
+        met, n = np.unique(met[(met >= first) & (label[met] != label[leaf])], return_counts=True)
+        x, y = self.size[leaf], self.size[met]
+        near = (100 * np.minimum(x, y) >= self.percent * np.maximum(x, y)) & (n >= np.maximum(self.needs[leaf], self.needs[met]))
+        return met[near]
+
+
 def linked_within(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT, queries: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (places in sets) that connect all sets which links connect; sets of equal label count as connected.
 
@@ -310,17 +384,30 @@ def linked_within(sets: list[np.ndarray], labels: np.ndarray, percent: int = PER
     """
     trie = Trie(sets)
     label = np.unique(labels[trie.order], return_inverse=True)[1]
-    leaves = range(len(sets)) if queries is None else np.argsort(trie.order)[queries]
+    members: list[list[int]] = [[] for _ in range(int(label.max()) + 1)]
+    for leaf, k in enumerate(label.tolist()):
+        members[k].append(leaf)
+    near, left, known = Candidates(trie.sets, percent), len(members), 0
     out = []
-    for leaf in leaves:
-        others = np.concatenate([[0], np.cumsum(label != label[leaf])])
-        first = leaf + 1 if queries is None else 0  # those before have looked for this one
-        if others[-1] == others[first]:
+    for leaf in range(len(sets)) if queries is None else np.argsort(trie.order)[queries].tolist():
+        if left == 1:
+            break
+        if known == 0 or left < known and near.work > SORT_AFTER * len(near.leaf):
+            near.sort(label)
+            known = left
+        some = near.of(leaf, label, leaf + 1 if queries is None else 0)  # those before have looked for this one
+        if not len(some):
             continue
-        for y in trie.linked(trie.sets[leaf], lambda a, b: others[b] > others[np.minimum(np.maximum(a, first), b)], percent):  # noqa: B023
-            if label[y] != label[leaf]:
+        for y in trie.linked(trie.sets[leaf], some, percent).tolist():
+            a, b = int(label[leaf]), int(label[y])
+            if a != b:
                 out.append((trie.order[leaf], trie.order[y]))
-                label[label == label[y]] = label[leaf]
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                label[members[b]] = a
+                members[a] += members[b]
+                members[b] = []
+                left -= 1
     return out
 
 

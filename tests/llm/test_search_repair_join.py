@@ -286,6 +286,43 @@ def test_trie_against_all_pairs():
         assert set(got) <= links
 
 
+def test_sets_that_chance_connects_are_not_compared(monkeypatch):
+    """A component of sets that share frequent tokens and link with none, but for two, costs no search of each set over all."""
+    rng = np.random.default_rng(4)
+    usual = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.integers(0, 1 << 63, 36, dtype=np.uint64), rng.choice(usual, 4, replace=False)]) for _ in range(600)]
+    sets.append(np.delete(sets[17], 20))
+    searched, own = [], ngram_join.Trie.linked
+    monkeypatch.setattr(ngram_join.Trie, "linked", lambda self, x, *more: searched.append(1) or own(self, x, *more))
+    assert {frozenset(p) for p in ngram_join.linked_within(sets, np.arange(len(sets)))} == {frozenset((17, 600))}
+    assert len(searched) <= 5  # before: 600
+
+
+@pytest.mark.parametrize("after", [0, 8])
+def test_links_within_against_all_pairs(monkeypatch, after):
+    """Searches with candidates, sorted by label at every leaf or seldom, connect what all links connect."""
+    monkeypatch.setattr(ngram_join, "SORT_AFTER", after)
+    rng = np.random.default_rng(8)
+
+    def classes(n, links):
+        of = list(range(n))
+        for a, b in links:
+            of = [of[a] if x == of[b] else x for x in of]
+        return [of.index(x) for x in of]
+
+    for _ in range(40):
+        percent, usual = int(rng.choice([50, 80, 100])), rng.integers(0, 1 << 63, int(rng.choice([30, 2000])), dtype=np.uint64)
+        base = [np.unique(rng.choice(usual, int(rng.integers(1, 90)))) for _ in range(4)]
+        sets = [np.unique(np.r_[base[k % 4][rng.random(len(base[k % 4])) > rng.choice([0, 0.02, 0.1, 0.3])], rng.choice(usual, 1 + k % 5)]) for k in range(int(rng.integers(2, 50)))]
+        links = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))}
+        for queries in (None, [int(rng.integers(len(sets)))]):
+            labels = rng.integers(0, len(sets), len(sets))
+            equal = [(int(np.argmax(labels == x)), k) for k, x in enumerate(labels)]
+            got = ngram_join.linked_within(sets, labels, percent, queries)
+            wanted = [x for x in links if queries is None or x[0] in queries or x[1] in queries]
+            assert set(got) <= links and classes(len(sets), [*got, *equal]) == classes(len(sets), [*wanted, *equal])
+
+
 def test_least_shared_prefixes():
     """Linked sets share as many prefix tokens as the count filter asks of each."""
     rng = np.random.default_rng(9)
