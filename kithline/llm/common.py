@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 #: UTF-8 bytes worked on at once inside a task; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
+#: Bytes of a Parquet row group that is written: a task holds one of what it reads and one of what it writes on the JVM's heap.
+ROW_GROUP_BYTES = 1 << 24
+
 _fallback: dict[str, str] = {}
 
 
@@ -68,7 +71,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path: one named before, so that it outlives a scratch() begun since.
     """
     path = path or fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

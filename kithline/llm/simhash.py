@@ -48,6 +48,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 SMALL = 16
 #: Larger groups are dealt out under further bits, twice at most.
 HOT = 4096
+#: Rows to keep whose ids and hashes are broadcast, at most; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1 << 19
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -279,8 +281,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shi
     """Of each group of near-duplicates one row of docs: that with the smallest id, and of rows that repeat it that whose text has the least hash.
 
     A row without id stays only if no row of its group has one. Of rows equal
-    in id and text one stays. Null and empty texts are one group. An empty
-    table gives no rows.
+    in id and text one stays; only where some repeat are rows with their texts
+    sorted. Null and empty texts are one group. An empty table gives no rows.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -289,7 +291,18 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shi
     with scratch(spark):
         prints = written(fingerprints(slim, shingle=shingle, keep=["id", "hash"]).select("row.*", "out.fp"), "fingerprints")
         rooted = _rooted(prints, bits, fresh_path(spark, "roots"))
-        least = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least"))
-        kept = written(least.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("kept_id"), F.col("least.hash").alias("kept_hash")), "", path)
-    found = named.join(kept, (F.col("hash") == F.col("kept_hash")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))).filter("n = 1").select("row.*")
+        rows = prints.groupBy("fp", "id", "hash").agg(F.count("*").alias("n"))
+        least = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "n")).alias("least"))
+        kept = written(least.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("kept_id"), F.col("least.hash").alias("kept_hash"), F.col("least.n").alias("kept_n")), "", path)
+    found = _of(named, kept.filter("kept_n = 1")).select("row.*")
+    again = kept.filter("kept_n > 1")
+    if again.isEmpty():
+        return found
+    numbered = _of(named, again).withColumn("n", F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash")))
+    return found.union(numbered.filter("n = 1").select("row.*"))
+
+
+def _of(named: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of named that kept names; texts stay where they lie unless kept is too large to be broadcast."""
+    few = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    return named.join(few, (F.col("hash") == F.col("kept_hash")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")

@@ -84,3 +84,33 @@ def test_registered():
     assert "pipeline" in names
     for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
+
+
+def test_texts_are_not_sorted_to_keep_one(spark):
+    """Rows are kept where they lie; only rows that repeat an id with its text are numbered."""
+    docs = spark.createDataFrame([(k, f"own text {k} of {k * k} words") for k in range(30)] + [(None, "no id at all here")], "doc_id long, text string")
+    found = simhash.keep_one(docs)
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    rows = sorted(map(tuple, docs.collect()), key=str)
+    assert sorted(map(tuple, found.collect()), key=str) == rows
+    twice = docs.union(docs.filter("doc_id % 3 = 0 or doc_id is null"))
+    assert sorted(map(tuple, simhash.keep_one(twice).collect()), key=str) == rows
+
+
+def test_kept_rows_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 3)
+    docs = spark.createDataFrame([(k // 2 if k < 40 else None, f"own text {k // 2} of {k // 2 * 7} words") for k in range(44)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == sorted({tuple(r) for r in docs.collect()}, key=str)
+
+
+def test_written_row_groups_are_small(spark, tmp_path):
+    """A task of the next stage holds a row group on the heap, beside the one that it writes."""
+    import pyarrow.parquet as pq
+
+    from kithline.llm.common import ROW_GROUP_BYTES, written
+
+    text = F.concat(*[F.sha2((F.col("id") * 32 + j).cast("string"), 256) for j in range(32)])
+    written(spark.range(25_000).select("id", text.alias("text")).coalesce(1), "", f"{tmp_path}/texts")
+    sizes = [m.row_group(i).total_byte_size for f in tmp_path.glob("texts/*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(sizes) > 3 * ROW_GROUP_BYTES and max(sizes) < 2 * ROW_GROUP_BYTES  # before: one row group
